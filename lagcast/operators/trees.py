@@ -5,8 +5,9 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 
 from lagcast import fixed
+from lagcast.operators.classes import class_counts_wide
 from lagcast.operators.features import assemble, index, indexer_of, one_hot
-from lagcast.session import held, shared_dir
+from lagcast.session import shared_dir
 
 # Statistics memory per pass: more nodes are split per pass over the data.
 PASS_MEMORY_MB = 512
@@ -45,8 +46,6 @@ def gbt(weight_col: str | None = None, rounds: int = 30, **params) -> GBTClassif
 
 def require_both_classes(df: DataFrame, label: str = "Label") -> None:
     """Refuse training data of a single class."""
-    from lagcast.operators.classes import class_counts_wide
-
     counts = class_counts_wide(df, label).first()
     if not counts["delayed"] or not counts["on_time"]:
         raise ValueError(
@@ -66,7 +65,8 @@ def fit(df: DataFrame, categories: tuple[str, ...], layout: str, estimator, inva
 
     The trees come last and by themselves, since only the fitted indexer tells
     how many bins its widest category needs: the estimator's bins are raised to
-    that. The vectors are held while the trees read them round after round.
+    that. Several passes are made over ``df``, so callers hold or store it; the
+    trees themselves keep their binned form of it between rounds.
     """
     shared_dir(df.sparkSession)  # where boosting cuts its growing lineage
     stages = [index(categories, invalid).fit(df)]
@@ -84,8 +84,7 @@ def fit(df: DataFrame, categories: tuple[str, ...], layout: str, estimator, inva
         estimator = estimator.copy({estimator.maxBins: max(estimator.getMaxBins(), widest)})
 
     weight = [estimator.getWeightCol()] if estimator.isDefined("weightCol") else []
-    with held(current.select("features", "Label", *weight)) as vectors:
-        stages.append(estimator.fit(vectors))
+    stages.append(estimator.fit(current.select("features", "Label", *weight)))
     return PipelineModel(stages)
 
 

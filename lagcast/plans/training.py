@@ -11,7 +11,7 @@ from lagcast.operators.prepare import prepare
 from lagcast.operators.split import split
 from lagcast.operators.trees import fit, importances, require_both_classes, score
 from lagcast.plans.recipes import RECIPES, Recipe
-from lagcast.session import held
+from lagcast.session import held, spread
 from lagcast.sources.flights import columnar_copy
 from lagcast.sources.models import save_model
 
@@ -51,7 +51,7 @@ def train_for_service(
     Parquet and the passes of fitting read that, which a lost executor cannot
     undo; without it they are held in memory and on disk.
     """
-    rows = prepare(flights, recipe.columns)
+    rows = spread(prepare(flights, recipe.columns))
     if copy_path is not None:
         model = fit_recipe(columnar_copy(rows, copy_path), recipe, **params)
     else:
@@ -88,7 +88,7 @@ def run_experiment(
     of the training part only.
     """
     carried = (key,) if isinstance(key, str) else ()
-    with held(prepare(flights, recipe.columns, carried)) as rows:
+    with held(spread(prepare(flights, recipe.columns, carried))) as rows:
         train, test = split(rows, key, mode=mode)
         source = rows if weights_from == "all" else None
         model = fit_recipe(train, recipe, source, **params)

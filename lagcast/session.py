@@ -65,6 +65,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it comes in fewer partitions than there are.
+
+    For a narrow plan over a few large files that many passes will read; a table
+    of many files is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @contextmanager
 def held(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
     """``df`` kept for the length of a block in which several jobs read it."""

@@ -14,6 +14,10 @@ from lagcast.functions.codec import decode, encode
 from lagcast.schemas import MESSAGE, RAW_REQUEST, RESPONSE
 
 
+# JSON files keep milliseconds unless told otherwise.
+_MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 @dataclass(frozen=True)
 class Topic:
     """Where messages are read from or written to."""
@@ -47,7 +51,7 @@ def kafka_sink(servers: str, topic: str, **options) -> Topic:
 
 def file_topic(path: str, **options) -> Topic:
     """A folder of JSON-lines files of messages, which stands for a topic."""
-    return Topic("json", options, path)
+    return Topic("json", {"timestampFormat": _MICROSECONDS, **options}, path)
 
 
 def messages(spark: SparkSession, topic: Topic, streaming: bool = True) -> DataFrame:

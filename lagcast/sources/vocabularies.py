@@ -45,15 +45,16 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     return stored
 
 
+def _labelled(field: str, kind: str) -> Column:
+    present = F.coalesce(F.col(field), F.array().cast("array<string>"))
+    return F.transform(
+        present, lambda label: F.struct(F.lit(kind).alias("kind"), label.alias("label"))
+    )
+
+
 def _labelled_lists() -> Column:
     """The lists of an object as one array of (kind, label); absent lists are empty."""
-    lists = [
-        F.transform(
-            F.coalesce(F.col(field), F.array().cast("array<string>")),
-            lambda label, kind=kind: F.struct(F.lit(kind).alias("kind"), label.alias("label")),
-        )
-        for field, kind in VOCABULARY_FIELDS.items()
-    ]
+    lists = [_labelled(field, kind) for field, kind in VOCABULARY_FIELDS.items()]
     return F.flatten(F.array(*lists))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lagcast import fixed
 from lagcast.functions.codec import as_decimal, as_integer
+from lagcast.functions.once import with_computed
 from lagcast.schemas import CATEGORY_FIELDS, DECIMAL_FIELDS, INTEGER_FIELDS
 from lagcast.session import settled, small_side
 
@@ -33,28 +34,26 @@ def with_request_defaults(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.withColumns(filled)
 
 
-def _typed() -> dict[str, Column]:
-    return {c: as_integer(F.col(c)) for c in INTEGER_FIELDS} | {
-        c: as_decimal(F.col(c)) for c in DECIMAL_FIELDS
-    }
-
-
 def coerce_request(df: DataFrame) -> DataFrame:
     """Text fields to numbers, and in ``error`` what kept a request from scoring.
 
     Fields that are missing, are not numbers, or are NaN are named; ``error`` is
     null for a good request. Nothing raises, so no message can end a stream.
     """
-    typed = _typed()
+    numbers = {c: as_integer(F.col(c)) for c in INTEGER_FIELDS} | {
+        c: as_decimal(F.col(c)) for c in DECIMAL_FIELDS
+    }
+    absent = {c: F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in
+              ("request_id", *CATEGORY_FIELDS, *numbers)}
+    others = [c for c in df.columns if c not in numbers]
+    computed = {f"_{c}": n for c, n in numbers.items()}
+    typed = with_computed(df, computed, *df.columns)
     faults = [
-        F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in ("request_id", *CATEGORY_FIELDS)
-    ] + [
-        F.when(F.col(c).isNull(), F.lit(f"missing {c}")).when(number.isNull(), F.lit(f"bad {c}"))
-        for c, number in typed.items()
+        fault.when(F.col(f"_{c}").isNull(), F.lit(f"bad {c}")) if c in numbers else fault
+        for c, fault in absent.items()
     ]
     error = F.nullif(F.concat_ws(", ", *faults), F.lit(""))
-    others = [F.col(c) for c in df.columns if c not in typed]
-    return df.select(*others, *[n.alias(c) for c, n in typed.items()], error.alias("error"))
+    return typed.select(*others, *[F.col(f"_{c}").alias(c) for c in numbers], error.alias("error"))
 
 
 def split_bad(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,17 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagcast.functions.once import with_computed
 
-def flights_from_events(events: DataFrame) -> DataFrame:
-    """Events as flight records, row for row, with ``event_id`` kept as row key.
 
-    ``k`` comes out of a generator, since filters are not moved below one: the
-    many later tests on columns made of ``k`` would each parse the JSON again.
-    """
+def flights_from_events(events: DataFrame) -> DataFrame:
+    """Events as flight records, row for row, with ``event_id`` kept as row key."""
     k = F.col("k")
-    parsed = F.get_json_object("props", "$.k").cast("int").alias("k")
+    parsed = F.get_json_object("props", "$.k").cast("int")
     days = (F.lit(30) * (F.col("user_id") % 12)).cast("int")
-    return events.select("*", F.inline(F.array(F.struct(parsed)))).select(
+    return with_computed(events, {"k": parsed}, "event_id", "ts", "user_id", "event_type", "value").select(
         "event_id",
         (F.col("value") / 10.0 + F.hour("ts") * F.lit(0.5)).alias("DepDelayMinutes"),
         (F.col("ts") + F.make_dt_interval(days)).alias("Time"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lagcast.functions.codec import decode, encode
+from lagcast.functions.once import with_fields
 from lagcast.schemas import MESSAGE, RAW_REQUEST, RESPONSE
 
 
@@ -70,22 +71,19 @@ def request_stream(spark: SparkSession, topic: Topic, streaming: bool = True) ->
 
 def response_stream(spark: SparkSession, topic: Topic, streaming: bool = True) -> DataFrame:
     """Responses of a topic with the time each came in."""
-    body = decode(F.col("value"), RESPONSE)
-    return (
-        messages(spark, topic, streaming)
-        .select(body.alias("body"), F.col("timestamp").alias("resp_ts"))
-        .select("body.*", "resp_ts")
-    )
+    received = messages(spark, topic, streaming).withColumnRenamed("timestamp", "resp_ts")
+    return with_fields(received, decode(F.col("value"), RESPONSE), "resp_ts")
 
 
 def parse_requests(source: DataFrame) -> DataFrame:
-    """Messages decoded to request fields as text; ``payload`` keeps the message."""
-    carried = [F.col("timestamp").alias("req_ts")] if "timestamp" in source.columns else []
-    return source.select(
-        decode(F.col("value"), RAW_REQUEST).alias("body"),
-        F.col("value").cast("string").alias("payload"),
-        *carried,
-    ).select("body.*", "payload", *[c for c in ("req_ts",) if carried])
+    """Messages decoded to request fields as text.
+
+    ``payload`` keeps the message, ``req_ts`` the time it came in if there is one.
+    """
+    received = source.withColumnsRenamed({"value": "payload", "timestamp": "req_ts"})
+    received = received.withColumn("payload", F.col("payload").cast("string"))
+    kept = [c for c in ("payload", "req_ts") if c in received.columns]
+    return with_fields(received, decode(F.col("payload"), RAW_REQUEST), *kept)
 
 
 def to_payload(df: DataFrame, fields: list[str] | None = None) -> DataFrame:

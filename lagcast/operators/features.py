@@ -37,6 +37,11 @@ def indexer_of(model: PipelineModel) -> StringIndexerModel:
     return next(s for s in model.stages if isinstance(s, StringIndexerModel))
 
 
+def inputs_of(model: PipelineModel) -> list[str]:
+    """Columns a pipeline's feature vector is made of."""
+    return next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+
+
 def labels_of(model: PipelineModel) -> dict[str, list[str]]:
     """Labels per indexed column, in index order."""
     fitted = indexer_of(model)

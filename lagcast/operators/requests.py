@@ -34,24 +34,21 @@ def with_request_defaults(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.withColumns(filled)
 
 
-def coerce_request(df: DataFrame) -> DataFrame:
+def coerce_request(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Text fields to numbers, and in ``error`` what kept a request from scoring.
 
     Fields that are missing, are not numbers, or are NaN are named; ``error`` is
     null for a good request. Nothing raises, so no message can end a stream.
+    ``extra`` names further number fields a request must have.
     """
-    numbers = {c: as_integer(F.col(c)) for c in INTEGER_FIELDS} | {
-        c: as_decimal(F.col(c)) for c in DECIMAL_FIELDS
-    }
-    absent = {c: F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in
-              ("request_id", *CATEGORY_FIELDS, *numbers)}
+    numbers = {c: as_integer(F.col(c)) for c in INTEGER_FIELDS}
+    numbers |= {c: as_decimal(F.col(c)) for c in (*DECIMAL_FIELDS, *extra)}
     others = [c for c in df.columns if c not in numbers]
-    computed = {f"_{c}": n for c, n in numbers.items()}
-    typed = with_computed(df, computed, *df.columns)
-    faults = [
-        fault.when(F.col(f"_{c}").isNull(), F.lit(f"bad {c}")) if c in numbers else fault
-        for c, fault in absent.items()
-    ]
+    typed = with_computed(df, {f"_{c}": n for c, n in numbers.items()}, *df.columns)
+    faults = []
+    for c in ("request_id", *CATEGORY_FIELDS, *numbers):
+        fault = F.when(F.col(c).isNull(), F.lit(f"missing {c}"))
+        faults.append(fault.when(F.col(f"_{c}").isNull(), F.lit(f"bad {c}")) if c in numbers else fault)
     error = F.nullif(F.concat_ws(", ", *faults), F.lit(""))
     return typed.select(*others, *[F.col(f"_{c}").alias(c) for c in numbers], error.alias("error"))
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from lagcast import fixed
 from lagcast.functions.risk import delay_probability, risk_band, verdict
-from lagcast.operators.features import indexer_of, labels_of
+from lagcast.operators.features import indexer_of, inputs_of, labels_of
 from lagcast.operators.requests import coerce_request, split_bad
 from lagcast.operators.trees import score
-from lagcast.schemas import RAW_REQUEST
+from lagcast.schemas import CATEGORY_FIELDS, EXTRA_FIELDS
 
 
 def respond(model: PipelineModel, good: DataFrame, scheme: str = "service") -> DataFrame:
@@ -31,19 +31,26 @@ def _unknown_category(model: PipelineModel) -> Column:
     return F.nullif(F.concat_ws(", ", *faults), F.lit(""))
 
 
+def _missing_inputs(model: PipelineModel, requests: DataFrame) -> dict[str, Column]:
+    """Stand-ins for columns ``requests`` lacks: blank where the model ignores them."""
+    unused = [c for c in CATEGORY_FIELDS if c not in labels_of(model)]
+    lacking = [c for c in EXTRA_FIELDS if c in inputs_of(model) and c not in requests.columns]
+    return {c: F.lit("") for c in unused} | {c: F.lit(None).cast("string") for c in lacking}
+
+
 def predict(model: PipelineModel, requests: DataFrame, scheme: str) -> DataFrame:
     """Probability, band and verdict per request; for a bad request an error text.
 
-    Requests are in wire form. Fields the model does not use may be missing.
-    Categories are checked before scoring, so one bad row never costs the others.
+    Requests are in wire form. Categories the model does not use may be missing,
+    and a model that uses visibility asks for it. Categories are checked before
+    scoring, so one bad row never costs the others.
     """
-    wanted = set(labels_of(model)) | set(fixed.REQUEST_DEFAULTS)
-    spare = {c: F.lit("0") for c in RAW_REQUEST.names if c not in wanted | {"request_id"}}
-    extra = [c for c in requests.columns if c not in RAW_REQUEST.names]
-    checked = coerce_request(requests.withColumns(spare)).withColumn(
+    extra = tuple(c for c in EXTRA_FIELDS if c in inputs_of(model))
+    complete = requests.withColumns(_missing_inputs(model, requests))
+    checked = coerce_request(complete, extra).withColumn(
         "error", F.coalesce("error", _unknown_category(model))
     )
-    good, bad = split_bad(_with_numbers(checked, extra))
+    good, bad = split_bad(checked)
     scored = score(model, good).withColumn("p", delay_probability()).select(
         "request_id",
         F.col("p").alias("probability"),
@@ -59,12 +66,3 @@ def predict(model: PipelineModel, requests: DataFrame, scheme: str) -> DataFrame
         "error",
     )
     return scored.unionByName(failed)
-
-
-def _with_numbers(df: DataFrame, extra: list[str]) -> DataFrame:
-    """Model inputs beyond the request fields, such as visibility, as numbers."""
-    numbers = {c: F.col(c).try_cast("double") for c in extra if c == "Visibility"}
-    missing = [F.when(n.isNull() | F.isnan(n), F.lit(f"bad {c}")) for c, n in numbers.items()]
-    if not numbers:
-        return df
-    return df.withColumn("error", F.coalesce("error", *missing)).withColumns(numbers)

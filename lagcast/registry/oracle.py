@@ -316,6 +316,10 @@ _KNOWN = " AND ".join(
 ORACLE = {
     # scans, sources, sinks
     "flights_csv_scan": on_flights(f"SELECT {_columns('V3')}, Visibility FROM flights"),
+    "inferred_schema": f"""
+SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'string'
+  ELSE lower(column_type) END AS type, TRUE AS nullable
+FROM (DESCRIBE {on_flights(f"SELECT {_columns('V3')}, Visibility FROM flights")})""",
     "request_frame": _with(
         FLIGHTS, _WIRE,
         select="SELECT "
@@ -458,6 +462,9 @@ FROM sent WHERE k % 10 < 9 AND k % 3 = 0""",
     "stream_scoring": on_requests(
         "SELECT request_id, TRUE AS same_as_batch FROM coerced WHERE error IS NULL"
     ),
+    "stream_dead_letters": on_requests(
+        "SELECT request_id, error, TRUE AS same_again FROM coerced WHERE error IS NOT NULL"
+    ),
     "stream_correlation": _correlated(0),
     # analyses
     "risk_by_time": on_prepared(f"SELECT Month, Hour, {_RISK} FROM prepared GROUP BY Month, Hour"),

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagcast import fixed
+from lagcast.functions.codec import decode
+from lagcast.functions.once import with_fields
 from lagcast.functions.risk import delay_probability, percent, risk_band, verdict
 from lagcast.operators import classes, metrics, prepare as prep, profile
 from lagcast.operators.correlate import correlate
@@ -544,11 +546,13 @@ def stream_scoring(spark, folder):
 
 @query
 def stream_dead_letters(spark, folder):
+    """Dead letters, and whether the message each keeps has the same fault when read again."""
     _, _, letters = _served(spark, folder)
-    body = F.from_json("value", "payload string, error string")
-    return messages(spark, letters, streaming=False).select(
-        body["error"].alias("error"), F.length(body["payload"]).cast("bigint").alias("payload_length")
-    )
+    letter = F.from_json("value", "payload string, reason string")
+    kept = with_fields(messages(spark, letters, streaming=False), letter)
+    again = coerce_request(with_fields(kept, decode(F.col("payload"), RAW_REQUEST), "reason"))
+    same = F.col("error") == F.col("reason")
+    return again.select("request_id", "error", F.coalesce(same, F.lit(False)).alias("same_again"))
 
 
 @query

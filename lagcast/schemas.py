@@ -28,6 +28,8 @@ INTEGER_FIELDS = ("Month", "Hour")
 DECIMAL_FIELDS = (
     "Temperature", "Wind_Speed", "Wind_Gust", "Precipitation", "Ice_Accretion_3hr",
 )
+# Numbers that only some models ask for.
+EXTRA_FIELDS = ("Visibility",)
 
 REQUEST = T.StructType(
     [T.StructField("request_id", _S)]

@@ -2,6 +2,7 @@
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lagcast.functions.codec import encode
@@ -10,7 +11,6 @@ from lagcast.plans.predicting import respond
 from lagcast.schemas import RESPONSE
 from lagcast.session import held
 from lagcast.sources.topics import Topic, to_payload
-from pyspark.sql import functions as F
 
 
 def score_stream(model: PipelineModel, requests: DataFrame, scheme: str = "service") -> DataFrame:
@@ -35,6 +35,12 @@ def _write(df: DataFrame, sink: Topic, batch: int) -> None:
     timed.write.format(sink.format).options(**sink.options).mode("overwrite").save(target)
 
 
+def _as_letters(bad: DataFrame) -> DataFrame:
+    """Dead letters as messages: what came in, and the reason it was set aside."""
+    letter = encode("payload", F.col("error").alias("reason"))
+    return bad.select(F.col("request_id").alias("key"), letter.alias("value"))
+
+
 def serve(
     model: PipelineModel,
     requests: DataFrame,
@@ -56,8 +62,7 @@ def serve(
         with held(coerce_request(batch)) as checked:
             good, bad = split_bad(checked)
             _write(to_payload(respond(model, good, scheme), RESPONSE.names), responses, number)
-            kept = [c for c in ("payload", "error") if c in bad.columns]
-            _write(bad.select(F.col("request_id").alias("key"), encode(*kept).alias("value")), letters, number)
+            _write(_as_letters(bad), letters, number)
 
     return (
         requests.writeStream.foreachBatch(handle)

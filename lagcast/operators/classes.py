@@ -69,6 +69,11 @@ def _evening(count: Column) -> Column:
     return F.try_divide(F.col("total").cast("double"), F.lit(2) * count)
 
 
+def weigh(df: DataFrame, on_time: Column, delayed: Column, name: str, label: str = "Label") -> DataFrame:
+    """Rows with the weight of their class; what is not on time weighs as delayed."""
+    return df.withColumn(name, F.when(F.col(label) == 0.0, on_time).otherwise(delayed))
+
+
 def with_ratio_weight(
     df: DataFrame, source: DataFrame | None = None, label: str = "Label", name: str = "classWeight"
 ) -> DataFrame:
@@ -78,7 +83,7 @@ def with_ratio_weight(
     The ratio enters as a scalar subquery: no join, nothing on the driver.
     """
     ratio = balance_ratio(source if source is not None else df, label).select("ratio").scalar()
-    return df.withColumn(name, F.when(F.col(label) == 1.0, ratio).otherwise(F.lit(1.0)))
+    return weigh(df, F.lit(1.0), ratio, name, label)
 
 
 def with_balanced_weight(
@@ -91,7 +96,4 @@ def with_balanced_weight(
             _evening(F.col("on_time")).alias("on_time"), _evening(F.col("delayed")).alias("delayed")
         ).alias("weights")
     ).scalar()
-    on_time = F.col(label) == 0.0
-    return df.withColumn(
-        name, F.when(on_time, weights.getField("on_time")).otherwise(weights.getField("delayed"))
-    )
+    return weigh(df, weights.getField("on_time"), weights.getField("delayed"), name, label)

@@ -4,15 +4,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagcast import fixed
-from lagcast.functions.hashing import BUCKETS, hash_bucket, whole_row_key
+from lagcast.functions.hashing import BUCKETS, hash_bucket, row_bucket
 
 
-def in_training_part(key: Column, ratio: float = fixed.SPLIT_RATIO) -> Column:
-    """Whether a key belongs to the training part."""
+def _bound(ratio: float) -> int:
     bound = round(ratio * BUCKETS)
     if abs(bound - ratio * BUCKETS) > 1e-9 or not 0 < bound < BUCKETS:
         raise ValueError("the ratio must be a whole number of hundredths between 0 and 1")
-    return hash_bucket(key) < F.lit(bound)
+    return bound
 
 
 def split(
@@ -26,15 +25,16 @@ def split(
 
     ``hash`` puts a row where its key says: the same row lands in the same part
     however the table is partitioned, and after a lost executor too. Without a
-    key the whole row is the key, so exact copies stay together. ``random``
-    draws per partition; the same seed over another partitioning gives other
-    parts.
+    key the whole row is the key, so exact copies stay together. Either way a
+    row is placed where it is read, without a shuffle. ``random`` draws per
+    partition; the same seed over another partitioning gives other parts.
     """
     if mode == "random":
         train, test = df.randomSplit([ratio, 1 - ratio], seed=seed)
         return train, test
     if mode != "hash":
         raise ValueError(f"unknown split mode {mode!r}")
-    named = whole_row_key(df) if key is None else F.col(key) if isinstance(key, str) else key
-    training = F.coalesce(in_training_part(named, ratio), F.lit(False))
+    named = F.col(key) if isinstance(key, str) else key
+    bucket = row_bucket(df) if named is None else F.coalesce(hash_bucket(named), F.lit(BUCKETS))
+    training = bucket < F.lit(_bound(ratio))
     return df.filter(training), df.filter(~training)

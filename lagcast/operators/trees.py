@@ -5,7 +5,6 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 
 from lagcast import fixed
-from lagcast.operators.classes import class_counts_wide
 from lagcast.operators.features import assemble, index, indexer_of, one_hot
 from lagcast.session import shared_dir
 
@@ -44,15 +43,6 @@ def gbt(weight_col: str | None = None, rounds: int = 30, **params) -> GBTClassif
     return boosted if weight_col is None else boosted.setWeightCol(weight_col)
 
 
-def require_both_classes(df: DataFrame, label: str = "Label") -> None:
-    """Refuse training data of a single class."""
-    counts = class_counts_wide(df, label).first()
-    if not counts["delayed"] or not counts["on_time"]:
-        raise ValueError(
-            f"training needs both classes: {counts['delayed']} delayed, {counts['on_time']} on time"
-        )
-
-
 def _widest(model: PipelineModel) -> int:
     fitted = indexer_of(model)
     extra = 1 if fitted.getHandleInvalid() == "keep" else 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lagcast import fixed
 from lagcast.functions.risk import delay_probability, risk_band, verdict
 from lagcast.operators.features import indexer_of, inputs_of, labels_of
-from lagcast.operators.requests import coerce_request, split_bad
+from lagcast.operators.requests import coerce_request
 from lagcast.operators.trees import score
 from lagcast.schemas import CATEGORY_FIELDS, EXTRA_FIELDS
 
@@ -38,31 +38,34 @@ def _missing_inputs(model: PipelineModel, requests: DataFrame) -> dict[str, Colu
     return {c: F.lit("") for c in unused} | {c: F.lit(None).cast("string") for c in lacking}
 
 
+def _stand_ins(model: PipelineModel, checked: DataFrame) -> dict[str, Column]:
+    """Model inputs, with values any model takes where the request is bad."""
+    fine = F.col("error").isNull()
+    numbers = [c for c in inputs_of(model) if c in checked.columns]
+    known = {c: F.lit(labels[0]) for c, labels in labels_of(model).items()}
+    known |= {c: F.lit(0).cast(checked.schema[c].dataType) for c in numbers}
+    return {c: F.when(fine, F.col(c)).otherwise(value) for c, value in known.items()}
+
+
 def predict(model: PipelineModel, requests: DataFrame, scheme: str) -> DataFrame:
     """Probability, band and verdict per request; for a bad request an error text.
 
     Requests are in wire form. Categories the model does not use may be missing,
-    and a model that uses visibility asks for it. Categories are checked before
-    scoring, so one bad row never costs the others.
+    and a model that uses visibility asks for it. Bad rows go through the model
+    with stand-in values and get no probability, so that requests are read once
+    and one bad row never costs the others.
     """
     extra = tuple(c for c in EXTRA_FIELDS if c in inputs_of(model))
     complete = requests.withColumns(_missing_inputs(model, requests))
     checked = coerce_request(complete, extra).withColumn(
         "error", F.coalesce("error", _unknown_category(model))
     )
-    good, bad = split_bad(checked)
-    scored = score(model, good).withColumn("p", delay_probability()).select(
-        "request_id",
-        F.col("p").alias("probability"),
-        risk_band(F.col("p"), scheme).alias("risk"),
-        verdict(F.col("p"), scheme).alias("verdict"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    failed = bad.select(
+    scored = score(model, checked.withColumns(_stand_ins(model, checked)))
+    p = F.col("p")
+    return scored.withColumn("p", F.when(F.col("error").isNull(), delay_probability())).select(
         "request_id",
-        F.lit(None).cast("double").alias("probability"),
-        F.lit(None).cast("string").alias("risk"),
-        F.format_string(fixed.ERROR_TEXT, "error").alias("verdict"),
+        p.alias("probability"),
+        risk_band(p, scheme).alias("risk"),
+        F.coalesce(verdict(p, scheme), F.format_string(fixed.ERROR_TEXT, "error")).alias("verdict"),
         "error",
     )
-    return scored.unionByName(failed)

@@ -1,35 +1,54 @@
 """Fitting a recipe: for service on all rows, in an experiment with a hold-out."""
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 
 from lagcast.operators import classes
 from lagcast.operators.metrics import model_auc
 from lagcast.operators.prepare import prepare
 from lagcast.operators.split import split
-from lagcast.operators.trees import fit, importances, require_both_classes, score
+from lagcast.operators.trees import fit, importances, score
 from lagcast.plans.recipes import RECIPES, Recipe
 from lagcast.session import held, spread
 from lagcast.sources.flights import columnar_copy
 from lagcast.sources.models import save_model
 
 
-def weighted(train: DataFrame, recipe: Recipe, source: DataFrame | None = None) -> DataFrame:
-    """The training part with the recipe's class weight, if it has one."""
+def class_sizes(df: DataFrame) -> Row:
+    """Rows of each class; training data of a single class is refused."""
+    sizes = classes.class_counts_wide(df).first()
+    if not sizes["delayed"] or not sizes["on_time"]:
+        raise ValueError(
+            f"training needs both classes: {sizes['delayed']} delayed, {sizes['on_time']} on time"
+        )
+    return sizes
+
+
+def weighted(train: DataFrame, recipe: Recipe, sizes: Row) -> DataFrame:
+    """The training part with the recipe's class weight, if it has one.
+
+    The sizes are known by now, so weights are constants to all passes of a fit.
+    """
+    total, delayed, on_time = sizes["total"], sizes["delayed"], sizes["on_time"]
     if recipe.weighting == "ratio":
-        return classes.with_ratio_weight(train, source)
+        return classes.weigh(train, F.lit(1.0), F.lit(on_time / delayed), recipe.weight_col)
     if recipe.weighting == "balanced":
-        return classes.with_balanced_weight(train, source)
+        even = [F.lit(total / (2 * size)) for size in (on_time, delayed)]
+        return classes.weigh(train, *even, recipe.weight_col)
     return train
 
 
 def fit_recipe(train: DataFrame, recipe: Recipe, source: DataFrame | None = None, **params) -> PipelineModel:
     """Fit a recipe on prepared rows; weights come from ``source``, or from these rows."""
-    require_both_classes(train)
+    sizes = class_sizes(train)
+    if source is not None:
+        sizes = class_sizes(source)
     return fit(
-        weighted(train, recipe, source),
+        weighted(train, recipe, sizes),
         recipe.categories,
         recipe.layout,
         recipe.estimator(**params),
@@ -38,6 +57,20 @@ def fit_recipe(train: DataFrame, recipe: Recipe, source: DataFrame | None = None
     )
 
 
+@contextmanager
+def _reread(rows: DataFrame, copy_path: str | None):
+    """Rows that many passes will read.
+
+    With a path on shared storage they are written once as Parquet, which a lost
+    executor cannot undo; without one they are held in memory and on disk.
+    """
+    if copy_path is not None:
+        yield spread(columnar_copy(rows, copy_path))
+    else:
+        with held(spread(rows)) as kept:
+            yield kept
+
+
 def train_for_service(
     flights: DataFrame,
     model_path: str | None = None,
@@ -45,18 +78,9 @@ def train_for_service(
     recipe: Recipe = RECIPES["service"],
     **params,
 ) -> PipelineModel:
-    """Prepare all rows, fit, and save the pipeline.
-
-    With ``copy_path`` on shared storage the prepared rows are written once as
-    Parquet and the passes of fitting read that, which a lost executor cannot
-    undo; without it they are held in memory and on disk.
-    """
-    rows = spread(prepare(flights, recipe.columns))
-    if copy_path is not None:
-        model = fit_recipe(columnar_copy(rows, copy_path), recipe, **params)
-    else:
-        with held(rows) as kept:
-            model = fit_recipe(kept, recipe, **params)
+    """Prepare all rows, fit, and save the pipeline."""
+    with _reread(prepare(flights, recipe.columns), copy_path) as rows:
+        model = fit_recipe(rows, recipe, **params)
     if model_path is not None:
         save_model(model, model_path)
     return model
@@ -64,7 +88,11 @@ def train_for_service(
 
 @dataclass(frozen=True)
 class Experiment:
-    """What a run with a hold-out part leaves behind."""
+    """What a run with a hold-out part leaves behind.
+
+    The tables are computed when they are read, from the copy of the prepared
+    rows if the run made one.
+    """
 
     model: PipelineModel
     predictions: DataFrame
@@ -80,6 +108,7 @@ def run_experiment(
     key: str | Column | None = None,
     mode: str = "hash",
     weights_from: str = "train",
+    copy_path: str | None = None,
     **params,
 ) -> Experiment:
     """Prepare, split, profile and weigh the classes, fit, and score the hold-out.
@@ -88,7 +117,7 @@ def run_experiment(
     of the training part only.
     """
     carried = (key,) if isinstance(key, str) else ()
-    with held(spread(prepare(flights, recipe.columns, carried))) as rows:
+    with _reread(prepare(flights, recipe.columns, carried), copy_path) as rows:
         train, test = split(rows, key, mode=mode)
         source = rows if weights_from == "all" else None
         model = fit_recipe(train, recipe, source, **params)

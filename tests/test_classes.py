@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lagcast.operators import classes
 from lagcast.operators.split import split
-from lagcast.operators.trees import require_both_classes
+from lagcast.plans.training import class_sizes
 
 
 @pytest.fixture()
@@ -29,7 +29,7 @@ def test_missing_class(labels, values):
     weights = {r.Label: r.class_weight for r in classes.balanced_weights(df).collect()}
     assert set(weights) == {0.0, 1.0} and None in weights.values()
     with pytest.raises(ValueError, match="both classes"):
-        require_both_classes(df)
+        class_sizes(df)
 
 
 def test_weights_even_out_the_classes(labels):

@@ -38,6 +38,19 @@ def _missing_inputs(model: PipelineModel, requests: DataFrame) -> dict[str, Colu
     return {c: F.lit("") for c in unused} | {c: F.lit(None).cast("string") for c in lacking}
 
 
+def check_requests(model: PipelineModel, requests: DataFrame) -> DataFrame:
+    """Requests in wire form with typed fields, and in ``error`` what a model cannot take.
+
+    Categories the model does not use may be missing; a model that uses
+    visibility asks for it; one that raises at unseen categories gets none.
+    """
+    extra = tuple(c for c in EXTRA_FIELDS if c in inputs_of(model))
+    complete = requests.withColumns(_missing_inputs(model, requests))
+    return coerce_request(complete, extra).withColumn(
+        "error", F.coalesce("error", _unknown_category(model))
+    )
+
+
 def _stand_ins(model: PipelineModel, checked: DataFrame) -> dict[str, Column]:
     """Model inputs, with values any model takes where the request is bad."""
     fine = F.col("error").isNull()
@@ -50,16 +63,10 @@ def _stand_ins(model: PipelineModel, checked: DataFrame) -> dict[str, Column]:
 def predict(model: PipelineModel, requests: DataFrame, scheme: str) -> DataFrame:
     """Probability, band and verdict per request; for a bad request an error text.
 
-    Requests are in wire form. Categories the model does not use may be missing,
-    and a model that uses visibility asks for it. Bad rows go through the model
-    with stand-in values and get no probability, so that requests are read once
-    and one bad row never costs the others.
+    Bad rows go through the model with stand-in values and get no probability,
+    so that requests are read once and one bad row never costs the others.
     """
-    extra = tuple(c for c in EXTRA_FIELDS if c in inputs_of(model))
-    complete = requests.withColumns(_missing_inputs(model, requests))
-    checked = coerce_request(complete, extra).withColumn(
-        "error", F.coalesce("error", _unknown_category(model))
-    )
+    checked = check_requests(model, requests)
     scored = score(model, checked.withColumns(_stand_ins(model, checked)))
     p = F.col("p")
     return scored.withColumn("p", F.when(F.col("error").isNull(), delay_probability())).select(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lagcast.fixed import VOCABULARY_FIELDS
 from lagcast.schemas import VOCABULARY
+from lagcast.session import settled
 
 # Labels one JSON object may hold, since an object is written by one task.
 OBJECT_LABELS = 1_000_000
@@ -17,12 +18,14 @@ def write_vocab(labels: DataFrame, path: str, object_labels: int = OBJECT_LABELS
     """Write ``(kind, label)`` rows as one object of sorted lists.
 
     Where the labels exceed ``object_labels`` they are written as sorted rows by
-    all tasks instead; ``read_labels`` reads both forms.
+    all tasks instead; ``read_labels`` reads both forms. Labels are computed once,
+    for the count and the writing.
     """
-    if labels.agg(F.count(F.lit(1))).first()[0] > object_labels:
-        labels.orderBy("kind", "label").write.mode("overwrite").json(path)
+    stored = settled(labels)
+    if stored.agg(F.count(F.lit(1))).first()[0] > object_labels:
+        stored.orderBy("kind", "label").write.mode("overwrite").json(path)
     else:
-        vocabulary_object(labels).write.mode("overwrite").json(path)
+        vocabulary_object(stored).write.mode("overwrite").json(path)
 
 
 def vocabulary_object(labels: DataFrame) -> DataFrame:

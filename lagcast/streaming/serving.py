@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lagcast.functions.codec import encode
-from lagcast.operators.requests import coerce_request, split_bad
-from lagcast.plans.predicting import respond
+from lagcast.operators.requests import split_bad
+from lagcast.plans.predicting import check_requests, respond
 from lagcast.schemas import RESPONSE
 from lagcast.session import held
 from lagcast.sources.topics import Topic, to_payload
@@ -15,13 +15,13 @@ from lagcast.sources.topics import Topic, to_payload
 
 def score_stream(model: PipelineModel, requests: DataFrame, scheme: str = "service") -> DataFrame:
     """Responses to the good requests of a stream: stateless, one row per row."""
-    good, _ = split_bad(coerce_request(requests))
+    good, _ = split_bad(check_requests(model, requests))
     return respond(model, good, scheme)
 
 
-def dead_letters(requests: DataFrame) -> DataFrame:
-    """The bad requests of a stream, with the message and what is wrong with it."""
-    _, bad = split_bad(coerce_request(requests))
+def dead_letters(model: PipelineModel, requests: DataFrame) -> DataFrame:
+    """The requests of a stream the model cannot take, with the message and the reason."""
+    _, bad = split_bad(check_requests(model, requests))
     return bad
 
 
@@ -59,7 +59,7 @@ def serve(
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        with held(coerce_request(batch)) as checked:
+        with held(check_requests(model, batch)) as checked:
             good, bad = split_bad(checked)
             _write(to_payload(respond(model, good, scheme), RESPONSE.names), responses, number)
             _write(_as_letters(bad), letters, number)

@@ -5,12 +5,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagcast import fixed
-from lagcast.operators.requests import coerce_request, split_bad
+from lagcast.operators.requests import (
+    coerce_request, split_bad, valid_request, with_request_defaults, with_request_id,
+)
 from lagcast.plans.predicting import respond
 from lagcast.plans.recipes import RECIPES
 from lagcast.plans.training import train_for_service
 from lagcast.sources.fixture import flights
-from lagcast.sources.topics import file_topic, messages, request_stream, response_stream, write_responses
+from lagcast.sources.topics import (
+    file_topic, messages, request_stream, response_stream, write_requests, write_responses,
+)
 from lagcast.streaming.matching import correlate_stream
 from lagcast.streaming.serving import dead_letters, score_stream, serve
 from test_requests import GOOD
@@ -61,7 +65,7 @@ def test_service_answers_restarts_and_sets_bad_ones_aside(spark, model, send, tm
 
 def test_stream_equals_batch(spark, model, send, tmp_path):
     topic = send("in", *[(i, asked(f"r{i}", Hour=i % 24)) for i in range(50)], (60, "?"))
-    answers, bad = score_stream(model, request_stream(spark, topic)), dead_letters(request_stream(spark, topic))
+    answers, bad = score_stream(model, request_stream(spark, topic)), dead_letters(model, request_stream(spark, topic))
     out = file_topic(str(tmp_path / "out"))
     write_responses(answers, out, str(tmp_path / "p1"), availableNow=True).awaitTermination()
     good, _ = split_bad(coerce_request(request_stream(spark, topic, False)))
@@ -98,3 +102,38 @@ def test_matching_with_timeouts_over_restarts(spark, send, tmp_path):
     send("given", (1000, "{}"))
     timeout = (None, fixed.TIMEOUT_TEXT)
     assert run() == ({"soon": (0.3, None), "late": timeout, "never": timeout}, 3)
+
+
+def test_strict_model_sets_unknown_categories_aside(spark, folder, send, tmp_path):
+    strict = train_for_service(flights(spark, folder), recipe=RECIPES["carrier"].sized(1), depth=3)
+    topic = send(
+        "in", (0, asked("a", Origin="click", Carrier="C1")), (1, asked("b", Origin="moon", Carrier="C1"))
+    )
+    out, letters = file_topic(str(tmp_path / "out")), file_topic(str(tmp_path / "letters"))
+    serve(strict, request_stream(spark, topic), out, letters, str(tmp_path / "p"), "three",
+          availableNow=True).awaitTermination()
+    assert [r.request_id for r in response_stream(spark, out, False).collect()] == ["a"]
+    assert json.loads(messages(spark, letters, False).first().value)["reason"] == "unknown Origin"
+
+
+def test_defaults_and_validity_on_a_stream(spark, send, tmp_path):
+    labels = spark.createDataFrame(
+        [("Carrier", "C"), ("Origin", "O"), ("Dest", "D")], "kind string, label string"
+    )
+    topic = send("in", (0, asked("a")), (1, asked("b", Dest="Z")), (2, '{"request_id": "c"}'))
+    stream = request_stream(spark, topic)
+    filled = with_request_defaults(stream, labels)
+    kept = valid_request(coerce_request(filled), labels).select("request_id", "Month", "Dest")
+    kept.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "p")).trigger(
+        availableNow=True).start(str(tmp_path / "kept")).awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "kept")).collect()))
+    assert got == [("a", 7, "D"), ("c", 1, "D")]
+
+
+def test_ids_and_requests_on_a_stream(spark, send, tmp_path):
+    topic = send("in", *[(i, asked("same")) for i in range(20)])
+    renamed = with_request_id(request_stream(spark, topic))
+    sent = file_topic(str(tmp_path / "sent"))
+    write_requests(renamed, sent, str(tmp_path / "p"), availableNow=True).awaitTermination()
+    got = request_stream(spark, sent, False).select("request_id", "Origin").distinct().collect()
+    assert len(got) == 20 and {r.Origin for r in got} == {"O"}

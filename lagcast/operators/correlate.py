@@ -48,26 +48,23 @@ def correlate(
         F.lit(None).cast(_answer_type(responses)).alias("answer"),
         F.lit(True).alias("asks"),
     )
-    # Repeated deliveries at one instant are one before anything is copied; the
-    # rows of an id in a slot are then bounded by the clock's resolution.
-    answer = F.struct("resp_ts", "probability", "risk")
-    delivered = responses.groupBy(
-        "request_id", F.unix_micros(F.col("resp_ts").cast("timestamp")).alias("at")
-    ).agg(F.min(answer).alias("answer"))
+    # Repeated deliveries are one before anything is copied.
+    delivered = responses.select("request_id", "resp_ts", "probability", "risk").distinct()
+    moment = F.unix_micros(F.col("resp_ts").cast("timestamp"))
     own = F.floor(F.col("at") / width)
-    given = delivered.select(
+    given = delivered.withColumn("at", moment).select(
         "request_id",
         F.lit(None).cast(requests.schema["req_ts"].dataType).alias("req_ts"),
         "at",
         F.explode(F.array(own, own - 1)).alias("slot"),
-        "answer",
+        F.struct("resp_ts", "probability", "risk").alias("answer"),
         F.lit(False).alias("asks"),
     )
     # Backwards in time, the last response seen is the next one; at one instant
-    # a response is seen before the request it may answer.
+    # a response is seen before the request it may answer, the lowest one last.
     backwards = (
         Window.partitionBy("request_id", "slot")
-        .orderBy(F.desc("at"), F.asc("asks"))
+        .orderBy(F.desc("at"), F.asc("asks"), F.desc("answer"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     seen = asked.unionByName(given).withColumn(

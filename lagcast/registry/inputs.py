@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagcast.functions.once import with_computed
 from lagcast.operators.prepare import prepare
 from lagcast.plans.recipes import RECIPES
 from lagcast.plans.training import Experiment, run_experiment, train_for_service
@@ -81,16 +82,15 @@ def asked(spark: SparkSession, folder: str) -> DataFrame:
     """One timed request per event."""
     events = table(spark, folder, "events")
     return events.select(
-        F.concat(F.lit("r"), F.col(KEY)).alias("request_id"), F.col("ts").cast("timestamp").alias("req_ts")
+        F.concat(F.lit("r"), F.col(KEY)).alias("request_id"), F.col("ts").alias("req_ts")
     )
 
 
 def answered(spark: SparkSession, folder: str, repeat_after: int) -> DataFrame:
     """Answers to most events: 3, 10 or 20 seconds later, a third of them sent twice."""
     k = F.col("k")
-    events = table(spark, folder, "events").withColumn(
-        "k", F.get_json_object("props", "$.k").cast("int")
-    )
+    parsed = {"k": F.get_json_object("props", "$.k").cast("int")}
+    events = with_computed(table(spark, folder, "events"), parsed, KEY, "ts")
     wait = F.when(k % 10 < 6, 3).when(k % 10 < 8, 20).when(k % 10 == 8, 10)
     first = events.filter(wait.isNotNull()).select(
         F.concat(F.lit("r"), F.col(KEY)).alias("request_id"), "k", "ts", wait.alias("wait")
@@ -101,7 +101,7 @@ def answered(spark: SparkSession, folder: str, repeat_after: int) -> DataFrame:
     timed = first.withColumn("wait", F.explode(sent))
     return timed.select(
         "request_id",
-        (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("wait"))).alias("resp_ts"),
+        (F.col("ts") + F.make_dt_interval(secs=F.col("wait"))).alias("resp_ts"),
         (k / 100.0).alias("probability"),
         F.when(k > 50, "High").otherwise("Low").alias("risk"),
     )

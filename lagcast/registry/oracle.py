@@ -164,8 +164,8 @@ WITH e AS (
 ), best AS (
   SELECT request_id, min(wait) AS wait FROM sent WHERE wait <= 10 GROUP BY request_id
 )
-SELECT e.request_id, CAST(e.ts AS TIMESTAMPTZ) AS req_ts,
-  CAST(e.ts + to_seconds(best.wait) AS TIMESTAMPTZ) AS resp_ts,
+SELECT e.request_id, e.ts AS req_ts,
+  e.ts + to_seconds(best.wait) AS resp_ts,
   CASE WHEN best.wait IS NOT NULL THEN k / 100e0 END AS probability,
   CASE WHEN best.wait IS NOT NULL THEN CASE WHEN k > 50 THEN 'High' ELSE 'Low' END END AS risk,
   CASE WHEN best.wait IS NULL THEN '{fixed.TIMEOUT_TEXT}' END AS error

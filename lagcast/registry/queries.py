@@ -567,12 +567,16 @@ def stream_correlation(spark, folder):
     requests = request_stream(spark, file_topic(asked_path))
     responses = response_stream(spark, file_topic(answered_path))
     matched = correlate_stream(requests, responses)
-    return _drain(matched, matched.schema, spark).filter(F.col("request_id").isNotNull())
+    wall = {c: F.col(c).cast("timestamp_ntz") for c in ("req_ts", "resp_ts")}
+    outcome = _drain(matched, matched.schema, spark).filter(F.col("request_id").isNotNull())
+    return outcome.withColumns(wall)
 
 
 def _as_messages(df: DataFrame, time: str) -> DataFrame:
     fields = [c for c in df.columns if c != time]
-    return df.select(F.to_json(F.struct(*fields)).alias("value"), F.col(time).alias("timestamp"))
+    return df.select(
+        F.to_json(F.struct(*fields)).alias("value"), F.col(time).cast("timestamp").alias("timestamp")
+    )
 
 
 # --- analyses -----------------------------------------------------------------

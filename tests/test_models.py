@@ -84,7 +84,7 @@ def test_too_wide_category_is_refused(table, monkeypatch):
     from lagcast.operators import trees
 
     monkeypatch.setattr(trees, "WIDEST_CATEGORY", 10)
-    with pytest.raises(ValueError, match="category"):
+    with pytest.raises(ValueError, match="about"):
         fit_recipe(prepare(table), RECIPES["service"].sized(1))
 
 

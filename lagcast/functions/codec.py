@@ -25,7 +25,7 @@ def encode(*fields: str | Column) -> Column:
 
 # What may be a whole number. A failed cast raises and catches inside the JVM,
 # which costs far more than the look at the text that avoids it.
-INTEGER_PATTERN = r"^\s*[+-]?[0-9]{1,10}\s*$"
+INTEGER_PATTERN = r"^\s*[+-]?0*[0-9]{1,10}\s*$"
 
 
 def as_integer(text: Column) -> Column:

@@ -368,7 +368,9 @@ FROM sent WHERE k % 10 < 9 AND k % 3 = 0""",
     "percentages": on_prepared(f"SELECT event_id, {_TWO_DECIMALS} AS share FROM prepared"),
     # requests
     "parsed_requests": on_requests(f"SELECT {', '.join(_FIELDS)} FROM parsed"),
-    "coerced_requests": on_requests("SELECT * FROM coerced"),
+    "coerced_requests": on_requests(
+        "SELECT * REPLACE (CAST(Month AS DOUBLE) AS Month, CAST(Hour AS DOUBLE) AS Hour) FROM coerced"
+    ),
     "dead_letters": on_requests("SELECT request_id, error FROM coerced WHERE error IS NOT NULL"),
     "request_payloads": _with(
         FLIGHTS, _WIRE,

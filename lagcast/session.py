@@ -20,6 +20,14 @@ SETTINGS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+# For streams that match requests and responses: state beyond memory.
+STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def local_session(cores: int | str = "*", name: str = "lagcast", **conf) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lagcast.operators import metrics
@@ -56,24 +57,40 @@ def test_auc_equals_the_evaluator(spark):
     assert metrics.model_auc(df).first().auc == pytest.approx(metrics.evaluator_auc(df, bins=0), abs=1e-9)
 
 
-def test_preceding_totals_over_many_partitions(spark):
+@pytest.fixture(params=[("8", "true"), ("64", "true"), ("64", "false")], ids=str)
+def shuffle(spark, request):
+    """Partitions and adaptive execution, which may merge them."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, request.param):
+        spark.conf.set(name, value)
+    yield
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+def test_preceding_totals_over_many_partitions(spark, shuffle):
     df = spark.range(10000).select(F.pmod(F.hash("id"), F.lit(2)).alias("g"), "id", F.lit(1).alias("one"))
     got = preceding_totals(df.repartition(16), [F.asc("id")], {"rank": "one"}, within=("g",))
     wrong = got.join(
         got.groupBy("g").agg(F.count("*").alias("n"), F.max("rank").alias("top"), F.count_distinct("rank").alias("d")), "g"
     ).filter("n <> d or top <> n - 1")
     assert wrong.count() == 0
-    from pyspark.sql import Window
-
     lag = F.lag("rank").over(Window.partitionBy("g").orderBy("id"))
     assert got.withColumn("before", lag).filter("rank <> before + 1").count() == 0
 
 
-def test_no_window_runs_over_all_rows_in_one_task(spark):
-    df = spark.range(100).select(F.col("id").cast("double").alias("score"), (F.col("id") % 2).cast("double").alias("Label"))
-    plan = metrics.auc(df)._jdf.queryExecution().executedPlan().toString()
-    # The only single-partition steps are over one row per partition and the final sums.
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+def test_only_partition_sums_meet_in_one_task(spark):
+    rows = spark.range(1000).select(
+        F.col("id").cast("double").alias("score"), (F.col("id") % 2).cast("double").alias("Label")
+    )
+    plan = metrics.auc(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    lines = plan.splitlines()
+    single = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
+    assert len(single) == 2
+    # Below each is an aggregate: the final sums, or one row per partition.
+    assert all("HashAggregate" in lines[i + 1] for i in single)
 
 
 def test_compare(rows):

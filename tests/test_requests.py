@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from lagcast.functions.codec import as_decimal, as_integer
 from lagcast.functions.risk import delay_probability, percent, risk_band, verdict
 from lagcast.operators.requests import (
     coerce_request, split_bad, valid_request, with_request_defaults, with_request_id,
@@ -166,3 +168,23 @@ def test_messages_are_parsed_once(rows):
     good, _ = split_bad(coerce_request(parse_requests(rows([("{}",)], "value string"))))
     plan = good.filter(F.col("Temperature") > 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_numbers_are_what_python_reads(rows):
+    """Random texts: the same ones are numbers, with the same values."""
+    draw = random.Random(7)
+    pieces = list("0123456789") * 2 + list("+-.eE \t") + ["inf", "nan", "d", "f", "0x", "00"]
+    texts = sorted({"".join(draw.choices(pieces, k=draw.randrange(0, 7))) for _ in range(6000)})
+
+    def read(kind, text, low, high):
+        try:
+            value = kind(text)
+        except ValueError:
+            return None
+        return value if low <= value <= high else None
+
+    inf = float("inf")
+    got = rows([(t,) for t in texts], "t string").select("t", as_integer(F.col("t")), as_decimal(F.col("t")))
+    for text, whole, number in got.collect():
+        assert whole == read(int, text, -(2**31), 2**31 - 1), repr(text)
+        assert number == read(float, text, -inf, inf), repr(text)

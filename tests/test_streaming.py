@@ -11,6 +11,7 @@ from lagcast.operators.requests import (
 from lagcast.plans.predicting import respond
 from lagcast.plans.recipes import RECIPES
 from lagcast.plans.training import train_for_service
+from lagcast.session import STREAM_SETTINGS
 from lagcast.sources.fixture import flights
 from lagcast.sources.topics import (
     file_topic, messages, request_stream, response_stream, write_requests, write_responses,
@@ -78,7 +79,17 @@ def test_stream_equals_batch(spark, model, send, tmp_path):
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
 
 
-def test_matching_with_timeouts_over_restarts(spark, send, tmp_path):
+@pytest.fixture(params=[False, True], ids=["memory", "rocksdb"])
+def state(spark, request):
+    """The state store that matching uses."""
+    for name, value in STREAM_SETTINGS.items() if request.param else ():
+        spark.conf.set(name, value)
+    yield
+    for name in STREAM_SETTINGS:
+        spark.conf.unset(name)
+
+
+def test_matching_with_timeouts_over_restarts(spark, send, tmp_path, state):
     def answer(request_id, p):
         return json.dumps({"request_id": request_id, "probability": p, "risk": "Low"})
 

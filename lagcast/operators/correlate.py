@@ -6,8 +6,6 @@ from pyspark.sql import types as T
 
 from lagcast import fixed
 
-OUTCOME = ("request_id", "req_ts", "resp_ts", "probability", "risk", "error")
-
 
 def timeout_error(answered: Column, text: str = fixed.TIMEOUT_TEXT) -> Column:
     """Null for an answered request, the timeout text for others."""

@@ -22,7 +22,7 @@ from lagcast.operators.vocabulary import frequency_index, vocabulary
 from lagcast.plans.predicting import predict, respond
 from lagcast.registry.inputs import (
     KEY, answered, asked, experiment, flights, lacking_requests, prepared, request_messages,
-    small_model, table, tenth, toxic_documents, very_late, wire_requests,
+    small_model, tenth, toxic_documents, very_late, wire_requests,
 )
 from lagcast.schemas import MESSAGE, RAW_REQUEST
 from lagcast.session import scratch_path

@@ -105,22 +105,10 @@ def judge_urls(
     verdict are replaced. One narrow pass; no shuffle.
     """
     context = df.sparkSession.sparkContext
-    out = "host string, path string, rule string, action string"
     best = None
     source = F.col(url) if isinstance(url, str) else url
     for shard in _shards(rules, shard_bytes):
-        shared = context.broadcast(Trie(shard))
-
-        @F.pandas_udf(out)
-        def fit(urls: pd.Series, shared=shared) -> pd.DataFrame:
-            trie = shared.value
-            rows = []
-            for text in urls:
-                host, path = split_url(text)
-                rows.append((host, path, *(trie.longest(host, path) or (None, None))))
-            return pd.DataFrame(rows, columns=["host", "path", "rule", "action"])
-
-        fitted = fit(source)
+        fitted = _fitting(context.broadcast(Trie(shard)))(source)
         best = fitted if best is None else _longer(best, fitted)
     taken = {"host", "path", "rule", "verdict"}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
@@ -134,6 +122,19 @@ def judge_urls(
     )
 
 
+def _fitting(shared):
+    @F.pandas_udf("host string, path string, rule string, action string")
+    def fit(urls: pd.Series) -> pd.DataFrame:
+        trie = shared.value
+        rows = []
+        for text in urls:
+            host, path = split_url(text)
+            rows.append((host, path, *(trie.longest(host, path) or (None, None))))
+        return pd.DataFrame(rows, columns=["host", "path", "rule", "action"])
+
+    return fit
+
+
 def _longer(a: Column, b: Column) -> Column:
     size = lambda x: F.coalesce(F.length(x["rule"]), F.lit(-1))
     stricter = (size(b) == size(a)) & (b["action"] == F.lit(BLOCK))

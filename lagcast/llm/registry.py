@@ -1,7 +1,11 @@
 """Registered queries of this subpackage and their SQL."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lagcast.llm.compression_bands import compression_bands
+from lagcast.llm.folds import is_fold
+from lagcast.llm.quality_classifier import fit_quality, score_quality
 from lagcast.llm.url_filter import judge_urls
 
 URL_RULES = [
@@ -17,6 +21,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document, learned from four fifths of the labels."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where(~is_fold("doc_id", 5, 0))
+    model = fit_quality(docs, labels, label="quality")
+    scored = score_quality(docs, model, threshold=0.3, keep=["doc_id"])
+    return scored.select("doc_id", is_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op4_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """Text statistics and the verdict of the compression bands on every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return compression_bands(docs, keep=["doc_id"])
+
+
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict on every page's URL."""
     pages = table(spark, folder, "pages").select("page_id", "url")
@@ -24,6 +43,8 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op4_compression_bands": op4_compression_bands,
     "op6_url_filter": op6_url_filter,
 }
 

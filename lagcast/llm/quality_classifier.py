@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lagcast.llm.arrays import Texts, add_columns
-from lagcast.llm.folds import smallest
+from lagcast.llm.folds import chunks, smallest
 from lagcast.llm.logistic import Logistic
 
 # Bounds of what is learned from: labelled documents of each class, chunks of each
@@ -114,12 +114,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text
     labelled = labelled.select("__label", "__rank", "text").where(F.length("text") > 0)
     calibrates = F.pmod(F.col("__rank"), F.lit(5)) >= 3
 
-    chunked = labelled.where(~calibrates).mapInArrow(_chunks, "__label int, chunk binary, rank long")
-    samples = [
-        [r[0] for r in smallest(chunked.where(F.col("__label") == k), SAMPLE_CHUNKS, F.col("rank"), F.col("chunk")).select("chunk").collect()]
+    chunked = chunks(labelled.where(~calibrates), "__label", "__rank", "text", (SAMPLE_CHUNK,))
+    bad, good = (
+        [bytes(r.chunk) for r in smallest(chunked.where(F.col("label") == k), SAMPLE_CHUNKS, F.col("rank"), F.col("chunk")).collect()]
         for k in (0, 1)
-    ]
-    model = CompressionModel(_dictionary([bytes(s) for s in samples[1]]), _dictionary([bytes(s) for s in samples[0]]), prior)
+    )
+    model = CompressionModel(_dictionary(good), _dictionary(bad), prior)
     if not model.complete:
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -143,22 +143,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text
     return model
 
 
-def _chunks(batches):
-    """Chunks of the texts with a rank for sampling them evenly."""
-    for batch in batches:
-        out: list[tuple] = []
-        for label, rank, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            content = text.encode()
-            for i in range(0, len(content), SAMPLE_CHUNK):
-                place = (rank * 0x9E3779B97F4A7C15 + i * 0xD6E8FEB86659FD93) % (1 << 63)
-                out.append((label, content[i : i + SAMPLE_CHUNK], place))
-        columns = list(zip(*out)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())],
-            names=["__label", "chunk", "rank"],
-        )
-
-
 def score_quality(df: DataFrame, model: CompressionModel, *, text: str = "text", threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``score`` (0 to 1, higher: likelier good) and ``predicted`` (1 from the threshold on).
 

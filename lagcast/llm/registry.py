@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lagcast.llm.compression_bands import compression_bands
 from lagcast.llm.folds import is_fold
+from lagcast.llm.language_id import fit_languages, identify_language
 from lagcast.llm.quality_classifier import fit_quality, score_quality
 from lagcast.llm.url_filter import judge_urls
 
@@ -42,10 +43,19 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs.where(~is_fold("doc_id", 3, 1)))
+    found = identify_language(docs.drop("lang"), model, keep=["doc_id"])
+    return found.select("doc_id", is_fold("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_compression_bands": op4_compression_bands,
     "op6_url_filter": op6_url_filter,
+    "op10_language_id": op10_language_id,
 }
 
 _RULE_ROWS = ", ".join(f"('{rule.split('/')[0]}', '/{rule.partition('/')[2]}', '{rule}', '{action}')" for action, rule in URL_RULES)

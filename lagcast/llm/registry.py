@@ -3,11 +3,21 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from lagcast.llm.byte_bpe import Vocabulary, decode_bpe, encode_bpe, read_ranks
 from lagcast.llm.compression_bands import compression_bands
 from lagcast.llm.folds import is_fold
 from lagcast.llm.language_id import fit_languages, identify_language
+from lagcast.llm.packing import cut_documents, pack
 from lagcast.llm.quality_classifier import fit_quality, score_quality
+from lagcast.llm.sequence_files import read_documents, write_sequences
+from lagcast.llm.tokenizing import read_tokenizer
 from lagcast.llm.url_filter import judge_urls
+from lagcast.session import scratch_path
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 URL_RULES = [
     ("allow", "org/"),
@@ -31,12 +41,42 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", is_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 2048 tokens."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = cut_documents(docs, read_tokenizer(TOKENIZER), end_id=1, keep=["doc_id"])
+    summed = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    packed = pack(summed, order=["doc_id", "start", "ids_crc32"])
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the ids of every document, and of the bytes decoded from them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    vocabulary = Vocabulary(read_ranks(RANKS))
+    decoded = decode_bpe(encode_bpe(docs, vocabulary, keep=["doc_id"]), vocabulary)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     """Text statistics and the verdict of the compression bands on every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return compression_bands(docs, keep=["doc_id"])
 
 
+def op5_sequence_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as it is read back from the written sequence files."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    files = write_sequences(docs, read_tokenizer(TOKENIZER), scratch_path(spark, "sequences"), end_id=2)
+    read = read_documents(spark, files)
+    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict on every page's URL."""
     pages = table(spark, folder, "pages").select("page_id", "url")
@@ -53,7 +93,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_packing": op2_packing,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_compression_bands": op4_compression_bands,
+    "op5_sequence_files": op5_sequence_files,
     "op6_url_filter": op6_url_filter,
     "op10_language_id": op10_language_id,
 }

@@ -9,6 +9,7 @@ from lagcast.llm.byte_bpe import Vocabulary, decode_bpe, encode_bpe, read_ranks
 from lagcast.llm.compression_bands import compression_bands
 from lagcast.llm.folds import is_fold
 from lagcast.llm.language_id import fit_languages, identify_language
+from lagcast.llm.near_duplicates import near_duplicates
 from lagcast.llm.packing import cut_documents, pack
 from lagcast.llm.quality_classifier import fit_quality, score_quality
 from lagcast.llm.sequence_files import read_documents, write_sequences
@@ -83,6 +84,12 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of near copies of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_duplicates(docs, width=3, percent=85)
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from two thirds of them."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -98,12 +105,39 @@ QUERIES = {
     "op4_compression_bands": op4_compression_bands,
     "op5_sequence_files": op5_sequence_files,
     "op6_url_filter": op6_url_filter,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_language_id": op10_language_id,
 }
 
 _RULE_ROWS = ", ".join(f"('{rule.split('/')[0]}', '/{rule.partition('/')[2]}', '{rule}', '{action}')" for action, rule in URL_RULES)
 
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
 ORACLE = {
+    "op8_near_duplicates": f"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, {_WORDS.format(text=f"coalesce({_LOWERED}, '')")} AS words FROM documents),
+        shingled AS (
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN []
+                WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(words) - 1),
+                                                  lambda i: array_to_string(words[i:i + 2], ' '))) END AS shingles
+            FROM worded),
+        single AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM shingled),
+        alike AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM single a JOIN single b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id
+            HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reached AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION
+            SELECT r.a, l.b FROM reached r JOIN alike l ON r.b = l.a),
+        least AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+        SELECT s.doc_id, len(s.shingles) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
+        FROM shingled s JOIN least l USING (doc_id)
+    """,
     "op6_url_filter": f"""
         WITH rules(rule_host, rule_path, rule, verdict) AS (VALUES {_RULE_ROWS}),
         rest AS (

@@ -1,9 +1,81 @@
-"""The corpus pipeline: stages over documents, each on all that the one before it kept."""
+"""The corpus pipeline: stages over documents, each on all that the one before it kept.
 
-STAGES = []
+Documents go that the quality classifier or the quality rules reject, and all but one
+of each group of near copies (five-word shingles, similarity 0.8). What is left is
+packed into sequences of 2048 tokens. Every stage but the last returns the columns of
+its input.
+"""
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lagcast.llm.compression_bands import compression_bands
+from lagcast.llm.near_duplicates import near_duplicates
+from lagcast.llm.packing import cut_documents, pack
+from lagcast.llm.quality_classifier import fit_quality, score_quality
+from lagcast.llm.tokenizing import read_tokenizer
+from lagcast.session import scratch_path
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _decided(docs: DataFrame, judge, verdict: str) -> DataFrame:
+    """The rows of ``docs`` whose verdict holds, with the columns they had.
+
+    Columns travel under a struct, so none of their names meets one of the operator's.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return judge(packed).where(verdict).select("row.*")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are likelier bad by the compression classifier."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit_quality(docs, labels, label="quality")
+    return _decided(docs, lambda df: score_quality(df, model, threshold=0.3), "predicted = 1")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the text rules or the compression bands reject."""
+    return _decided(docs, compression_bands, "kept")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies.
+
+    Of rows with the same id and text, one stays.
+    """
+    judged = near_duplicates(docs, width=5, percent=80)
+    dropped = judged.where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 2048 tokens."""
+    pieces = cut_documents(docs.select("doc_id", "text"), read_tokenizer(TOKENIZER), end_id=1, keep=["doc_id"])
+    summed = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    packed = pack(summed, order=["doc_id", "start", "ids_crc32"])
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("packing", packing),
+]
+
+# The classifier is trained and compresses; SQL cannot express it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages applied to the documents of a folder."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; every stage is written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

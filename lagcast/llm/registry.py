@@ -7,8 +7,10 @@ import public_tokenizers
 
 from lagcast.llm.byte_bpe import Vocabulary, decode_bpe, encode_bpe, read_ranks
 from lagcast.llm.compression_bands import compression_bands
+from lagcast.llm.components import stored
 from lagcast.llm.folds import is_fold
 from lagcast.llm.language_id import fit_languages, identify_language
+from lagcast.llm.maxent_lm import count_words, fit_maxent, frequent, score_documents
 from lagcast.llm.near_duplicates import near_duplicates
 from lagcast.llm.packing import cut_documents, pack
 from lagcast.llm.quality_classifier import fit_quality, score_quality
@@ -90,6 +92,19 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(docs, width=3, percent=85)
 
 
+def op9_maxent_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Language-model scores of every document, learned from six sevenths of them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    training = docs.where(F.col("doc_id").isNotNull() & ~is_fold("doc_id", 7, 2))
+    words = stored(count_words(training), "words")
+    counts = frequent(words)
+    model = fit_maxent(training, counts, spread=F.xxhash64("doc_id"))
+    scored = score_documents(docs, model, counts, words)
+    return scored.select(
+        "doc_id", is_fold("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from two thirds of them."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -106,6 +121,7 @@ QUERIES = {
     "op5_sequence_files": op5_sequence_files,
     "op6_url_filter": op6_url_filter,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_maxent_lm": op9_maxent_lm,
     "op10_language_id": op10_language_id,
 }
 

@@ -11,6 +11,7 @@ from lagcast.llm.components import stored
 from lagcast.llm.folds import is_fold
 from lagcast.llm.language_id import fit_languages, identify_language
 from lagcast.llm.maxent_lm import count_words, fit_maxent, frequent, score_documents
+from lagcast.llm.multi_index import nearest
 from lagcast.llm.near_duplicates import near_duplicates
 from lagcast.llm.packing import cut_documents, pack
 from lagcast.llm.quality_classifier import fit_quality, score_quality
@@ -86,6 +87,11 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    return nearest(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """The group of near copies of every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -120,6 +126,7 @@ QUERIES = {
     "op4_compression_bands": op4_compression_bands,
     "op5_sequence_files": op5_sequence_files,
     "op6_url_filter": op6_url_filter,
+    "op7_multi_index": op7_multi_index,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_maxent_lm": op9_maxent_lm,
     "op10_language_id": op10_language_id,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lagcast.llm.compression_bands import compression_bands
 from lagcast.llm.near_duplicates import near_duplicates
-from lagcast.llm.packing import cut_documents, pack
+from lagcast.llm.packing import pack_documents
 from lagcast.llm.quality_classifier import fit_quality, score_quality
 from lagcast.llm.tokenizing import read_tokenizer
 from lagcast.session import scratch_path
@@ -54,10 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
-    pieces = cut_documents(docs.select("doc_id", "text"), read_tokenizer(TOKENIZER), end_id=1, keep=["doc_id"])
-    summed = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    packed = pack(summed, order=["doc_id", "start", "ids_crc32"])
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack_documents(docs, read_tokenizer(TOKENIZER), end_id=1)
 
 
 STAGES = [

@@ -4,11 +4,15 @@ Documents are cut into pieces of the sequence length and a rest. The number of
 rests of each length is all that packing needs: a histogram with one row per length,
 however many documents there are. For the longest rest left, subset sums over the
 remaining lengths are kept as one bitset; the reachable sum closest to the free
-space is traced back to counts of lengths. That combination serves as many sequences
-as its counts allow, so there are about as many combinations as lengths. Every piece
-then finds its place from its rank among the pieces of its length.
+space is traced back to counts of lengths. If more than ``TOLERANCE`` ids stay free, as
+when one length is far more frequent than its partners, one more rest is cut to fill
+them. That combination serves as many sequences as its counts allow, so there are about
+as many combinations as lengths. Every piece then finds its place from its rank among
+the pieces of its length.
 """
 
+import math
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -17,22 +21,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from lagcast.llm.arrays import add_columns
+from lagcast.llm.components import stored
 from lagcast.llm.tokenizing import encode_column, worker_encoder
-from lagcast.session import settled
 
 CAPACITY = 2048
-GROUP_ROWS = 20_000  # pieces that are ranked in one sort
+GROUP_ROWS = 1000  # pieces of one length that are ranked in one sort, or the root of their number
+TOLERANCE = 16  # ids of a sequence that may stay free before a piece is cut
 
 
 class Place(NamedTuple):
-    """Where the pieces of one length with ranks from ``rank`` on go."""
+    """Where the pieces of one length with ranks from ``rank`` on go.
+
+    If ``cut`` is above 0, only so many ids of each go there; what is left of a piece is
+    one of its new length, with a rank counted from ``rest`` on.
+    """
 
     length: int
     rank: int
     repeats: int
     sequence: int
     offset: int
+    cut: int
+    rest: int
 
 
 def closest_fill(counts: dict[int, int], lengths: list[int], space: int) -> dict[int, int]:
@@ -68,23 +78,34 @@ def minimum_slack(histogram: dict[int, int], capacity: int = CAPACITY) -> list[P
     counts = {k: v for k, v in histogram.items() if v > 0}
     if any(not 0 < k <= capacity for k in counts):
         raise ValueError("a piece is empty or longer than a sequence")
-    lengths, used = sorted(counts, reverse=True), dict.fromkeys(counts, 0)
+    made, used = Counter(counts), Counter()
     places, sequence = [], 0
-    while lengths:
+    while counts:
+        lengths = sorted(counts, reverse=True)
         longest = lengths[0]
         counts[longest] -= 1
-        chosen = closest_fill(counts, lengths, capacity - longest)
+        chosen = Counter(closest_fill(counts, lengths, capacity - longest))
         counts[longest] += 1
-        chosen[longest] = chosen.get(longest, 0) + 1
-        repeats = min(counts[k] // m for k, m in chosen.items())
+        chosen[longest] += 1
+        free = capacity - sum(k * m for k, m in chosen.items())
+        cuts = [k for k in lengths if k > free and counts[k] > chosen[k]] if free > TOLERANCE else []
+        needed = chosen + Counter(cuts[:1])
+        repeats = min(counts[k] // m for k, m in needed.items())
         offset = 0
         for length in sorted(chosen, reverse=True):
-            places.append(Place(length, used[length], repeats, sequence, offset))
+            places.append(Place(length, used[length], repeats, sequence, offset, 0, 0))
             offset += length * chosen[length]
             used[length] += repeats * chosen[length]
-            counts[length] -= repeats * chosen[length]
+        if cuts:
+            rest = cuts[0] - free
+            places.append(Place(cuts[0], used[cuts[0]], repeats, sequence, offset, free, made[rest]))
+            used[cuts[0]] += repeats
+            made[rest] += repeats
+            counts[rest] = counts.get(rest, 0) + repeats
+        for length, m in needed.items():
+            counts[length] -= repeats * m
+        counts = {k: v for k, v in counts.items() if v}
         sequence += repeats
-        lengths = [k for k in lengths if counts[k]]
     return places
 
 
@@ -128,24 +149,29 @@ def cut_documents(
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, order: list[str]) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``, by minimum bin slack.
 
-    ``length`` must lie between 1 and ``capacity``; a null length is an error. ``order``
-    names the columns that tell pieces apart; rows equal in them, repeated ones too,
-    get places of their own. Existing columns of the added names are replaced. The
-    pieces are settled on shared storage first, since they are counted and then
-    placed. Only the histogram comes to the driver, ``capacity`` rows at most.
-    Ranks are taken in groups of about ``GROUP_ROWS`` pieces of one length, so a
-    length that a third of all pieces have is no burden for one task.
+    Pieces have a ``start`` and a ``length``, which must lie between 1 and ``capacity``; a
+    null length is an error. A piece that is cut comes back as several, with their own
+    starts and lengths; its other columns are repeated. ``order`` names the columns that
+    tell pieces apart; rows equal in them, repeated ones too, get places of their own.
+    Existing columns of the added names are replaced.
+
+    The pieces are settled on shared storage, since they are counted and then placed.
+    Only the histogram comes to the driver, ``capacity`` rows at most. Ranks are taken in
+    groups of the pieces of one length, as many groups as it is frequent, so a length that
+    a third of all pieces have is no burden for one task.
     """
     taken = {"sequence_id", "offset"}
     pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in taken])
-    held = settled(pieces)
+    held = stored(pieces, "pieces")
     histogram = {r[0]: r[1] for r in held.groupBy("length").count().collect()}
     if None in histogram:
         raise ValueError("a piece has no length")
     places = sorted(minimum_slack(histogram, capacity))
-    groups = max(1, sum(histogram.values()) // GROUP_ROWS)
-    names = held.columns
-    salted = held.withColumn("__group", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int"))
+    groups = [1] * (capacity + 1)
+    for length, n in histogram.items():
+        groups[length] = max(1, n // max(GROUP_ROWS, math.isqrt(n)))
+    of_length = F.element_at(F.lit(np.array(groups, dtype=np.int32)), F.col("length").cast("int") + 1)
+    salted = held.withColumn("__group", F.pmod(F.xxhash64(*order), of_length).cast("int"))
     within = Window.partitionBy("length", "__group")
     sizes = salted.groupBy("length", "__group").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
@@ -153,20 +179,68 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, order: list[str]) -> Da
     ranked = (
         salted.withColumn("__row", F.row_number().over(within.orderBy(*order)))
         .join(starts, ["length", "__group"])
-        .withColumn("__rank", F.col("__base") + F.col("__row") - 1)
+        .select(*held.columns, (F.col("__base") + F.col("__row") - 1).alias("__rank"))
     )
-    shared = held.sparkSession.sparkContext.broadcast(np.array(places, dtype=np.int64).reshape(-1, 5))
-    added = StructType([StructField("sequence_id", LongType()), StructField("offset", LongType())])
-
-    def place(batch: pa.RecordBatch) -> dict:
-        length, rank = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("length", "__rank"))
-        table = shared.value
-        at = _find(table, length, rank)
-        _, first, repeats, sequence, offset = table[at].T
+    table = np.array(places, dtype=np.int64).reshape(-1, len(Place._fields))
+    shared = held.sparkSession.sparkContext.broadcast(table)
+    names = held.columns
+
+    def place(batches):
+        for batch in batches:
+            start, length, rank = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("start", "length", "__rank"))
+            row, new = _placed(shared.value, start, length, rank)
+            columns = {n: batch.column(batch.schema.get_field_index(n)).take(pa.array(row)) for n in names}
+            columns |= {n: pa.array(x) for n, x in new.items()}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    added = [StructField(n, LongType()) for n in ("sequence_id", "offset")]
+    kinds = {"start": LongType(), "length": LongType()}
+    schema = StructType([StructField(f.name, kinds.get(f.name, f.dataType)) for f in held.schema.fields] + added)
+    return ranked.mapInArrow(place, schema)
+
+
+def _placed(table: np.ndarray, start: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, dict]:
+    """The row that each resulting piece comes from, and its start, length and place."""
+    row, parts = np.arange(len(start)), []
+    while len(row):
+        _, first, repeats, sequence, offset, cut, rest = table[_find(table, length, rank)].T
         copy, turn = np.divmod(rank - first, repeats)
-        return {"sequence_id": sequence + turn, "offset": offset + copy * length}
+        here = np.where(cut > 0, cut, length)
+        parts.append((row, start, here, sequence + turn, offset + copy * length))
+        more = cut > 0
+        row, start, length = row[more], (start + cut)[more], (length - cut)[more]
+        rank = (rest + turn)[more]
+    row, *new = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 5
+    return row, dict(zip(("start", "length", "sequence_id", "offset"), new))
+
 
-    return add_columns(ranked, added, place, keep=names)
+def pack_documents(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+    """Every document's pieces in packed sequences, with a checksum of the ids of each.
+
+    Returns the key, start, length, ids_crc32 (of little-endian unsigned 32-bit ids),
+    doc_tokens, sequence_id and offset. Ids are not shuffled: checksums are made with the
+    pieces, and again for the few documents of which packing cuts a piece. A document is
+    known by its key and a hash of its text.
+    """
+    chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    pieces = cut_documents(chosen, tokenizer, end_id=end_id, capacity=capacity, keep=["key", "mark"])
+    summed = pieces.select("key", "mark", "start", "length", "doc_tokens", F.crc32("ids").alias("ids_crc32"))
+    summed = summed.withColumn("whole", F.col("length"))
+    packed = stored(pack(summed, capacity=capacity, order=["key", "mark", "start"]), "packed")
+    cut = packed.where(F.col("length") < F.col("whole"))
+    known = F.col("docs.key").eqNullSafe(F.col("cut.key")) & (F.col("docs.mark") == F.col("cut.mark"))
+    again = chosen.alias("docs").join(cut.select("key", "mark").distinct().alias("cut"), known, "left_semi")
+    again = cut_documents(again.dropDuplicates(["key", "mark"]), tokenizer, end_id=end_id, capacity=capacity, keep=["key", "mark"])
+    again = again.select("key", "mark", F.col("start").alias("from"), "ids")
+    from_ = F.floor(F.col("start") / capacity) * capacity
+    same = F.col("cut.key").eqNullSafe(F.col("again.key")) & (F.col("cut.mark") == F.col("again.mark"))
+    part = F.substring(F.col("ids"), (4 * (F.col("start") - F.col("from")) + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    mended = (
+        cut.withColumn("at", from_).alias("cut").join(again.alias("again"), same & (F.col("at") == F.col("from")))
+        .select("cut.key", "start", "length", F.crc32(part).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    )
+    rest = packed.where(F.col("length") == F.col("whole")).select(*mended.columns)
+    return rest.unionByName(mended).withColumnRenamed("key", key)
 
 
 def _find(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from lagcast.llm.language_id import fit_languages, identify_language
 from lagcast.llm.maxent_lm import count_words, fit_maxent, frequent, score_documents
 from lagcast.llm.multi_index import nearest
 from lagcast.llm.near_duplicates import near_duplicates
-from lagcast.llm.packing import cut_documents, pack
+from lagcast.llm.packing import pack_documents
 from lagcast.llm.quality_classifier import fit_quality, score_quality
 from lagcast.llm.sequence_files import read_documents, write_sequences
 from lagcast.llm.tokenizing import read_tokenizer
@@ -48,10 +48,7 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    pieces = cut_documents(docs, read_tokenizer(TOKENIZER), end_id=1, keep=["doc_id"])
-    summed = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    packed = pack(summed, order=["doc_id", "start", "ids_crc32"])
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack_documents(docs, read_tokenizer(TOKENIZER), end_id=1)
 
 
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,11 +14,23 @@ from pyspark.sql import functions as F
 from lagcast.session import scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as Parquet in the shared folder, with the lineage cut."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """The rows of ``df`` as Parquet in the shared folder, with the lineage cut.
+
+    ``batch_rows`` bounds the Arrow batches on the way, for rows of many bytes.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(ARROW_ROWS)
+    if batch_rows is not None:
+        spark.conf.set(ARROW_ROWS, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    return spark.read.parquet(path)
 
 
 class Forest:

@@ -28,7 +28,9 @@ PERCENT = 80
 MISS = 1e-6  # greatest chance that no band of two documents at the threshold agrees
 MAX_BANDS = 28
 BLOCK_ROWS = 256  # nodes of a block in comparisons across components
-BLOCK_HASHES = 1 << 20  # about as many hashes in a block
+BLOCK_HASHES = 1 << 19  # about as many hashes in a block
+BATCH_ROWS, PAIR_ROWS = 1000, 200  # rows with a text, or with two sets, that a task holds at once
+COLUMNS = 1 << 12  # shared hashes of two blocks that are counted at once
 
 
 def banding(percent: int, miss: float = MISS) -> tuple[int, int]:
@@ -197,9 +199,9 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     place = np.full(len(times), -1)
     place[shared] = np.arange(len(shared))
     found = np.zeros((len(left), len(right)), dtype=np.int64)
-    for low in range(0, len(shared), 1 << 14):
-        here = (place[column] >= low) & (place[column] < low + (1 << 14))
-        matrix = np.zeros((len(left) + len(right), min(len(shared) - low, 1 << 14)), dtype=np.float32)
+    for low in range(0, len(shared), COLUMNS):
+        here = (place[column] >= low) & (place[column] < low + COLUMNS)
+        matrix = np.zeros((len(left) + len(right), min(len(shared) - low, COLUMNS)), dtype=np.float32)
         matrix[owner[here], place[column[here]] - low] = 1
         found += np.rint(matrix[: len(left)] @ matrix[len(left) :].T).astype(np.int64)
     return found
@@ -245,7 +247,7 @@ def near_duplicates(
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema["key"].dataType.simpleString()
     schema = f"key {kind}, n_shingles long, node binary, bands array<bigint>"
-    signed = stored(docs.mapInArrow(_signed(width, bands, rows), schema), "signatures")
+    signed = stored(docs.mapInArrow(_signed(width, bands, rows), schema), "signatures", BATCH_ROWS)
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("least"), F.first("bands").alias("bands"))
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
@@ -260,12 +262,12 @@ def near_duplicates(
     chosen = nodes.join(popular.select("node"), "node", "left_semi").select(F.col("least").alias("key"), "node")
     wanted = docs.join(chosen.hint("shuffle_hash"), "key").select("text", "node")
     sets = wanted.mapInArrow(_sets(width), "node binary, hashes binary")
-    sets = stored(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    sets = stored(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets", BATCH_ROWS)
 
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-    links = stored(joined.mapInArrow(_linked(percent), "a binary, b binary"), "links")
+    links = stored(joined.mapInArrow(_linked(percent), "a binary, b binary"), "links", PAIR_ROWS)
     more = _links_across(pairs, links, sets, percent)
     labels = components(links.unionByName(more))
 

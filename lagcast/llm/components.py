@@ -6,9 +6,11 @@ much smaller graph, treated the same way. A node of any degree gives each task's
 one row only, so no group and no task grows with it.
 """
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagcast.session import scratch_path
@@ -17,20 +19,27 @@ from lagcast.session import scratch_path
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None):
+    """Jobs inside have at most ``rows`` rows in an Arrow batch, or as many as before."""
+    before = spark.conf.get(ARROW_ROWS)
+    if rows is not None:
+        spark.conf.set(ARROW_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """The rows of ``df`` as Parquet in the shared folder, with the lineage cut.
 
     ``batch_rows`` bounds the Arrow batches on the way, for rows of many bytes.
     """
-    spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(ARROW_ROWS)
-    if batch_rows is not None:
-        spark.conf.set(ARROW_ROWS, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
-    try:
+    path = scratch_path(df.sparkSession, name)
+    with arrow_rows(df.sparkSession, batch_rows):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(ARROW_ROWS, before)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 class Forest:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagcast.llm.arrays import U64, Spans, Texts, mix
-from lagcast.llm.components import stored
+from lagcast.llm.components import arrow_rows, stored
 from lagcast.llm.pretokens import Memory
 
 VOCABULARY = 2048
@@ -31,6 +31,7 @@ ROUNDS = 3
 STEP = 8192  # tokens of one gradient step
 RATE = 0.6
 TASKS_PER_CORE = 2
+BATCH_ROWS = 1000  # texts that a task holds at once
 BLOCKS = 16  # parts in which changes of weights travel
 
 CHANGES = "task int, block int, tokens long, change binary"
@@ -254,7 +255,9 @@ def fit_maxent(docs: DataFrame, counts: Counts, *, text: str = "text", spread: C
         for raw, keys in ((True, ["block", F.pmod("task", F.lit(8))]), (False, ["block"])):
             changes = changes.repartition(*keys).mapInArrow(_summed(raw), CHANGES)
         flat = model.flat()
-        for row in changes.collect():  # the weights once, in blocks
+        with arrow_rows(spark, BATCH_ROWS):
+            blocks = changes.collect()  # the weights once, in blocks
+        for row in blocks:
             low = row.block * size
             if row.tokens:
                 change = np.frombuffer(row.change, np.float32)
@@ -372,7 +375,7 @@ def score_documents(
 
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema["key"].dataType.simpleString()
-    scored = stored(docs.mapInArrow(run, WORDS.format(key=kind)), "scored")
+    scored = stored(docs.mapInArrow(run, WORDS.format(key=kind)), "scored", BATCH_ROWS)
     rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
     counted = rare.join(words, "word", "left").groupBy("row").agg(
         F.sum("times").alias("times"),

@@ -26,6 +26,7 @@ from lagcast.llm.tokenizing import encode_column, worker_encoder
 
 CAPACITY = 2048
 GROUP_ROWS = 1000  # pieces of one length that are ranked in one sort, or the root of their number
+BATCH_ROWS = 1000  # texts that a task holds at once
 TOLERANCE = 16  # ids of a sequence that may stay free before a piece is cut
 
 
@@ -162,7 +163,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, order: list[str]) -> Da
     """
     taken = {"sequence_id", "offset"}
     pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in taken])
-    held = stored(pieces, "pieces")
+    held = stored(pieces, "pieces", BATCH_ROWS)
     histogram = {r[0]: r[1] for r in held.groupBy("length").count().collect()}
     if None in histogram:
         raise ValueError("a piece has no length")

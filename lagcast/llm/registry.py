@@ -99,7 +99,7 @@ def op9_maxent_lm(spark: SparkSession, folder: str) -> DataFrame:
     """Language-model scores of every document, learned from six sevenths of them."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     training = docs.where(F.col("doc_id").isNotNull() & ~is_fold("doc_id", 7, 2))
-    words = stored(count_words(training), "words")
+    words = stored(count_words(training), "words", 1000)
     counts = frequent(words)
     model = fit_maxent(training, counts, spread=F.xxhash64("doc_id"))
     scored = score_documents(docs, model, counts, words)

@@ -25,12 +25,12 @@ def encode(*fields: str | Column) -> Column:
 
 # What may be a whole number. A failed cast raises and catches inside the JVM,
 # which costs far more than the look at the text that avoids it.
-INTEGER_PATTERN = r"^\s*[+-]?0*[0-9]{1,10}\s*$"
+INTEGER_PATTERN = r"^\s*([+-]?0*[0-9]{1,10})(\.0*)?\s*$"
 
 
 def as_integer(text: Column) -> Column:
-    """Whole number or null."""
-    return F.when(text.rlike(INTEGER_PATTERN), text.try_cast("int"))
+    """Whole number or null; ``7.0`` is whole, ``5.7`` is not."""
+    return F.when(text.rlike(INTEGER_PATTERN), F.regexp_extract(text, INTEGER_PATTERN, 1).try_cast("int"))
 
 
 def as_decimal(text: Column) -> Column:

@@ -83,7 +83,7 @@ def with_ratio_weight(
     The ratio enters as a scalar subquery: no join, nothing on the driver.
     """
     ratio = balance_ratio(source if source is not None else df, label).select("ratio").scalar()
-    return weigh(df, F.lit(1.0), ratio, name, label)
+    return df.withColumn(name, F.when(F.col(label) == 1.0, ratio).otherwise(1.0))
 
 
 def with_balanced_weight(

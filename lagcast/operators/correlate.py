@@ -12,7 +12,8 @@ def timeout_error(answered: Column, text: str = fixed.TIMEOUT_TEXT) -> Column:
     return F.when(~answered, F.lit(text))
 
 
-def _microseconds(interval: str) -> int:
+def microseconds(interval: str) -> int:
+    """An interval such as ``10 seconds`` in microseconds."""
     amount, unit = interval.split()
     return int(amount) * {"second": 1, "minute": 60, "hour": 3600}[unit.rstrip("s")] * 1_000_000
 
@@ -28,7 +29,8 @@ def correlate(
     """Each request with the first response of its id within ``timeout``.
 
     Requests are ``(request_id, req_ts)``, responses ``(request_id, resp_ts,
-    probability, risk)``. A request without one gets the timeout error.
+    probability, risk)``. A request without one gets the timeout error, and so does
+    one without an id.
 
     Instead of a join, whose output grows with the product of the rows of a
     repeated id, both sides are laid on one time line. It is cut into slots as
@@ -36,7 +38,7 @@ def correlate(
     next; responses go into both. One shuffle by id and slot spreads a hot id
     over its slots, and within a slot the next response is a running value.
     """
-    width = _microseconds(timeout)
+    width = microseconds(timeout)
     at = F.unix_micros(F.col("req_ts").cast("timestamp"))
     asked = requests.select(
         "request_id",
@@ -46,8 +48,10 @@ def correlate(
         F.lit(None).cast(_answer_type(responses)).alias("answer"),
         F.lit(True).alias("asks"),
     )
-    # Repeated deliveries are one before anything is copied.
-    delivered = responses.select("request_id", "resp_ts", "probability", "risk").distinct()
+    # A response without an id answers nothing; a repeated one changes nothing.
+    delivered = responses.select("request_id", "resp_ts", "probability", "risk").where(
+        F.col("request_id").isNotNull()
+    )
     moment = F.unix_micros(F.col("resp_ts").cast("timestamp"))
     own = F.floor(F.col("at") / width)
     given = delivered.withColumn("at", moment).select(

@@ -7,7 +7,7 @@ from lagcast import fixed
 from lagcast.functions.codec import as_decimal, as_integer
 from lagcast.functions.once import with_computed
 from lagcast.schemas import CATEGORY_FIELDS, DECIMAL_FIELDS, INTEGER_FIELDS
-from lagcast.session import settled, small_side
+from lagcast.session import settled
 
 
 def with_request_id(df: DataFrame) -> DataFrame:
@@ -76,12 +76,12 @@ def valid_request(
 ) -> DataFrame:
     """Coerced requests within the input ranges and with known categories.
 
-    ``labels`` are ``(kind, label)`` rows. They are computed once; a kind's
-    labels are then broadcast if their count allows it.
+    ``labels`` are ``(kind, label)`` rows. They are computed once; whether a kind's
+    labels are broadcast follows from their size, which is known then.
     """
     kept = df.filter(in_ranges(ranges or fixed.INPUT_RANGES["route"]))
     stored = settled(labels.filter(F.col("kind").isin(*kinds)).select("kind", "label").distinct())
     for kind in kinds:
         known = stored.filter(F.col("kind") == kind).select(F.col("label").alias(kind))
-        kept = kept.join(small_side(known), kind, "left_semi")
+        kept = kept.join(known, kind, "left_semi")
     return kept.select(*df.columns)

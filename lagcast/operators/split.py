@@ -25,7 +25,7 @@ def split(
 
     ``hash`` puts a row where its key says: the same row lands in the same part
     however the table is partitioned, and after a lost executor too. Without a
-    key the whole row is the key, so exact copies stay together. Either way a
+    key, or where it is null, the whole row is the key, so exact copies stay together. Either way a
     row is placed where it is read, without a shuffle. ``random`` draws per
     partition; the same seed over another partitioning gives other parts.
     """
@@ -35,6 +35,6 @@ def split(
     if mode != "hash":
         raise ValueError(f"unknown split mode {mode!r}")
     named = F.col(key) if isinstance(key, str) else key
-    bucket = row_bucket(df) if named is None else F.coalesce(hash_bucket(named), F.lit(BUCKETS))
+    bucket = row_bucket(df) if named is None else F.coalesce(hash_bucket(named), row_bucket(df))
     training = bucket < F.lit(_bound(ratio))
     return df.filter(training), df.filter(~training)

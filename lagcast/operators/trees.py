@@ -12,9 +12,6 @@ from lagcast.session import shared_dir
 # Statistics memory per pass: more nodes are split per pass over the data.
 PASS_MEMORY_MB = 512
 
-# Values a category may have (about): every split's histogram is as wide as it.
-WIDEST_CATEGORY = 10_000
-
 
 def rf(weight_col: str | None = "classWeight", trees: int = 40, **params) -> RandomForestClassifier:
     """A random forest on the delay label."""
@@ -44,16 +41,6 @@ def gbt(weight_col: str | None = None, rounds: int = 30, **params) -> GBTClassif
     return boosted if weight_col is None else boosted.setWeightCol(weight_col)
 
 
-def _require_narrow(df: DataFrame, categories: tuple[str, ...]) -> None:
-    """Refuse a far too wide category before its labels are gathered on the driver."""
-    about = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in categories]).first()
-    for name, values in about.asDict().items():
-        if values > WIDEST_CATEGORY:
-            raise ValueError(
-                f"{name} has about {values} values; trees take at most {WIDEST_CATEGORY}"
-            )
-
-
 def _widest(model: PipelineModel) -> int:
     fitted = indexer_of(model)
     extra = 1 if fitted.getHandleInvalid() == "keep" else 0
@@ -70,7 +57,6 @@ def fit(df: DataFrame, categories: tuple[str, ...], layout: str, estimator, inva
     trees themselves keep their binned form of it between rounds.
     """
     shared_dir(df.sparkSession)  # where boosting cuts its growing lineage
-    _require_narrow(df, categories)
     stages = [index(categories, invalid).fit(df)]
     current = stages[0].transform(df)
     if indicators:

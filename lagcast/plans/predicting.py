@@ -20,15 +20,22 @@ def respond(model: PipelineModel, good: DataFrame, scheme: str = "service") -> D
     )
 
 
-def _unknown_category(model: PipelineModel) -> Column:
-    """Names the categories a model that raises at unseen values would raise at."""
+def _with_unknown(model: PipelineModel, requests: DataFrame) -> DataFrame:
+    """``requests`` with ``unknown``: the categories a model that raises at unseen values would raise at.
+
+    A copy of the fitted indexer gives such values the index behind the last label.
+    """
     if indexer_of(model).getHandleInvalid() != "error":
-        return F.lit(None).cast("string")
+        return requests.withColumn("unknown", F.lit(None).cast("string"))
+    labels = labels_of(model)
+    looked = {f"_at_{kind}": kind for kind in labels}
+    finder = indexer_of(model).copy().setHandleInvalid("keep").setOutputCols(list(looked))
     faults = [
-        F.when(~F.col(kind).isin(labels), F.lit(f"unknown {kind}"))
-        for kind, labels in labels_of(model).items()
+        F.when(F.col(kind).isNotNull() & (F.col(at) == len(labels[kind])), F.lit(f"unknown {kind}"))
+        for at, kind in looked.items()
     ]
-    return F.nullif(F.concat_ws(", ", *faults), F.lit(""))
+    found = finder.transform(requests)
+    return found.withColumn("unknown", F.nullif(F.concat_ws(", ", *faults), F.lit(""))).drop(*looked)
 
 
 def _missing_inputs(model: PipelineModel, requests: DataFrame) -> dict[str, Column]:
@@ -46,9 +53,8 @@ def check_requests(model: PipelineModel, requests: DataFrame) -> DataFrame:
     """
     extra = tuple(c for c in EXTRA_FIELDS if c in inputs_of(model))
     complete = requests.withColumns(_missing_inputs(model, requests))
-    return coerce_request(complete, extra).withColumn(
-        "error", F.coalesce("error", _unknown_category(model))
-    )
+    checked = _with_unknown(model, coerce_request(complete, extra))
+    return checked.withColumn("error", F.coalesce("error", "unknown")).drop("unknown")
 
 
 def _stand_ins(model: PipelineModel, checked: DataFrame) -> dict[str, Column]:

@@ -1,6 +1,5 @@
 """Fitting a recipe: for service on all rows, in an experiment with a hold-out."""
 
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -13,7 +12,7 @@ from lagcast.operators.prepare import prepare
 from lagcast.operators.split import split
 from lagcast.operators.trees import fit, importances, score
 from lagcast.plans.recipes import RECIPES, Recipe
-from lagcast.session import held, spread
+from lagcast.session import scratch_path
 from lagcast.sources.flights import columnar_copy
 from lagcast.sources.models import save_model
 
@@ -57,18 +56,13 @@ def fit_recipe(train: DataFrame, recipe: Recipe, source: DataFrame | None = None
     )
 
 
-@contextmanager
-def _reread(rows: DataFrame, copy_path: str | None):
-    """Rows that many passes will read.
+def _reread(rows: DataFrame, copy_path: str | None) -> DataFrame:
+    """Rows that many passes will read, written once as Parquet on shared storage.
 
-    With a path on shared storage they are written once as Parquet, which a lost
-    executor cannot undo; without one they are held in memory and on disk.
+    A lost executor cannot undo the copy. Without a path it goes to the session's
+    shared folder.
     """
-    if copy_path is not None:
-        yield spread(columnar_copy(rows, copy_path))
-    else:
-        with held(spread(rows)) as kept:
-            yield kept
+    return columnar_copy(rows, copy_path or scratch_path(rows.sparkSession, "prepared"))
 
 
 def train_for_service(
@@ -79,8 +73,7 @@ def train_for_service(
     **params,
 ) -> PipelineModel:
     """Prepare all rows, fit, and save the pipeline."""
-    with _reread(prepare(flights, recipe.columns), copy_path) as rows:
-        model = fit_recipe(rows, recipe, **params)
+    model = fit_recipe(_reread(prepare(flights, recipe.columns), copy_path), recipe, **params)
     if model_path is not None:
         save_model(model, model_path)
     return model
@@ -90,8 +83,7 @@ def train_for_service(
 class Experiment:
     """What a run with a hold-out part leaves behind.
 
-    The tables are computed when they are read, from the copy of the prepared
-    rows if the run made one.
+    The tables are computed when they are read, from the run's copy of the prepared rows.
     """
 
     model: PipelineModel
@@ -117,16 +109,16 @@ def run_experiment(
     of the training part only.
     """
     carried = (key,) if isinstance(key, str) else ()
-    with _reread(prepare(flights, recipe.columns, carried), copy_path) as rows:
-        train, test = split(rows, key, mode=mode)
-        source = rows if weights_from == "all" else None
-        model = fit_recipe(train, recipe, source, **params)
-        predictions = score(model, test)
-        return Experiment(
-            model=model,
-            predictions=predictions,
-            auc=model_auc(predictions),
-            importances=importances(model, rows),
-            proportions=classes.class_proportions(train),
-            weights=classes.balanced_weights(train),
-        )
+    rows = _reread(prepare(flights, recipe.columns, carried), copy_path)
+    train, test = split(rows, key, mode=mode)
+    source = rows if weights_from == "all" else None
+    model = fit_recipe(train, recipe, source, **params)
+    predictions = score(model, test)
+    return Experiment(
+        model=model,
+        predictions=predictions,
+        auc=model_auc(predictions),
+        importances=importances(model, rows),
+        proportions=classes.class_proportions(train),
+        weights=classes.balanced_weights(train),
+    )

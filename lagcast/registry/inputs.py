@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lagcast.functions.once import with_computed
 from lagcast.operators.prepare import prepare
+from lagcast.operators.split import split
 from lagcast.plans.recipes import RECIPES
 from lagcast.plans.training import Experiment, run_experiment, train_for_service
 from lagcast.schemas import RAW_REQUEST, REQUEST
@@ -24,9 +25,9 @@ def prepared(spark: SparkSession, folder: str, version: str = "V3") -> DataFrame
     return prepare(flights(spark, folder), version, (KEY,))
 
 
-def very_late(spark: SparkSession, folder: str) -> DataFrame:
-    """Flights more than 40 minutes late: some categories do not occur among them."""
-    return prepared(spark, folder).filter(F.col("DepDelayMinutes") > 40)
+def training(spark: SparkSession, folder: str) -> DataFrame:
+    """The training part of the prepared flights."""
+    return split(prepared(spark, folder), KEY)[0]
 
 
 def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,25 +80,26 @@ def lacking_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, folder: str) -> DataFrame:
-    """One timed request per event."""
-    events = table(spark, folder, "events")
-    return events.select(
-        F.concat(F.lit("r"), F.col(KEY)).alias("request_id"), F.col("ts").alias("req_ts")
-    )
+    """One timed request per event; a third share one id, and a few have none."""
+    return table(spark, folder, "events").select(_request_id().alias("request_id"), F.col("ts").alias("req_ts"))
+
 
+def _request_id() -> Column:
+    own = F.concat(F.lit("r"), F.col(KEY))
+    return F.when(F.col(KEY) % 3 == 0, F.lit("hot")).when(F.col(KEY) % 50 != 1, own)
 
-def answered(spark: SparkSession, folder: str, repeat_after: int) -> DataFrame:
-    """Answers to most events: 3, 10 or 20 seconds later, a third of them sent twice."""
+
+def answered(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers to most events: 3, 10 or 20 seconds later, a third of them sent twice, some too early too."""
     k = F.col("k")
     parsed = {"k": F.get_json_object("props", "$.k").cast("int")}
     events = with_computed(table(spark, folder, "events"), parsed, KEY, "ts")
     wait = F.when(k % 10 < 6, 3).when(k % 10 < 8, 20).when(k % 10 == 8, 10)
     first = events.filter(wait.isNotNull()).select(
-        F.concat(F.lit("r"), F.col(KEY)).alias("request_id"), "k", "ts", wait.alias("wait")
-    )
-    sent = F.when(k % 3 == 0, F.array(F.col("wait"), F.col("wait") + repeat_after)).otherwise(
-        F.array(F.col("wait"))
+        _request_id().alias("request_id"), "k", "ts", wait.alias("wait")
     )
+    again = F.when(k % 3 == 0, F.array(F.col("wait") + 1, F.lit(-3))).otherwise(F.array().cast("array<int>"))
+    sent = F.concat(F.array("wait"), again)
     timed = first.withColumn("wait", F.explode(sent))
     return timed.select(
         "request_id",
@@ -119,9 +121,9 @@ def experiment(spark: SparkSession, folder: str, recipe: str) -> Experiment:
 
 @cache
 def _model(application: str, spark: SparkSession, folder: str) -> PipelineModel:
-    return train_for_service(flights(spark, folder), recipe=RECIPES["service"].sized(3))
+    return train_for_service(flights(spark, folder))
 
 
-def small_model(spark: SparkSession, folder: str) -> PipelineModel:
-    """A service model of few rounds, for queries about what happens around it."""
+def service_model(spark: SparkSession, folder: str) -> PipelineModel:
+    """The service's model, fitted on all flights once per session and folder."""
     return _model(spark.sparkContext.applicationId, spark, folder)

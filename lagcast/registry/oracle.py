@@ -146,30 +146,29 @@ def on_requests(select: str, *more: str) -> str:
 # --- correlation ------------------------------------------------------------------
 
 
-def _correlated(repeat_after: int) -> str:
-    # Answers of one request at one instant count once.
-    return f"""
+# The first answer of an id from each request on, if it comes within ten seconds.
+_CORRELATED = f"""
 WITH e AS (
-  SELECT concat('r', CAST(event_id AS VARCHAR)) AS request_id, ts,
-    CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events
+  SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' WHEN event_id % 50 <> 1 THEN concat('r', event_id) END AS request_id,
+    event_id, ts, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events
 ), first_sent AS (
   SELECT request_id, ts, k,
     CASE WHEN k % 10 < 6 THEN 3 WHEN k % 10 < 8 THEN 20 WHEN k % 10 = 8 THEN 10 END AS wait
   FROM e
 ), sent AS (
-  SELECT request_id, ts, k, wait FROM first_sent WHERE wait IS NOT NULL
-  UNION
-  SELECT request_id, ts, k, wait + {repeat_after} FROM first_sent
-  WHERE wait IS NOT NULL AND k % 3 = 0
-), best AS (
-  SELECT request_id, min(wait) AS wait FROM sent WHERE wait <= 10 GROUP BY request_id
+  SELECT request_id, ts + to_seconds(unnest(
+      CASE WHEN k % 3 = 0 THEN [wait, wait + 1, -3] ELSE [wait] END)) AS resp_ts,
+    k / 100e0 AS probability, CASE WHEN k > 50 THEN 'High' ELSE 'Low' END AS risk
+  FROM first_sent WHERE wait IS NOT NULL
+), met AS (
+  SELECT e.event_id, min({{'at': s.resp_ts, 'p': s.probability, 'r': s.risk}}) AS answer
+  FROM e JOIN sent s
+    ON s.request_id = e.request_id AND s.resp_ts >= e.ts AND s.resp_ts <= e.ts + INTERVAL 10 SECONDS
+  GROUP BY e.event_id
 )
-SELECT e.request_id, e.ts AS req_ts,
-  e.ts + to_seconds(best.wait) AS resp_ts,
-  CASE WHEN best.wait IS NOT NULL THEN k / 100e0 END AS probability,
-  CASE WHEN best.wait IS NOT NULL THEN CASE WHEN k > 50 THEN 'High' ELSE 'Low' END END AS risk,
-  CASE WHEN best.wait IS NULL THEN '{fixed.TIMEOUT_TEXT}' END AS error
-FROM e LEFT JOIN best USING (request_id)"""
+SELECT e.request_id, e.ts AS req_ts, answer.at AS resp_ts, answer.p AS probability, answer.r AS risk,
+  CASE WHEN answer IS NULL THEN '{fixed.TIMEOUT_TEXT}' END AS error
+FROM e LEFT JOIN met USING (event_id)"""
 
 
 # --- probability ------------------------------------------------------------------
@@ -260,11 +259,11 @@ def _indexed(kinds: tuple[str, ...], alias: str = "{kind}Index") -> tuple[str, s
     return shown, "".join(_INDEX_JOIN.format(kind=k) for k in kinds)
 
 
-def _index_query(kinds: tuple[str, ...], fitted_on: str) -> str:
+def _index_query(kinds: tuple[str, ...], fitted_on: str, shown_on: str = "prepared") -> str:
     shown, joins = _indexed(kinds)
     return on_prepared(
-        f"SELECT event_id, {', '.join('p.' + k for k in kinds)}, {shown} FROM prepared p {joins}",
-        "\nvery_late AS (SELECT * FROM prepared WHERE DepDelayMinutes > 40)",
+        f"SELECT event_id, {', '.join('p.' + k for k in kinds)}, {shown} FROM {shown_on} p {joins}",
+        f"\ntraining AS (SELECT * FROM prepared WHERE {TRAINING})",
         _ranked(fitted_on),
     )
 
@@ -309,7 +308,7 @@ _IN_RANGES = " AND ".join(
 )
 
 _KNOWN = " AND ".join(
-    f"{c} IN (SELECT {c} FROM prepared WHERE DepDelayMinutes > 40)"
+    f"{c} IN (SELECT {c} FROM prepared WHERE {TRAINING})"
     for c in ("Carrier", "Origin", "Dest")
 )
 
@@ -383,11 +382,12 @@ FROM sent WHERE k % 10 < 9 AND k % 3 = 0""",
         f"SELECT request_id, {_DEFAULTED} FROM lacking", _WIRE, _LACKING
     ),
     "valid_requests": on_requests(
-        f"SELECT * EXCLUDE (error) FROM coerced WHERE error IS NULL AND {_IN_RANGES} AND {_KNOWN}",
+        "SELECT * EXCLUDE (error) FROM (SELECT * REPLACE (CASE WHEN request_id LIKE '%7' THEN 'new ' || Carrier "
+        f"ELSE Carrier END AS Carrier) FROM coerced) c WHERE error IS NULL AND {_IN_RANGES} AND {_KNOWN}",
         _prepared(),
     ),
     # joins
-    "correlated": _correlated(1),
+    "correlated": _CORRELATED,
     # aggregations
     "row_count": on_prepared("SELECT count(*) AS rows FROM prepared"),
     "class_counts_wide": on_prepared(_WIDE.format(source="prepared")),
@@ -419,11 +419,14 @@ FROM sent WHERE k % 10 < 9 AND k % 3 = 0""",
     "hash_split": on_prepared(
         f"SELECT event_id, CASE WHEN {TRAINING} THEN 'train' ELSE 'test' END AS part FROM prepared"
     ),
-    "random_split": on_prepared("SELECT event_id FROM prepared"),
+    "random_split": on_prepared("SELECT count(*) AS rows, 0 AS in_both, TRUE AS share_kept FROM prepared"),
     "training_weights": on_prepared(_balanced("prepared", TRAINING)),
     # features
     "index_strict": _index_query(("Origin", "Carrier"), "prepared"),
-    "index_keep": _index_query(("Origin", "Dest", "Carrier"), "very_late"),
+    "index_keep": _index_query(
+        ("Origin", "Dest", "Carrier"), "training",
+        "(SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN 'new ' || Origin ELSE Origin END AS Origin) FROM prepared)",
+    ),
     "one_hot_origin": on_prepared(
         """SELECT event_id, p.Origin,
           concat(repeat('0', CAST(least(r.idx, width) AS BIGINT)),
@@ -467,7 +470,7 @@ FROM sent WHERE k % 10 < 9 AND k % 3 = 0""",
     "stream_dead_letters": on_requests(
         "SELECT request_id, error, TRUE AS same_again FROM coerced WHERE error IS NOT NULL"
     ),
-    "stream_correlation": _correlated(0),
+    "stream_correlation": f"SELECT DISTINCT * FROM ({_CORRELATED}) WHERE request_id IS NOT NULL",
     # analyses
     "risk_by_time": on_prepared(f"SELECT Month, Hour, {_RISK} FROM prepared GROUP BY Month, Hour"),
     "risk_by_carrier": on_prepared(f"SELECT Carrier, {_RISK} FROM prepared GROUP BY Carrier"),
@@ -488,3 +491,20 @@ for _recipe, _version in (("baseline", "V1"), ("carrier", "V2"), ("route", "V3")
         "SELECT TRUE AS agrees, TRUE AS informative, count(*) FILTER (WHERE Label = 1e0) AS positives, "
         "count(*) FILTER (WHERE Label = 0e0) AS negatives",
     )
+
+# Names of the features; with one-hot categories, one for every label but the rarest.
+_NUMBERED = "SELECT CAST(position AS INT) AS position, name, TRUE AS sound FROM (VALUES {rows}) v(position, name)"
+for _recipe, _layout in (("carrier", "L2"), ("route", "L3"), ("balanced", "L3")):
+    ORACLE[f"importances_{_recipe}"] = _NUMBERED.format(
+        rows=", ".join(f"({i}, '{c}')" for i, c in enumerate(fixed.LAYOUTS[_layout]))
+    )
+ORACLE["importances_baseline"] = on_prepared(
+    f"""SELECT CAST(idx AS INT) AS position, 'OriginVec_' || label AS name, TRUE AS sound
+    FROM ranked WHERE kind = 'Origin' AND idx < (SELECT max(idx) FROM ranked WHERE kind = 'Origin')
+    UNION ALL
+    SELECT CAST((SELECT max(idx) FROM ranked WHERE kind = 'Origin') + position AS INT), name, TRUE
+    FROM (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(fixed.LAYOUTS["L1"][1:]))}) v(position, name)""",
+    f"""\nranked AS (SELECT 'Origin' AS kind, label, row_number() OVER (ORDER BY n DESC, label) - 1 AS idx
+    FROM (SELECT Origin AS label, count(*) AS n FROM prepared WHERE {TRAINING} GROUP BY Origin) c)""",
+    version="V1",
+)

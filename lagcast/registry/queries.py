@@ -22,7 +22,7 @@ from lagcast.operators.vocabulary import frequency_index, vocabulary
 from lagcast.plans.predicting import predict, respond
 from lagcast.registry.inputs import (
     KEY, answered, asked, experiment, flights, lacking_requests, prepared, request_messages,
-    small_model, tenth, toxic_documents, very_late, wire_requests,
+    service_model, tenth, toxic_documents, training, wire_requests,
 )
 from lagcast.schemas import MESSAGE, RAW_REQUEST
 from lagcast.session import scratch_path
@@ -78,7 +78,7 @@ def request_frame(spark, folder):
 
 @query
 def model_reload(spark, folder):
-    model, path = small_model(spark, folder), scratch_path(spark, "model")
+    model, path = service_model(spark, folder), scratch_path(spark, "model")
     save_model(model, path)
     rows = prepared(spark, folder)
     before = score(model, rows).select(KEY, delay_probability().alias("before"))
@@ -126,7 +126,7 @@ def request_topic(spark, folder):
 @query
 def response_topic(spark, folder):
     topic = file_topic(scratch_path(spark, "responses"))
-    write_responses(answered(spark, folder, repeat_after=1), topic)
+    write_responses(answered(spark, folder), topic)
     read = response_stream(spark, topic).select("request_id", "probability", "risk")
     return _drain(read, read.schema, spark)
 
@@ -263,8 +263,10 @@ def defaulted_requests(spark, folder):
 @query
 def valid_requests(spark, folder):
     good, _ = split_bad(_coerced(spark, folder))
-    known = vocabulary(very_late(spark, folder))
-    return valid_request(good.select(*RAW_REQUEST.names), known)
+    # Some carriers have a name that training has not seen.
+    carrier = F.when(F.col("request_id").endswith("7"), F.concat(F.lit("new "), "Carrier"))
+    asks = good.withColumn("Carrier", F.coalesce(carrier, "Carrier"))
+    return valid_request(asks.select(*RAW_REQUEST.names), vocabulary(training(spark, folder)))
 
 
 # --- joins --------------------------------------------------------------------
@@ -272,7 +274,7 @@ def valid_requests(spark, folder):
 
 @query
 def correlated(spark, folder):
-    return correlate(asked(spark, folder), answered(spark, folder, repeat_after=1))
+    return correlate(asked(spark, folder), answered(spark, folder))
 
 
 # --- aggregations -------------------------------------------------------------
@@ -352,7 +354,12 @@ def hash_split(spark, folder):
 @query
 def random_split(spark, folder):
     train, test = split(prepared(spark, folder), mode="random")
-    return train.select(KEY).unionByName(test.select(KEY))
+    parts = train.select(KEY, F.lit(1).alias("train")).unionByName(test.select(KEY, F.lit(0).alias("train")))
+    placed = parts.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("train").alias("train"))
+    share = F.abs(F.sum("train") / F.count(F.lit(1)) - 0.8) < 0.05
+    return placed.agg(
+        F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).cast("int").alias("in_both"), share.alias("share_kept")
+    )
 
 
 @query
@@ -372,8 +379,11 @@ def index_strict(spark, folder):
 @query
 def index_keep(spark, folder):
     categories = ("Origin", "Dest", "Carrier")
-    fitted = index(categories, "keep").fit(very_late(spark, folder))
-    return fitted.transform(prepared(spark, folder).select(KEY, *categories))
+    fitted = index(categories, "keep").fit(training(spark, folder))
+    # Some origins have a name that training has not seen.
+    origin = F.when(F.col(KEY) % 7 == 0, F.concat(F.lit("new "), "Origin")).otherwise(F.col("Origin"))
+    rows = prepared(spark, folder).select(KEY, origin.alias("Origin"), "Dest", "Carrier")
+    return fitted.transform(rows)
 
 
 @query
@@ -432,7 +442,10 @@ def _holdout(recipe: str) -> Query:
 
 def _importances(recipe: str) -> Query:
     def run(spark, folder):
-        return experiment(spark, folder, recipe).importances
+        found = experiment(spark, folder, recipe).importances
+        total = found.agg(F.sum("importance")).scalar()
+        sound = F.col("importance").between(0.0, 1.0) & (F.abs(total - 1.0) < 1e-9)
+        return found.select("position", "name", sound.alias("sound"))
 
     run.__name__ = f"importances_{recipe}"
     return run
@@ -461,7 +474,7 @@ for _recipe in ("baseline", "carrier", "route", "balanced"):
 
 @query
 def service_scores(spark, folder):
-    scored = score(small_model(spark, folder), prepared(spark, folder))
+    scored = score(service_model(spark, folder), prepared(spark, folder))
     raw = vector_to_array("rawPrediction")[1]
     # What boosting defines: the logistic function of twice the margin.
     expected = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * raw))
@@ -507,7 +520,7 @@ def compared_runs(spark, folder):
 @query
 def predictions_with_errors(spark, folder):
     requests = parse_requests(request_messages(spark, folder)).drop("payload", "req_ts")
-    answers = predict(small_model(spark, folder), requests, "extreme")
+    answers = predict(service_model(spark, folder), requests, "extreme")
     p = F.col("probability")
     expected = F.when(p > 0.7, "EKSTREMALNE").when(p > 0.5, "WYSOKIE").otherwise("NISKIE")
     told = F.col("verdict").startswith(F.concat(F.lit("Ryzyko: "), expected, F.lit(" (")))
@@ -526,7 +539,7 @@ def _served(spark, folder):
     source = file_topic(_put(request_messages(spark, folder), scratch_path(spark, "requests")))
     out, letters = (file_topic(scratch_path(spark, n)) for n in ("responses", "letters"))
     serve(
-        small_model(spark, folder), request_stream(spark, source), out, letters,
+        service_model(spark, folder), request_stream(spark, source), out, letters,
         scratch_path(spark, "progress"), availableNow=True,
     ).awaitTermination()
     return source, out, letters
@@ -536,7 +549,7 @@ def _served(spark, folder):
 def stream_scoring(spark, folder):
     source, out, _ = _served(spark, folder)
     good, _ = split_bad(coerce_request(request_stream(spark, source, streaming=False)))
-    batch = respond(small_model(spark, folder), good).withColumnsRenamed(
+    batch = respond(service_model(spark, folder), good).withColumnsRenamed(
         {"probability": "p", "risk": "r"}
     )
     served = response_stream(spark, out, streaming=False)
@@ -561,7 +574,7 @@ def stream_dead_letters(spark, folder):
 def stream_correlation(spark, folder):
     asked_path, answered_path = scratch_path(spark, "asked"), scratch_path(spark, "answered")
     _put(_as_messages(asked(spark, folder), "req_ts"), asked_path)
-    _put(_as_messages(answered(spark, folder, repeat_after=0), "resp_ts"), answered_path)
+    _put(_as_messages(answered(spark, folder), "resp_ts"), answered_path)
     for path in (asked_path, answered_path):  # the time after which all limits have passed
         _put(
             spark.sql("SELECT '{}' AS value, timestamp '2100-01-01 00:00:00' AS timestamp"), path

@@ -1,4 +1,4 @@
-"""Session settings, shared storage and size-checked broadcasts."""
+"""Session settings and shared storage."""
 
 import tempfile
 import uuid
@@ -6,10 +6,6 @@ from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a side may have to be broadcast; a row here is a short label or a number.
-BROADCAST_ROWS = 1_000_000
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -75,16 +71,6 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if it comes in fewer partitions than there are.
-
-    For a narrow plan over a few large files that many passes will read; a table
-    of many files is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 @contextmanager
 def held(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
     """``df`` kept for the length of a block in which several jobs read it."""
@@ -93,13 +79,3 @@ def held(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
         yield df
     finally:
         df.unpersist()
-
-
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows.
-
-    A larger side is returned as it is and takes part in a shuffled join, which
-    adaptive execution may split at hot keys.
-    """
-    within = df.agg(F.count(F.lit(1))).first()[0] <= rows
-    return F.broadcast(df) if within else df

@@ -1,31 +1,27 @@
-"""Vocabularies on storage: one JSON object, or rows where they are too many."""
+"""Vocabularies on storage: one JSON object, or a row per label, as the writer says."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagcast.fixed import VOCABULARY_FIELDS
 from lagcast.schemas import VOCABULARY
-from lagcast.session import settled
-
-# Labels one JSON object may hold, since an object is written by one task.
-OBJECT_LABELS = 1_000_000
 
 _ROWS = "kind string, label string"
 
 
-def write_vocab(labels: DataFrame, path: str, object_labels: int = OBJECT_LABELS) -> None:
-    """Write ``(kind, label)`` rows as one object of sorted lists.
+def write_vocab(labels: DataFrame, path: str, form: str = "object") -> None:
+    """Write ``(kind, label)`` rows.
 
-    Where the labels exceed ``object_labels`` they are written as sorted rows by
-    all tasks instead; ``read_labels`` reads both forms. Labels are computed once,
-    for the count and the writing.
+    ``object`` is one object of sorted lists, written by one task; ``rows`` are sorted
+    rows, written by all tasks, for vocabularies of any size. Readers take both.
     """
-    stored = settled(labels)
-    if stored.agg(F.count(F.lit(1))).first()[0] > object_labels:
-        stored.orderBy("kind", "label").write.mode("overwrite").json(path)
+    if form == "rows":
+        written = labels.orderBy("kind", "label")
+    elif form == "object":
+        written = vocabulary_object(labels)
     else:
-        vocabulary_object(stored).write.mode("overwrite").json(path)
+        raise ValueError(f"unknown form {form!r}")
+    written.write.mode("overwrite").json(path)
 
 
 def vocabulary_object(labels: DataFrame) -> DataFrame:
@@ -38,14 +34,20 @@ def vocabulary_object(labels: DataFrame) -> DataFrame:
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """The stored object as one row; three empty lists where nothing is stored."""
-    nothing = spark.createDataFrame([([], [], [])], VOCABULARY)
-    try:
-        stored = spark.read.schema(VOCABULARY).json(path)
-    except AnalysisException:
-        return nothing
-    return stored
+    """The stored vocabulary as one object; three empty lists where nothing is stored.
+
+    Only a missing path counts as nothing; any other failure to read is an error.
+    """
+    if not _exists(spark, path):
+        return spark.createDataFrame([([], [], [])], VOCABULARY)
+    return vocabulary_object(read_labels(spark, path))
 
 
 def _labelled(field: str, kind: str) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagcast import fixed
-from lagcast.operators.correlate import timeout_error
+from lagcast.operators.correlate import microseconds, timeout_error
 
 
 def correlate_stream(
@@ -13,27 +13,35 @@ def correlate_stream(
     timeout: str = fixed.RESPONSE_TIMEOUT,
     lateness: str = "10 seconds",
 ) -> DataFrame:
-    """Each request of a stream with its response, or with the timeout error.
+    """Each request of a stream with its first response, or with the timeout error.
 
-    Both sides are read under one checkpoint, so an answer faster than the
-    reader is not lost. State is bounded by the watermarks: a request leaves it
-    once no answer within ``timeout`` can still come, and repeated answers are
-    dropped before they meet a request. A timeout shows when the watermarks of
-    both streams have passed it.
+    The result is that of ``correlate``, but for requests with the same id and time,
+    which count once. Both sides are read under one checkpoint, so an answer faster
+    than the reader is not lost. Time is cut into slots as long as the timeout, and a
+    response is looked for in the request's slot and the next, so the state of an id
+    that holds many rows is spread over its slots. Behind the join the earliest answer
+    is taken. State is bounded by the watermarks: a request leaves it once no answer
+    within ``timeout`` can still come; then its answer or its timeout shows.
     """
+    width = microseconds(timeout)
     asked = requests.select("request_id", "req_ts").withWatermark("req_ts", lateness)
+    asked = asked.withColumn("slot", F.floor(F.unix_micros("req_ts") / width))
+    own = F.floor(F.unix_micros("resp_ts") / width)
     given = (
-        responses.select(
-            F.col("request_id").alias("answered_id"), "resp_ts", "probability", "risk"
-        )
+        responses.select(F.col("request_id").alias("answered_id"), "resp_ts", "probability", "risk")
+        .where(F.col("answered_id").isNotNull())
         .withWatermark("resp_ts", lateness)
-        .dropDuplicatesWithinWatermark(["answered_id"])
+        .withColumn("answered_slot", F.explode(F.array(own, own - 1)))
     )
-    within = (F.col("answered_id") == F.col("request_id")) & F.col("resp_ts").between(
-        F.col("req_ts"), F.col("req_ts") + F.expr(f"interval {timeout}")
+    within = (
+        (F.col("answered_id") == F.col("request_id"))
+        & (F.col("answered_slot") == F.col("slot"))
+        & F.col("resp_ts").between(F.col("req_ts"), F.col("req_ts") + F.expr(f"interval {timeout}"))
     )
-    matched = asked.join(given, within, "left_outer")
-    return matched.select(
-        "request_id", "req_ts", "resp_ts", "probability", "risk",
-        timeout_error(F.col("answered_id").isNotNull()).alias("error"),
+    answer = F.when(F.col("answered_id").isNotNull(), F.struct("resp_ts", "probability", "risk"))
+    matched = asked.join(given, within, "left_outer").select("request_id", "req_ts", answer.alias("answer"))
+    first = matched.groupBy("request_id", "req_ts").agg(F.min("answer").alias("answer"))
+    return first.select(
+        "request_id", "req_ts", "answer.resp_ts", "answer.probability", "answer.risk",
+        timeout_error(F.col("answer").isNotNull()).alias("error"),
     )

@@ -39,6 +39,11 @@ def test_answer_at_the_same_instant(rows):
     assert run(rows, [("a", 7)], [("a", 7, 0.7)]) == {("a", 7): (0.7, None)}
 
 
+def test_rows_without_an_id_never_meet(rows):
+    late = (None, fixed.TIMEOUT_TEXT)
+    assert run(rows, [(None, 0), ("a", 0)], [(None, 3, 0.1)]) == {(None, 0): late, ("a", 0): late}
+
+
 def test_no_responses(rows):
     assert run(rows, [("a", 0)], []) == {("a", 0): (None, fixed.TIMEOUT_TEXT)}
 

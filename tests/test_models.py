@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lagcast.fixed import LAYOUTS
 from lagcast.functions.risk import delay_probability, risk_band
 from lagcast.operators.features import labels_of, model_vocabulary
 from lagcast.operators.prepare import prepare
@@ -80,12 +81,15 @@ def test_bins_follow_the_widest_category(table):
     assert model.stages[-1].getOrDefault("maxBins") == len(labels_of(model)["Dest"]) + 1
 
 
-def test_too_wide_category_is_refused(table, monkeypatch):
-    from lagcast.operators import trees
-
-    monkeypatch.setattr(trees, "WIDEST_CATEGORY", 10)
-    with pytest.raises(ValueError, match="about"):
-        fit_recipe(prepare(table), RECIPES["service"].sized(1))
+def test_category_of_many_values_trains(spark):
+    rows = spark.range(12_000).select(
+        F.concat(F.lit("D"), "id").alias("Dest"), F.concat(F.lit("O"), F.col("id") % 3).alias("Origin"),
+        F.lit("C").alias("Carrier"), *[F.lit(1.0).alias(c) for c in LAYOUTS["L3"][3:]],
+        (F.col("id") % 2).cast("double").alias("Label"),
+    )
+    model = fit_recipe(rows, RECIPES["service"].sized(1), depth=1)
+    assert len(labels_of(model)["Dest"]) == 12_000
+    assert model.stages[-1].getOrDefault("maxBins") == 12_001
 
 
 def test_saved_model_scores_the_same(table, tmp_path):

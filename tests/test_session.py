@@ -29,27 +29,12 @@ def test_cluster_needs_a_named_folder():
         session.shared_dir(Session())
 
 
-def test_small_side(spark):
-    def broadcast(df):
-        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
-
-    df = spark.range(10)
-    assert broadcast(session.small_side(df, 10)) and not broadcast(session.small_side(df, 9))
-
-
 def test_settled_cuts_lineage(spark):
     df = session.settled(spark.range(10).withColumn("r", F.rand()))
     assert df.collect() == df.collect()
     assert "rand" not in df._jdf.queryExecution().toString()
 
 
-def test_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert session.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == cores
-    wide = spark.range(100, numPartitions=cores + 3)
-    assert session.spread(wide).rdd.getNumPartitions() == cores + 3
-
-
 def test_held_is_released(spark):
     df = spark.range(10)
     with session.held(df) as kept:

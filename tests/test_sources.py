@@ -84,12 +84,13 @@ def test_vocabulary_object(spark, rows, tmp_path):
     assert read_vocab(spark, path).first().carriers == []
 
 
-@pytest.mark.parametrize("most", [100, 2])
-def test_labels_of_either_form(spark, rows, tmp_path, most):
+@pytest.mark.parametrize("form", ["object", "rows"])
+def test_labels_of_either_form(spark, rows, tmp_path, form):
     path = str(tmp_path / "v")
-    write_vocab(labels(rows), path, object_labels=most)
+    write_vocab(labels(rows), path, form=form)
     got = sorted(map(tuple, read_labels(spark, path).collect()))
     assert got == [("Carrier", "c"), ("Origin", "a"), ("Origin", "b")]
+    assert read_vocab(spark, path).first().asDict() == {"origins": ["a", "b"], "dests": [], "carriers": ["c"]}
 
 
 def test_absent_vocabulary_is_empty(spark, tmp_path):

@@ -95,11 +95,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     kind = edges.schema["a"].dataType.simpleString()
     proper = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    rooted = stored(proper.mapInArrow(_forest, f"node {kind}, root {kind}"), "forest")
-    least = rooted.groupBy("node").agg(F.min("root").alias("label"))
-    joins = rooted.join(least, "node").where(F.col("root") != F.col("label"))
-    joins = stored(joins.select(F.col("root").alias("a"), F.col("label").alias("b")).distinct(), "roots")
+    rooted = proper.mapInArrow(_forest, f"node {kind}, root {kind}")
+    # A node has as many roots as tasks have met it.
+    met = rooted.groupBy("node").agg(F.min("root").alias("label"), F.collect_set("root").alias("roots"))
+    met = stored(met, "roots")
+    least = met.select("node", "label")
+    joins = met.where(F.size("roots") > 1).select("label", F.explode("roots").alias("root")).where("label <> root")
     if joins.isEmpty():
         return least
-    above = components(joins).select(F.col("node").alias("label"), F.col("label").alias("above"))
+    above = components(joins.select(F.col("root").alias("a"), F.col("label").alias("b")))
+    above = above.select(F.col("node").alias("label"), F.col("label").alias("above"))
     return least.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label"))

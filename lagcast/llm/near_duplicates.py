@@ -248,7 +248,8 @@ def near_duplicates(
     kind = docs.schema["key"].dataType.simpleString()
     schema = f"key {kind}, n_shingles long, node binary, bands array<bigint>"
     signed = stored(docs.mapInArrow(_signed(width, bands, rows), schema), "signatures", BATCH_ROWS)
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("least"), F.first("bands").alias("bands"))
+    nodes = signed.where(F.col("node").isNotNull()).groupBy("node")
+    nodes = stored(nodes.agg(F.min("key").alias("least"), F.first("bands").alias("bands")), "nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
     crowds = banded.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > 1)
@@ -268,8 +269,10 @@ def near_duplicates(
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
     links = stored(joined.mapInArrow(_linked(percent), "a binary, b binary"), "links", PAIR_ROWS)
-    more = _links_across(pairs, links, sets, percent)
-    labels = components(links.unionByName(more))
+    labels = components(links)
+    more = _links_across(pairs, labels, sets, percent)
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
     least = nodes.select("node", "least").join(labels, "node", "left")
     least = least.select("node", "least", F.coalesce("label", "node").alias("label"))
@@ -282,14 +285,13 @@ def near_duplicates(
     )
 
 
-def _links_across(pairs: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links_across(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components of one cluster of candidates that no pivot showed.
 
     All nodes of a cluster but those of its largest component are compared with all its
     nodes of other components, in blocks whose size is bounded in nodes and in hashes.
     """
     clusters = components(pairs).select("node", F.col("label").alias("cluster"))
-    labels = components(links)
     sized = sets.select("node", (F.length("hashes") / 8).alias("size"))
     placed = clusters.join(labels, "node", "left").join(sized, "node")
     placed = stored(placed.select("node", "cluster", F.coalesce("label", "node").alias("label"), "size"), "clusters")

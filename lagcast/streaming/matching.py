@@ -29,12 +29,13 @@ def correlate_stream(
     own = F.floor(F.unix_micros("resp_ts") / width)
     given = (
         responses.select(F.col("request_id").alias("answered_id"), "resp_ts", "probability", "risk")
-        .where(F.col("answered_id").isNotNull())
         .withWatermark("resp_ts", lateness)
         .withColumn("answered_slot", F.explode(F.array(own, own - 1)))
     )
+    # Rows without an id must reach the watermark, so the join may not imply an id; they
+    # are no answers even to a request with an empty one.
     within = (
-        (F.col("answered_id") == F.col("request_id"))
+        (F.coalesce("answered_id", F.lit("")) == F.col("request_id"))
         & (F.col("answered_slot") == F.col("slot"))
         & F.col("resp_ts").between(F.col("req_ts"), F.col("req_ts") + F.expr(f"interval {timeout}"))
     )

@@ -27,6 +27,7 @@ from lagcast.llm.tokenizing import encode_column, worker_encoder
 CAPACITY = 2048
 GROUP_ROWS = 1000  # pieces of one length that are ranked in one sort, or the root of their number
 BATCH_ROWS = 1000  # texts that a task holds at once
+BROADCAST_ROWS = 100_000  # keys and hashes of documents that are sent to all tasks
 TOLERANCE = 16  # ids of a sequence that may stay free before a piece is cut
 
 
@@ -229,9 +230,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text
     summed = summed.withColumn("whole", F.col("length"))
     packed = stored(pack(summed, capacity=capacity, order=["key", "mark", "start"]), "packed")
     cut = packed.where(F.col("length") < F.col("whole"))
+    rest = packed.where(F.col("length") == F.col("whole")).drop("mark", "whole").withColumnRenamed("key", key)
+    marks = stored(cut.select("key", "mark").distinct(), "cut")
+    n = marks.count()
+    if n == 0:
+        return rest
+    few = F.broadcast(marks) if n <= BROADCAST_ROWS else marks
     known = F.col("docs.key").eqNullSafe(F.col("cut.key")) & (F.col("docs.mark") == F.col("cut.mark"))
-    again = chosen.alias("docs").join(cut.select("key", "mark").distinct().alias("cut"), known, "left_semi")
-    again = cut_documents(again.dropDuplicates(["key", "mark"]), tokenizer, end_id=end_id, capacity=capacity, keep=["key", "mark"])
+    again = chosen.alias("docs").join(few.alias("cut"), known, "left_semi").dropDuplicates(["key", "mark"])
+    again = cut_documents(again, tokenizer, end_id=end_id, capacity=capacity, keep=["key", "mark"])
     again = again.select("key", "mark", F.col("start").alias("from"), "ids")
     from_ = F.floor(F.col("start") / capacity) * capacity
     same = F.col("cut.key").eqNullSafe(F.col("again.key")) & (F.col("cut.mark") == F.col("again.mark"))
@@ -240,8 +247,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text
         cut.withColumn("at", from_).alias("cut").join(again.alias("again"), same & (F.col("at") == F.col("from")))
         .select("cut.key", "start", "length", F.crc32(part).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
     )
-    rest = packed.where(F.col("length") == F.col("whole")).select(*mended.columns)
-    return rest.unionByName(mended).withColumnRenamed("key", key)
+    return rest.unionByName(mended.withColumnRenamed("key", key))
 
 
 def _find(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> np.ndarray:

@@ -64,7 +64,7 @@ def test_bands_on_edges(edge_docs, no_docs):
     rows = found.collect()
     assert len(rows) == edge_docs.count() and found.columns.count("kept") == 1 and "host" in found.columns
     assert all(not r.kept for r in rows if not (r.text or "").strip())
-    assert [r.n_words for r in rows if r.doc_id == 6] == [120_000]
+    assert [r.n_words for r in rows if r.doc_id == 6] == [40_000]
     assert compression_bands(no_docs).count() == 0
 
 

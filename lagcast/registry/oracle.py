@@ -303,9 +303,13 @@ _DEFAULTED = ", ".join(
     + [f"coalesce({c}, '{v}') AS {c}" for c, v in fixed.REQUEST_DEFAULTS.items()]
 )
 
-_IN_RANGES = " AND ".join(
-    f"{c} BETWEEN {low} AND {high}" for c, (low, high) in fixed.INPUT_RANGES["route"].items()
-)
+def _in_ranges(name: str) -> str:
+    return " AND ".join(
+        f"{c} BETWEEN {low} AND {high}" for c, (low, high) in fixed.INPUT_RANGES[name].items()
+    )
+
+
+_IN_RANGES = _in_ranges("route")
 
 _KNOWN = " AND ".join(
     f"{c} IN (SELECT {c} FROM prepared WHERE {TRAINING})"
@@ -355,7 +359,7 @@ FROM sent WHERE k % 10 < 9 AND k % 3 = 0""",
     ),
     "delayed_flights": on_prepared("SELECT * FROM prepared WHERE Label = 1e0"),
     "constant_column": on_flights("SELECT event_id, 1e0 AS unit FROM flights"),
-    "peek_rows": on_prepared("SELECT count(*) AS shown FROM (SELECT * FROM prepared LIMIT 5) x"),
+    "peek_rows": on_prepared("SELECT count(*) AS shown, count(*) AS found FROM (SELECT * FROM prepared LIMIT 5) x"),
     # probability, bands, texts
     "probability_of_delay": on_prepared(f"SELECT event_id, {P} AS p FROM prepared"),
     "risk_bands": on_prepared(
@@ -377,7 +381,7 @@ FROM sent WHERE k % 10 < 9 AND k % 3 = 0""",
         + ", ".join(f"'{c}': {c}" for c in _FIELDS)
         + "}) AS VARCHAR) AS value FROM wire",
     ),
-    "request_ids": on_flights("SELECT event_id, TRUE AS well_formed FROM flights"),
+    "request_ids": on_flights("SELECT count(*) AS rows, count(*) AS ids, TRUE AS well_formed FROM flights"),
     "defaulted_requests": on_prepared(
         f"SELECT request_id, {_DEFAULTED} FROM lacking", _WIRE, _LACKING
     ),
@@ -386,6 +390,11 @@ FROM sent WHERE k % 10 < 9 AND k % 3 = 0""",
         f"ELSE Carrier END AS Carrier) FROM coerced) c WHERE error IS NULL AND {_IN_RANGES} AND {_KNOWN}",
         _prepared(),
     ),
+    "valid_requests_carrier": on_requests(
+        f"""SELECT * EXCLUDE (error) FROM coerced WHERE error IS NULL AND {_in_ranges("carrier")}
+        AND Origin IN (SELECT Origin FROM prepared) AND Carrier IN (SELECT Carrier FROM prepared)""",
+        _prepared(),
+    ),
     # joins
     "correlated": _CORRELATED,
     # aggregations
@@ -462,6 +471,10 @@ FROM sent WHERE k % 10 < 9 AND k % 3 = 0""",
         _auc("prepared", "Hour", "h"),
         _auc("prepared", "Wind_Speed", "w"),
     ),
+    "compared_models": "SELECT run, TRUE AS sound FROM (VALUES ('route'), ('balanced')) v(run)",
+    "model_vocabularies": on_prepared(
+        _union_kinds("SELECT DISTINCT '{kind}' AS kind, {kind} AS label FROM prepared")
+    ),
     "predictions_with_errors": on_requests("SELECT request_id, error, TRUE AS sound FROM coerced"),
     # streams
     "stream_scoring": on_requests(

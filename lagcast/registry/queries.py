@@ -12,7 +12,7 @@ from lagcast.functions.once import with_fields
 from lagcast.functions.risk import delay_probability, percent, risk_band, verdict
 from lagcast.operators import classes, metrics, prepare as prep, profile
 from lagcast.operators.correlate import correlate
-from lagcast.operators.features import assemble, index, one_hot
+from lagcast.operators.features import assemble, index, model_vocabulary, one_hot
 from lagcast.operators.requests import (
     coerce_request, split_bad, valid_request, with_request_defaults, with_request_id,
 )
@@ -186,7 +186,10 @@ def constant_column(spark, folder):
 
 @query
 def peek_rows(spark, folder):
-    return prep.peek(prepared(spark, folder)).agg(F.count(F.lit(1)).alias("shown"))
+    rows = prepared(spark, folder)
+    shown = prep.peek(rows)
+    found = shown.intersect(rows).agg(F.count(F.lit(1)).alias("found")).scalar()
+    return shown.agg(F.count(F.lit(1)).alias("shown")).withColumn("found", found)
 
 
 # --- probability, bands, texts ------------------------------------------------
@@ -250,7 +253,11 @@ def request_payloads(spark, folder):
 def request_ids(spark, folder):
     ids = with_request_id(flights(spark, folder).select(KEY))
     uuid = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
-    return ids.select(KEY, F.col("request_id").rlike(uuid).alias("well_formed"))
+    return ids.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.countDistinct("request_id").alias("ids"),
+        F.bool_and(F.col("request_id").rlike(uuid)).alias("well_formed"),
+    )
 
 
 @query
@@ -517,6 +524,29 @@ def compared_runs(spark, folder):
     return _rounded(metrics.compare(runs)).withColumn("delta", F.round("delta", 9))
 
 
+@query
+def compared_models(spark, folder):
+    """Two models' AUC beside the recorded one: what SQL can say of them."""
+    runs = {r: experiment(spark, folder, r).auc for r in ("route", "balanced")}
+    compared = metrics.compare(runs)
+    sound = F.col("auc").between(0.5, 1.0) & (F.abs(F.col("auc") - fixed.RECORDED_AUC - F.col("delta")) < 1e-12)
+    return compared.select("run", sound.alias("sound"))
+
+
+@query
+def model_vocabularies(spark, folder):
+    return model_vocabulary(service_model(spark, folder), prepared(spark, folder))
+
+
+@query
+def valid_requests_carrier(spark, folder):
+    good, _ = split_bad(_coerced(spark, folder))
+    known = vocabulary(prepared(spark, folder)).where("kind <> 'Dest'")
+    return valid_request(
+        good.select(*RAW_REQUEST.names), known, fixed.INPUT_RANGES["carrier"], ("Origin", "Carrier")
+    )
+
+
 @query
 def predictions_with_errors(spark, folder):
     requests = parse_requests(request_messages(spark, folder)).drop("payload", "req_ts")

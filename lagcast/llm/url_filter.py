@@ -105,11 +105,9 @@ def judge_urls(
     verdict are replaced. One narrow pass; no shuffle.
     """
     context = df.sparkSession.sparkContext
-    best = None
     source = F.col(url) if isinstance(url, str) else url
-    for shard in _shards(rules, shard_bytes):
-        fitted = _fitting(context.broadcast(Trie(shard)))(source)
-        best = fitted if best is None else _longer(best, fitted)
+    found = [_fitting(context.broadcast(Trie(shard)))(source) for shard in _shards(rules, shard_bytes)]
+    best = found[0] if len(found) == 1 else F.greatest(*found)
     taken = {"host", "path", "rule", "verdict"}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
     judged = df.select(*kept, best.alias("__judged"))
@@ -123,19 +121,15 @@ def judge_urls(
 
 
 def _fitting(shared):
-    @F.pandas_udf("host string, path string, rule string, action string")
+    # The greatest of several results has the longest rule, of equal ones the blocking one.
+    @F.pandas_udf("size int, strict boolean, host string, path string, rule string, action string")
     def fit(urls: pd.Series) -> pd.DataFrame:
         trie = shared.value
         rows = []
         for text in urls:
             host, path = split_url(text)
-            rows.append((host, path, *(trie.longest(host, path) or (None, None))))
-        return pd.DataFrame(rows, columns=["host", "path", "rule", "action"])
+            rule, action = trie.longest(host, path) or (None, None)
+            rows.append((-1 if rule is None else len(rule), action == BLOCK, host, path, rule, action))
+        return pd.DataFrame(rows, columns=["size", "strict", "host", "path", "rule", "action"])
 
     return fit
-
-
-def _longer(a: Column, b: Column) -> Column:
-    size = lambda x: F.coalesce(F.length(x["rule"]), F.lit(-1))
-    stricter = (size(b) == size(a)) & (b["action"] == F.lit(BLOCK))
-    return F.when((size(b) > size(a)) | stricter, b).otherwise(a)

@@ -216,10 +216,11 @@ def test_language_model(spark, edge_docs, no_docs):
 
 
 def test_stages_keep_columns_and_filter(spark, folder, edge_docs, no_docs):
+    given = Counter(edge_docs.collect())
     for name, stage in corpus_pipeline.STAGES[:3]:
         kept = stage(spark, edge_docs, folder)
         assert kept.columns == edge_docs.columns, name
-        assert kept.exceptAll(edge_docs).count() == 0, name
+        assert not Counter(kept.collect()) - given, name
         assert stage(spark, no_docs, folder).count() == 0, name
     once = corpus_pipeline.near_dedup(spark, edge_docs, folder).collect()
     texts = [r.doc_id for r in once if r.doc_id is not None]

@@ -178,10 +178,11 @@ def test_packed_documents_have_the_sums_of_their_ids(spark, edge_docs, file_enco
     rows = pack_documents(docs, TOKENIZER, capacity=512).collect()
     check_places(rows, 512)
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    coded = {t: file_encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in set(texts.values())}
     seen = Counter()
     for r in rows:
         if r.doc_id is not None:
-            ids = np.array(file_encoder.tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [1], "<u4")
+            ids = np.array(coded[texts[r.doc_id]], "<u4")
             assert len(ids) == r.doc_tokens and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
             seen[r.doc_id] += r.length
     assert seen[100] == len(file_encoder.tokenizer.encode(prose, add_special_tokens=False).ids) + 1

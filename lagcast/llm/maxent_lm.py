@@ -1,13 +1,14 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-The frequent words are a vocabulary, cut into classes in the order of their counts; all
-other words are one more class. A word's probability is that of its class times that
-within its class. Both are softmaxes over weights of hashed features: preceding words
-(n-grams) and words further back (skips). A rare word's share of its class follows
-from its count over the whole training corpus. Weights start so that the model equals
-the smoothed unigram model and then follow the gradient: every round each task takes
-small steps on its documents of the round from the shared weights, and the tasks'
-changes are averaged.
+The most frequent words are cut into classes in the order of their counts; all other
+words are one more class. A word's probability is that of its class times that within
+its class. Both are softmaxes over weights of hashed features: preceding words (n-grams)
+and words further back (skips). The class of all other words is a binary tree over the
+bits of their hashes, whose depth follows the number of counted words: every node decides
+by the same features, so context chooses among rare words too. The few words of one leaf
+share it by their counts. Weights start so that the model equals the smoothed unigram
+model and then follow the gradient: every round each task takes small steps on its
+documents of the round from the shared weights, and the tasks' changes are averaged.
 
 Counts of words are shuffled by word and stay distributed. Those of the most frequent
 words, a bounded number, travel as a broadcast; rarer words are joined with the rest.
@@ -25,8 +26,12 @@ from lagcast.llm.pretokens import Memory
 VOCABULARY = 2048
 CLASS_SIZE = 32
 HEAD = 200_000  # words whose counts are broadcast: 16 bytes each
-CLASS_BUCKETS = 11  # bits of the hashed features of classes
-WORD_BUCKETS = 8  # bits of those within classes
+# Bits of hashed features at the least; they grow with the bits of the number of words.
+CLASS_BUCKETS, CLASS_LESS = 11, 9  # of classes
+WORD_BUCKETS, WORD_LESS = 8, 13  # within classes
+TREE_BUCKETS, TREE_LESS = 12, 1  # of all nodes of the tree together
+LEAF_LESS = 2  # about four words a leaf
+MOST_BITS = 22  # bound of what a task holds; beyond it leaves and buckets are shared by more words
 ROUNDS = 3
 STEP = 8192  # tokens of one gradient step
 RATE = 0.6
@@ -54,6 +59,11 @@ class Tokens:
         self.text = np.repeat(np.arange(n), np.diff(self.bounds))
         self.place = np.arange(len(self.hashes)) - self.bounds[:-1][self.text]
 
+    def contexts(self) -> list[np.ndarray]:
+        """What features are made of: the word before, the one before that, and both."""
+        one, two = self.back(1), self.back(2)
+        return [one, two, mix(one * U64(0xC2B2AE3D27D4EB4F) + two)]
+
     def back(self, k: int) -> np.ndarray:
         """The token ``k`` places before each token, or the mark of the beginning."""
         out = np.full(len(self.hashes), BEGIN)
@@ -67,10 +77,10 @@ def _bucket(hashes: np.ndarray, salt: int, bits: int) -> np.ndarray:
 
 
 class Counts:
-    """Totals of the training corpus and the counts of its most frequent words."""
+    """Totals of the training corpus, the counts of its most frequent words, the masses of the tree's leaves."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, kinds: int):
-        self.words, self.counts, self.tokens, self.kinds = words, counts, tokens, kinds
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, kinds: int, leaves: np.ndarray):
+        self.words, self.counts, self.tokens, self.kinds, self.leaves = words, counts, tokens, kinds, leaves
 
     def index(self) -> Memory:
         if "_index" not in self.__dict__:
@@ -87,8 +97,56 @@ class Counts:
         return np.where(slots >= 0, table.pool[table.starts[slots]].astype(np.int64), -1)
 
 
+def _bits(kinds: int, least: int, less: int) -> int:
+    return min(MOST_BITS, max(least, int(kinds).bit_length() - less))
+
+
+class Tree:
+    """Decisions among the words without a class of their own, by the leading bits of their hashes.
+
+    Node 1 is the root, ``2 * k`` and ``2 * k + 1`` follow ``k``. A node's offset is the
+    log-odds of the masses below it; nodes with a single side decide nothing.
+    """
+
+    def __init__(self, leaves: np.ndarray, bits: int):
+        self.depth, self.bits = len(leaves).bit_length() - 1, bits
+        mass = np.zeros(2 * len(leaves))
+        mass[len(leaves) :] = leaves
+        for d in range(self.depth - 1, -1, -1):
+            mass[1 << d : 2 << d] = mass[2 << d : 4 << d].reshape(-1, 2).sum(axis=1)
+        left, right = mass[0::2], mass[1::2]
+        self.open = (left > 0) & (right > 0)
+        self.open[0] = False
+        self.offsets = np.zeros(len(leaves), dtype=np.float32)
+        self.offsets[self.open] = np.log(right[self.open] / left[self.open])
+        self.log_leaves = np.log(np.maximum(leaves, 1e-9)).astype(np.float32)
+        self.weights = np.zeros(1 << bits, dtype=np.float32)
+
+    def leaf(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> U64(64 - self.depth)).astype(np.int64) if self.depth else np.zeros(len(hashes), np.int64)
+
+    def decisions(self, hashes: np.ndarray, contexts: list[np.ndarray]):
+        """Word, offset, side and feature buckets of every decision on the way to each word."""
+        leaf = self.leaf(hashes) + (1 << self.depth)
+        down = np.arange(self.depth, 0, -1)
+        nodes = leaf[:, None] >> down
+        word, level = np.nonzero(self.open[nodes])
+        node = nodes[word, level]
+        side = (leaf[word] >> (down[level] - 1) & 1).astype(np.float32)
+        salt = node.astype(U64) * U64(0x9E3779B97F4A7C15)
+        buckets = [((c[word] ^ salt) * U64(0xD6E8FEB86659FD93) >> U64(64 - self.bits)).astype(np.int64) for c in contexts]
+        return word, self.offsets[node], side, buckets
+
+    def logs(self, hashes: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
+        """Log probability of the leaf of each word."""
+        word, z, side, buckets = self.decisions(hashes, contexts)
+        for b in buckets:
+            z += self.weights[b]
+        return np.bincount(word, -np.logaddexp(0, np.where(side > 0, -z, z)), minlength=len(hashes))
+
+
 class MaxentModel:
-    """Weights of the two softmaxes; of fixed size."""
+    """Weights of the two softmaxes and of the tree; their sizes follow the number of words."""
 
     def __init__(self, counts: Counts):
         size = min(VOCABULARY, len(counts.words))
@@ -100,28 +158,30 @@ class MaxentModel:
         inside[:size] = np.log(known + 1)
         mass = np.zeros(self.classes * CLASS_SIZE)
         mass[:size] = known + 1
+        self.class_bits = _bits(counts.kinds, CLASS_BUCKETS, CLASS_LESS)
+        self.word_bits = _bits(counts.kinds, WORD_BUCKETS, WORD_LESS)
+        self.tree = Tree(counts.leaves, _bits(counts.kinds, TREE_BUCKETS, TREE_LESS))
         of_class = np.append(mass.reshape(-1, CLASS_SIZE).sum(axis=1), self.rare_mass)
-        self.class_weights = np.zeros((1 + (3 << CLASS_BUCKETS), self.classes + 1), dtype=np.float32)
+        self.class_weights = np.zeros((1 + (3 << self.class_bits), self.classes + 1), dtype=np.float32)
         self.class_weights[0] = np.log(of_class)
-        self.word_weights = np.zeros(((1 + (2 << WORD_BUCKETS)) * self.classes, CLASS_SIZE), dtype=np.float32)
+        self.word_weights = np.zeros(((1 + (3 << self.word_bits)) * self.classes, CLASS_SIZE), dtype=np.float32)
         self.word_weights[: self.classes] = inside.reshape(-1, CLASS_SIZE)
 
-    def class_rows(self, tokens: Tokens) -> list[np.ndarray]:
-        one, two = tokens.back(1), tokens.back(2)
-        both = mix(one * U64(0xC2B2AE3D27D4EB4F) + two)
-        return [_bucket(h, k + 1, CLASS_BUCKETS) + (k << CLASS_BUCKETS) + 1 for k, h in enumerate((one, two, both))]
+    def class_rows(self, contexts: list[np.ndarray]) -> list[np.ndarray]:
+        return [_bucket(h, k + 1, self.class_bits) + (k << self.class_bits) + 1 for k, h in enumerate(contexts)]
 
-    def word_rows(self, tokens: Tokens, some: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
-        rows = [_bucket(tokens.back(k)[some], k + 10, WORD_BUCKETS) + (k - 1 << WORD_BUCKETS) + 1 for k in (1, 2)]
+    def word_rows(self, contexts: list[np.ndarray], some: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
+        rows = [_bucket(h[some], k + 11, self.word_bits) + (k << self.word_bits) + 1 for k, h in enumerate(contexts)]
         return [group, *(r * self.classes + group for r in rows)]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.class_weights.ravel(), self.word_weights.ravel()])
+        return np.concatenate([self.class_weights.ravel(), self.word_weights.ravel(), self.tree.weights])
 
     def replace(self, flat: np.ndarray) -> None:
-        cut = self.class_weights.size
-        self.class_weights = flat[:cut].reshape(self.class_weights.shape).astype(np.float32)
-        self.word_weights = flat[cut:].reshape(self.word_weights.shape).astype(np.float32)
+        first, second = np.cumsum([self.class_weights.size, self.word_weights.size])
+        self.class_weights = flat[:first].reshape(self.class_weights.shape).astype(np.float32)
+        self.word_weights = flat[first:second].reshape(self.word_weights.shape).astype(np.float32)
+        self.tree.weights = flat[second:].astype(np.float32)
 
     def groups_of(self, ranks: np.ndarray) -> np.ndarray:
         return np.where((ranks >= 0) & (ranks < self.size), ranks // CLASS_SIZE, self.classes)
@@ -162,10 +222,28 @@ class _Table:
         self.weights[0] -= RATE * slope / np.sqrt(self.slopes[0])
 
 
-def train_block(model: MaxentModel, tables: tuple[_Table, _Table], tokens: Tokens, ranks: np.ndarray) -> None:
+class _TreeTable:
+    """The tree's weights in training, with a step size each."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+        self.slopes = np.ones(len(weights), dtype=np.float32)
+        self.sums = np.zeros(len(weights), dtype=np.float32)
+
+    def step(self, buckets: np.ndarray, error: np.ndarray) -> None:
+        np.add.at(self.sums, buckets, error)
+        slope = self.sums[buckets]  # equal in equal buckets, so is all that is assigned
+        self.sums[buckets] = 0
+        squares = self.slopes[buckets] + slope * slope
+        self.slopes[buckets] = squares
+        self.weights[buckets] -= RATE * slope / np.sqrt(squares)
+
+
+def train_block(model: MaxentModel, tables: tuple[_Table, _Table, _TreeTable], tokens: Tokens, ranks: np.ndarray) -> None:
     """Gradient steps on the tokens of one block, in place."""
     group = model.groups_of(ranks)
-    class_rows = model.class_rows(tokens)
+    contexts = tokens.contexts()
+    class_rows = model.class_rows(contexts)
     for low in range(0, len(ranks), STEP):
         part = slice(low, low + STEP)
         target = group[part]
@@ -175,10 +253,19 @@ def train_block(model: MaxentModel, tables: tuple[_Table, _Table], tokens: Token
         for r in rows:
             tables[0].step(r, error)
         tables[0].step_all(error)
+    others = np.flatnonzero(group == model.classes)
+    for low in range(0, len(others), STEP):
+        part = others[low : low + STEP]
+        _, z, side, buckets = model.tree.decisions(tokens.hashes[part], [c[part] for c in contexts])
+        for b in buckets:
+            z += tables[2].weights[b]
+        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - side
+        for b in buckets:
+            tables[2].step(b, error)
     some = np.flatnonzero(group < model.classes)
     if not len(some):
         return
-    rows, spot = model.word_rows(tokens, some, group[some]), ranks[some] % CLASS_SIZE
+    rows, spot = model.word_rows(contexts, some, group[some]), ranks[some] % CLASS_SIZE
     for low in range(0, len(some), STEP):
         part = [r[low : low + STEP] for r in rows]
         target = spot[low : low + STEP]
@@ -188,10 +275,15 @@ def train_block(model: MaxentModel, tables: tuple[_Table, _Table], tokens: Token
             tables[1].step(r, error)
 
 
-def score_block(model: MaxentModel, tokens: Tokens, ranks: np.ndarray) -> np.ndarray:
-    """Log10 probability of each token; of rare ones, that of being rare."""
+def score_block(model: MaxentModel, tokens: Tokens, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log10 probability of each token, of rare ones that of being rare; and, of rare ones, what to add if they are counted.
+
+    Of a counted word that is the log10 probability of its leaf over the leaf's mass,
+    so that its count is left to be multiplied. All words without a count share a mass of one.
+    """
     group = model.groups_of(ranks)
-    class_rows = model.class_rows(tokens)
+    contexts = tokens.contexts()
+    class_rows = model.class_rows(contexts)
     out = np.zeros(len(ranks))
     for low in range(0, len(ranks), STEP):
         part = slice(low, low + STEP)
@@ -199,11 +291,19 @@ def score_block(model: MaxentModel, tokens: Tokens, ranks: np.ndarray) -> np.nda
         out[part] = logs[np.arange(len(logs)), group[part]]
     some = np.flatnonzero(group < model.classes)
     if len(some):
-        rows, spot = model.word_rows(tokens, some, group[some]), ranks[some] % CLASS_SIZE
+        rows, spot = model.word_rows(contexts, some, group[some]), ranks[some] % CLASS_SIZE
         for low in range(0, len(some), STEP):
             logs = _log_softmax(model.word_weights, [r[low : low + STEP] for r in rows], None)
             out[some[low : low + STEP]] += logs[np.arange(len(logs)), spot[low : low + STEP]]
-    return out / LOG10
+    more = np.zeros(len(ranks))
+    others = np.flatnonzero(group == model.classes)
+    known = np.log(max(model.rare_mass - 1, 1) / model.rare_mass)
+    for low in range(0, len(others), STEP):
+        part = others[low : low + STEP]
+        hashes = tokens.hashes[part]
+        leaves = model.tree.logs(hashes, [c[part] for c in contexts])
+        more[part] = known + leaves - model.tree.log_leaves[model.tree.leaf(hashes)]
+    return out / LOG10, more / LOG10
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -228,9 +328,14 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 def frequent(counts: DataFrame) -> Counts:
     """The totals of stored counts and their most frequent words."""
     total = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
-    words = head["word"].to_numpy(np.int64).view(U64)
-    return Counts(words, head["n"].to_numpy(np.int64), int(total[0] or 0), int(total[1]))
+    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    words, n, kinds = head["word"].to_numpy().view(U64), head["n"].to_numpy(), int(total[1])
+    depth = _bits(kinds, 1, LEAF_LESS)
+    masses = counts.groupBy(F.shiftrightunsigned("word", 64 - depth).alias("leaf")).agg(F.sum(F.col("n") + 1).alias("mass")).toArrow()
+    leaves = np.zeros(1 << depth)
+    leaves[masses["leaf"].to_numpy()] = masses["mass"].to_numpy()
+    np.subtract.at(leaves, (words[:VOCABULARY] >> U64(64 - depth)).astype(np.int64), n[:VOCABULARY] + 1.0)
+    return Counts(words, n, int(total[0] or 0), kinds, leaves.astype(np.float32))
 
 
 def fit_maxent(docs: DataFrame, counts: Counts, *, text: str = "text", spread: Column | None = None, rounds: int = ROUNDS) -> MaxentModel:
@@ -274,7 +379,7 @@ def _changes(shared, known):
         from pyspark import TaskContext
 
         model, counts = shared.value, known.value
-        tables = (_Table(model.class_weights.copy()), _Table(model.word_weights.copy()))
+        tables = (_Table(model.class_weights.copy()), _Table(model.word_weights.copy()), _TreeTable(model.tree.weights.copy()))
         tokens_seen = 0
         for batch in batches:
             for _, _, block in Texts.of(batch.column(0)).blocks():
@@ -319,7 +424,7 @@ def _summed(raw: bool):
     return run
 
 
-WORDS = "key {key}, row long, n_tokens long, n_known long, base double, score double, rare array<bigint>"
+WORDS = "key {key}, row long, n_tokens long, n_known long, base double, score double, rare array<bigint>, more array<double>"
 
 
 def score_documents(
@@ -349,8 +454,8 @@ def score_documents(
                 head = ranks >= 0
                 n = np.where(head, counts.counts[np.maximum(ranks, 0)] if len(counts.words) else 0, 0)
                 share = np.log10(n + 1.0)
-                logs = score_block(model, tokens, ranks) if model.classes else np.zeros(len(ranks))
-                logs += np.where(ranks >= size, share - np.log10(rare_mass), 0)
+                logs, more = score_block(model, tokens, ranks) if model.classes else (np.zeros(len(ranks)), np.zeros(len(ranks)))
+                logs += np.where(ranks >= size, share + more, 0)
                 bounds = tokens.bounds
                 tail = np.flatnonzero(~head)
                 ends = np.searchsorted(tail, bounds).astype(np.int32)
@@ -368,26 +473,31 @@ def score_documents(
                             pa.array(tokens.hashes[tail].view(np.int64)),
                             type=pa.list_(pa.field("element", pa.int64(), nullable=False)),
                         ),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(more[tail])),
                     ],
-                    names=["key", "row", "n_tokens", "n_known", "base", "score", "rare"],
+                    names=["key", "row", "n_tokens", "n_known", "base", "score", "rare", "more"],
                 )
                 base += rows
 
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema["key"].dataType.simpleString()
     scored = stored(docs.mapInArrow(run, WORDS.format(key=kind)), "scored", BATCH_ROWS)
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "more")).alias("rare")).select("row", F.col("rare.rare").alias("word"), "rare.more")
+    rare = rare.groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"), F.sum("more").alias("more"))
     counted = rare.join(words, "word", "left").groupBy("row").agg(
         F.sum("times").alias("times"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("share"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("more")).otherwise(0.0)).alias("more"),
     )
-    whole = scored.drop("rare").join(counted, "row", "left").fillna({"times": 0, "known": 0, "share": 0.0})
+    whole = scored.drop("rare", "more").join(counted, "row", "left").fillna({"times": 0, "known": 0, "share": 0.0, "more": 0.0})
     return whole.select(
         F.col("key").alias(key),
         "n_tokens",
         (F.col("n_known") + F.col("known")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("share") - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))).alias("base_score"),
-        (F.col("score") + F.col("share") - F.col("times") * F.lit(float(np.log10(rare_mass)))).alias("score"),
+        (
+            F.col("score") + F.col("share") + F.col("more") - (F.col("times") - F.col("known")) * F.lit(float(np.log10(rare_mass)))
+        ).alias("score"),
     )

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lagcast.llm import maxent_lm
 from lagcast.llm.components import components
 from lagcast.llm.maxent_lm import count_words, fit_maxent, frequent, score_documents
 from lagcast.llm.multi_index import Codes, Index, nearest, unit
@@ -212,6 +213,40 @@ def test_language_model(spark, edge_docs, no_docs):
         assert r.base_score == r.score == 0 and r.n_known == 0
 
 
+def test_context_decides_among_words_without_a_class(spark, monkeypatch):
+    """The same rare words, in pairs that the training text has and in pairs that it has not."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(maxent_lm.VOCABULARY)]
+    line = lambda pairs: " ".join(f"a{i} b{j}" for i, j in pairs)
+    made = [(k, " ".join(rng.sample(common, 400))) for k in range(800)]
+    made += [(1000 + k, line((i, i) for i in rng.sample(range(200), 30))) for k in range(600)]
+    train = spark.createDataFrame(made, "doc_id long, text string").repartition(2).cache()
+    words = count_words(train).cache()
+    counts = frequent(words)
+    picked = rng.sample(range(200), 100)
+    for head in (len(counts.words), maxent_lm.VOCABULARY):  # the others are joined
+        counts.words, counts.counts = counts.words[:head], counts.counts[:head]
+        counts.__dict__.pop("_index", None)
+        model = fit_maxent(train, counts)
+        ends = [(1, line(zip(picked, picked))), (2, line(zip(picked, picked[1:] + picked[:1]))), (3, "never seen")]
+        scored = score_documents(spark.createDataFrame(ends, "doc_id long, text string"), model, counts, words).collect()
+        found = {r.doc_id: r for r in scored}
+        assert abs(found[1].base_score - found[2].base_score) < 1e-6
+        assert found[1].score - found[2].score > 5
+        assert found[3].n_known == 1 and math.isfinite(found[3].score)
+
+
+def test_untrained_tree_equals_the_unigram_model(spark):
+    rows = [(k, " ".join(f"w{(k * 37 + j * j) % 5000}" for j in range(300))) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = count_words(docs).cache()
+    counts = frequent(words)
+    assert counts.kinds > maxent_lm.VOCABULARY
+    ends = docs.limit(20).unionByName(spark.createDataFrame([(-1, "unseen words w1")], "doc_id long, text string"))
+    for r in score_documents(ends, maxent_lm.MaxentModel(counts), counts, words).collect():
+        assert abs(r.score - r.base_score) < 1e-2
+
+
 # --- pipeline -----------------------------------------------------------------
 
 

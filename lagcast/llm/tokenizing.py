@@ -6,7 +6,9 @@ split pattern keeps pre-tokens apart, so the ids of a text are those of its
 pre-tokens one after the other.
 """
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +30,20 @@ def read_tokenizer(path: str) -> str:
 
 
 class FileEncoder:
-    """Ids of pre-tokens from the tokenizers library; special tokens in texts are ordinary text."""
+    """Ids of pre-tokens from the tokenizers library.
+
+    Texts that hold one of the file's added tokens are encoded whole by the library, which
+    cuts them there first.
+    """
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
         self.memory = Memory()
+        added = [t["content"].encode() for t in json.loads(content).get("added_tokens") or [] if t["content"]]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
 
     def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
@@ -45,7 +52,22 @@ class FileEncoder:
         return counts, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        return encode(texts, self, self.memory)
+        found = [m.span() for m in self.added.finditer(texts.data.tobytes())] if self.added else []
+        if not found:
+            return encode(texts, self, self.memory)
+        at = np.array(found) - [0, 1]  # first and last byte; what spans two texts sends both to the library
+        ids, sizes, low = [], [np.zeros(1, np.int64)], 0
+        for k in [*np.unique(np.searchsorted(texts.offsets, at, "right") - 1).tolist(), len(texts)]:
+            if low < k:
+                part, bounds = encode(texts.part(low, k), self, self.memory)
+                ids.append(part)
+                sizes.append(np.diff(bounds))
+            if k < len(texts):
+                own = self.tokenizer.encode(bytes(texts.bytes_of(k)).decode(), add_special_tokens=False).ids
+                ids.append(np.array(own, np.uint32))
+                sizes.append(np.array([len(own)]))
+            low = k + 1
+        return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
 
 
 _ENCODERS: dict[int, FileEncoder] = {}

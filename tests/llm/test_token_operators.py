@@ -13,6 +13,7 @@ import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from lagcast.llm import pretokens
 from lagcast.llm.arrays import Texts
@@ -74,6 +75,16 @@ def test_ids_equal_the_libraries(vocabulary, library, file_encoder, values):
         assert [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == ids
 
 
+def test_added_tokens_have_the_ids_of_the_library():
+    library, encoder = Tokenizer.from_str(TOKENIZER), FileEncoder(TOKENIZER)
+    token = "<|endoftext|>"
+    values = ["plain text", f"a {token} b", "", f"{token}", "x <|endof", "text|> y", f" {token}{token}  z", "the end <|endoftext|"]
+    ids, bounds = encoder.encode(texts_of(values))
+    want = [library.encode(v, add_special_tokens=False).ids for v in values]
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    assert want[1] == [64, 220, 50256, 275]
+
+
 def test_heap_merges_long_pretokens_like_the_library(library):
     rng, ranks = random.Random(5), {t: k for k, t in enumerate(read_ranks(RANKS))}
     for n in (1, 2, 50, 3000):

@@ -44,11 +44,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies.
 
-    Of rows with the same id and text, one stays.
+    Rows with equal ids are judged each by its own text. Of rows with the same id and text, one stays.
     """
-    judged = near_duplicates(docs, width=5, percent=80)
-    dropped = judged.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    judged = near_duplicates(docs, width=5, percent=80, digest="__digest")
+    dropped = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), "__digest").distinct()
+    same = (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__digest"))
+    left = docs.join(dropped, same, "left_anti").dropDuplicates(["doc_id", "text"])
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

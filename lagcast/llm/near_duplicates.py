@@ -124,7 +124,7 @@ def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _signed(width: int, bands: int, rows: int):
-    """Key, set size, node and bands of every document."""
+    """Key, digest, set size, node and bands of every document."""
 
     def run(batches):
         for batch in batches:
@@ -136,13 +136,14 @@ def _signed(width: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[low:high],
+                        batch.column(2)[low:high],
                         pa.array(np.diff(bounds).astype(np.int64)),
                         fingerprints(hashes, bounds),
                         pa.ListArray.from_arrays(
                             pa.array(ends), pa.array(hashed.reshape(-1)), type=pa.list_(pa.field("element", pa.int64(), nullable=False))
                         ),
                     ],
-                    names=["key", "n_shingles", "node", "bands"],
+                    names=["key", "digest", "n_shingles", "node", "bands"],
                 )
 
     return run
@@ -231,7 +232,7 @@ def _across(percent: int):
 
 
 def near_duplicates(
-    df: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT
+    df: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, digest: str | None = None
 ) -> DataFrame:
     """``doc_id``-like key, ``n_shingles``, ``component_id`` and ``kept`` of every document.
 
@@ -241,13 +242,15 @@ def near_duplicates(
     own key. Null, empty and all-space texts have no shingle and no link: they are
     kept. A row with a null key is kept too, with a null ``component_id`` unless it is
     linked to a document with one. Rows with equal keys are judged each by its own text, so
-    repeated rows stay or go together. Only ``key`` and ``text`` are read.
+    repeated rows stay or go together; ``digest`` names a column to add with the xxhash64 of
+    the text, which tells them apart. Only ``key`` and ``text`` are read.
     """
     bands, rows = banding(percent)
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    read = docs.withColumn("digest", F.xxhash64("text"))
     kind = docs.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, n_shingles long, node binary, bands array<bigint>"
-    signed = stored(docs.mapInArrow(_signed(width, bands, rows), schema), "signatures", BATCH_ROWS)
+    schema = f"key {kind}, digest long, n_shingles long, node binary, bands array<bigint>"
+    signed = stored(read.mapInArrow(_signed(width, bands, rows), schema), "signatures", BATCH_ROWS)
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node")
     nodes = stored(nodes.agg(F.min("key").alias("least"), F.first("bands").alias("bands")), "nodes")
 
@@ -278,9 +281,10 @@ def near_duplicates(
     least = least.select("node", "least", F.coalesce("label", "node").alias("label"))
     smallest = least.groupBy("label").agg(F.min("least").alias("component_id"))
     found = least.join(smallest, "label").select("node", "component_id")
-    out = signed.select("key", "n_shingles", "node").join(found, "node", "left")
+    out = signed.select("key", "digest", "n_shingles", "node").join(found, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id")).withColumn(
+    more = [F.col("digest").alias(digest)] if digest else []
+    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), *more).withColumn(
         "kept", F.coalesce(F.col(key) == F.col("component_id"), F.col(key).isNull())
     )
 

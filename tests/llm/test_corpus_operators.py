@@ -262,3 +262,10 @@ def test_stages_keep_columns_and_filter(spark, folder, edge_docs, no_docs):
     assert sorted(texts) == [1, 3, 4, 5, 6, 8, 9, 10]
     packed = corpus_pipeline.packing(spark, edge_docs, folder)
     assert packed.where("doc_id = 3").count() == 1 and corpus_pipeline.packing(spark, no_docs, folder).count() == 0
+
+
+def test_near_dedup_judges_rows_with_one_id_each_by_its_text(spark, folder):
+    copied = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, copied), (7, copied + " more"), (7, "a text of its own that nobody else has"), (7, "and another one"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, corpus_pipeline.near_dedup(spark, docs, folder).collect())) == Counter([rows[0], *rows[2:]])

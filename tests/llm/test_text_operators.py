@@ -1,5 +1,6 @@
 """Compression bands, quality classifier, language identification: counts, verdicts, accuracy."""
 
+import base64
 import random
 import re
 from collections import Counter
@@ -59,6 +60,17 @@ def test_bands_reject_repetition_and_noise(spark, stock):
     assert kept == {1: True, 2: True, 3: False, 4: False, 5: False}
 
 
+def test_bands_judge_every_part_of_a_text(spark, stock):
+    rng = random.Random(9)
+    prose = words(rng, 3000, stock)
+    noise = base64.b64encode(rng.randbytes(3000)).decode()
+    rows = [(1, prose[:4096] + noise), (2, prose[:8096]), (3, prose[:1500] + noise[:1500]), (4, prose[:3000])]
+    rows += [(5, prose[:8192] + noise), (6, prose[:12192])]
+    found = compression_bands(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept for r in found} == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True}
+    assert all(r.odd_chunks == 0 for r in found if r.kept)
+
+
 def test_bands_on_edges(edge_docs, no_docs):
     found = compression_bands(edge_docs)
     rows = found.collect()

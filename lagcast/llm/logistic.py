@@ -8,9 +8,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Logistic:
-    """Weights of standardised columns, fitted by Newton steps."""
+    """Weights of standardised columns, fitted by Newton steps; rows may have weights."""
 
-    def __init__(self, columns: np.ndarray, label: np.ndarray, ridge: float = 1e-3, steps: int = 25):
+    def __init__(self, columns: np.ndarray, label: np.ndarray, ridge: float = 1e-3, steps: int = 25, weights: np.ndarray | None = None):
+        share = np.ones(len(label)) if weights is None else weights / weights.mean()
         self.mean = columns.mean(axis=0)
         self.spread = np.maximum(columns.std(axis=0), 1e-9)
         x = self._scaled(columns)
@@ -19,8 +20,8 @@ class Logistic:
         self.weights = np.zeros(x.shape[1])
         for _ in range(steps):
             p = sigmoid(x @ self.weights)
-            slope = x.T @ (p - label) + penalty * self.weights
-            curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
+            slope = x.T @ (share * (p - label)) + penalty * self.weights
+            curve = (x * (share * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
             step = np.linalg.solve(curve, slope)
             self.weights -= step
             if np.abs(step).max() < 1e-9:

@@ -96,7 +96,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text
     smallest hashes, and joined to the documents as a broadcast of at most twice so
     many keys; the texts are not shuffled. Keys labelled both ways, null keys and
     null labels are left out. Three fifths of the keys give chunks for the
-    dictionaries, the others calibrate. Without a label of both classes every score
+    dictionaries, the others calibrate, weighted by how many keys of their class each
+    stands for, so that the bound does not change the share of good ones. Without a label of both classes every score
     is the share of good ones, or 0.5.
     """
     clear = (
@@ -109,6 +110,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text
     counts = {r[0]: r[1] for r in clear.groupBy("__label").count().collect()}
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     parts = [smallest(clear.where(F.col("__label") == k), SAMPLE_DOCS, F.col("__rank"), F.col("__key")) for k in (0, 1)]
+    stands_for = np.array([max(counts.get(k, 0) / SAMPLE_DOCS, 1.0) for k in (0, 1)])
     chosen = parts[0].unionByName(parts[1])  # bounded by 2 * SAMPLE_DOCS rows
     labelled = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), "__key")
     labelled = labelled.select("__label", "__rank", "text").where(F.length("text") > 0)
@@ -139,7 +141,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text
     rows = smallest(measured, CALIBRATION_ROWS, F.xxhash64("rank", F.lit(1)), F.col("columns")).collect()
     truth = np.array([r[0] for r in rows], dtype=float)
     if len(set(truth.tolist())) == 2:
-        model.calibration = Logistic(np.array([r[2] for r in rows]), truth)
+        model.calibration = Logistic(np.array([r[2] for r in rows]), truth, weights=stands_for[truth.astype(int)])
     return model
 
 

@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lagcast.llm import quality_classifier
 from lagcast.llm.arrays import Texts
 from lagcast.llm.compression_bands import compression_bands, text_counts
 from lagcast.llm.folds import is_fold
@@ -95,6 +96,16 @@ def test_quality_separates_held_out_documents(spark, stock):
     assert len(scored) > 80 and all(r.predicted == truth[r.doc_id] and 0 <= r.score <= 1 for r in scored)
 
 
+def test_bounded_sample_keeps_the_share_of_good_ones(spark, stock, monkeypatch):
+    rng = random.Random(10)
+    rows = [(k, words(rng, 60, stock), int(rng.random() < 0.9)) for k in range(1500)]  # labels say nothing about texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    monkeypatch.setattr(quality_classifier, "SAMPLE_DOCS", 150)
+    model = fit_quality(docs, docs.select("doc_id", "quality"), label="quality")
+    scores = [r.score for r in score_quality(docs.limit(300), model).collect()]
+    assert abs(sum(scores) / len(scores) - model.prior) < 0.07
+
+
 def test_quality_on_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (6, 0), (None, 1), (7, None), (99, 1)], "doc_id long, quality int")
     model = fit_quality(edge_docs, labels, label="quality")

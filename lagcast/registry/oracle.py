@@ -146,8 +146,8 @@ def on_requests(select: str, *more: str) -> str:
 # --- correlation ------------------------------------------------------------------
 
 
-# The first answer of an id from each request on, if it comes within ten seconds.
-_CORRELATED = f"""
+# Requests, and the answers sent to them.
+_SENT = """
 WITH e AS (
   SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' WHEN event_id % 50 <> 1 THEN concat('r', event_id) END AS request_id,
     event_id, ts, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events
@@ -160,7 +160,10 @@ WITH e AS (
       CASE WHEN k % 3 = 0 THEN [wait, wait + 1, -3] ELSE [wait] END)) AS resp_ts,
     k / 100e0 AS probability, CASE WHEN k > 50 THEN 'High' ELSE 'Low' END AS risk
   FROM first_sent WHERE wait IS NOT NULL
-), met AS (
+)"""
+
+# The first answer of an id from each request on, if it comes within ten seconds.
+_CORRELATED = f"""{_SENT}, met AS (
   SELECT e.event_id, min({{'at': s.resp_ts, 'p': s.probability, 'r': s.risk}}) AS answer
   FROM e JOIN sent s
     ON s.request_id = e.request_id AND s.resp_ts >= e.ts AND s.resp_ts <= e.ts + INTERVAL 10 SECONDS
@@ -334,16 +337,7 @@ FROM (DESCRIBE {on_flights(f"SELECT {_columns('V3')}, Visibility FROM flights")}
         _union_kinds("SELECT DISTINCT '{kind}' AS kind, {kind} AS label FROM prepared")
     ),
     "request_topic": _with(FLIGHTS, _WIRE, select=f"SELECT {', '.join(_FIELDS)} FROM wire"),
-    "response_topic": """
-WITH sent AS (
-  SELECT concat('r', CAST(event_id AS VARCHAR)) AS request_id,
-    CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events
-)
-SELECT request_id, k / 100e0 AS probability, CASE WHEN k > 50 THEN 'High' ELSE 'Low' END AS risk
-FROM sent WHERE k % 10 < 9
-UNION ALL
-SELECT request_id, k / 100e0, CASE WHEN k > 50 THEN 'High' ELSE 'Low' END
-FROM sent WHERE k % 10 < 9 AND k % 3 = 0""",
+    "response_topic": f"{_SENT} SELECT request_id, probability, risk FROM sent",
     # cleaning and labelling
     "prepared_v1": on_prepared("SELECT * FROM prepared", version="V1"),
     "prepared_v2": on_prepared("SELECT * FROM prepared", version="V2"),

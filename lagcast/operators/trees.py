@@ -53,12 +53,18 @@ def fit(df: DataFrame, categories: tuple[str, ...], layout: str, estimator, inva
 
     The trees come last and by themselves, since only the fitted indexer tells
     how many bins its widest category needs: the estimator's bins are raised to
-    that. Several passes are made over ``df``, so callers hold or store it; the
+    that. They train on a view of the index without the place for unseen values,
+    which no training row has: values never outnumber rows, and rows are what bins
+    may not outnumber. The pipeline's own index has that place, and an unseen value
+    goes where a split sends those it does not name. A null category raises.
+
+    Several passes are made over ``df``, so callers hold or store it; the
     trees themselves keep their binned form of it between rounds.
     """
     shared_dir(df.sparkSession)  # where boosting cuts its growing lineage
     stages = [index(categories, invalid).fit(df)]
-    current = stages[0].transform(df)
+    seen = stages[0] if indicators else stages[0].copy().setHandleInvalid("error")
+    current = seen.transform(df)
     if indicators:
         stages.append(one_hot(categories).fit(current))
         current = stages[-1].transform(current)

@@ -1,10 +1,11 @@
 """Matching responses to requests within a time limit."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lagcast import fixed
+from lagcast.operators.ordering import next_values
 
 
 def timeout_error(answered: Column, text: str = fixed.TIMEOUT_TEXT) -> Column:
@@ -33,51 +34,33 @@ def correlate(
     one without an id.
 
     Instead of a join, whose output grows with the product of the rows of a
-    repeated id, both sides are laid on one time line. It is cut into slots as
-    long as the timeout, so a request can be answered from its own slot or the
-    next; responses go into both. One shuffle by id and slot spreads a hot id
-    over its slots, and within a slot the next response is a running value.
+    repeated id, both sides are laid on one time line. All rows of an id at one
+    instant become one on the way to it: the number of requests and the lowest
+    answer. The time line is range-partitioned by id and time, so a burst of one id
+    spreads over tasks, and an answer from a later partition is carried back.
     """
     width = microseconds(timeout)
-    at = F.unix_micros(F.col("req_ts").cast("timestamp"))
     asked = requests.select(
         "request_id",
+        F.unix_micros(F.col("req_ts").cast("timestamp")).alias("at"),
         "req_ts",
-        at.alias("at"),
-        F.floor(at / width).alias("slot"),
         F.lit(None).cast(_answer_type(responses)).alias("answer"),
-        F.lit(True).alias("asks"),
     )
     # A response without an id answers nothing; a repeated one changes nothing.
-    delivered = responses.select("request_id", "resp_ts", "probability", "risk").where(
-        F.col("request_id").isNotNull()
-    )
-    moment = F.unix_micros(F.col("resp_ts").cast("timestamp"))
-    own = F.floor(F.col("at") / width)
-    given = delivered.withColumn("at", moment).select(
+    given = responses.where(F.col("request_id").isNotNull()).select(
         "request_id",
+        F.unix_micros(F.col("resp_ts").cast("timestamp")).alias("at"),
         F.lit(None).cast(requests.schema["req_ts"].dataType).alias("req_ts"),
-        "at",
-        F.explode(F.array(own, own - 1)).alias("slot"),
         F.struct("resp_ts", "probability", "risk").alias("answer"),
-        F.lit(False).alias("asks"),
-    )
-    # Backwards in time, the last response seen is the next one; at one instant
-    # a response is seen before the request it may answer, the lowest one last.
-    backwards = (
-        Window.partitionBy("request_id", "slot")
-        .orderBy(F.desc("at"), F.asc("asks"), F.desc("answer"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    seen = asked.unionByName(given).withColumn(
-        "next", F.last("answer", ignorenulls=True).over(backwards)
+    moments = asked.unionByName(given).groupBy("request_id", "at").agg(
+        F.max("req_ts").alias("req_ts"), F.count("req_ts").alias("times"), F.min("answer").alias("answer")
     )
+    found = next_values(moments, "request_id", "at", "answer", "next").where("times > 0")
     in_time = F.unix_micros(F.col("next.resp_ts").cast("timestamp")) - F.col("at") <= width
-    answered = F.coalesce(in_time, F.lit(False))
-    found = seen.filter("asks").select(
-        "request_id", "req_ts", F.when(answered, F.col("next")).alias("next")
-    )
-    return found.select(
-        "request_id", "req_ts", "next.resp_ts", "next.probability", "next.risk",
-        timeout_error(F.col("next").isNotNull()).alias("error"),
+    answer = F.when(in_time, F.col("next")).alias("answer")
+    each = found.select("request_id", "req_ts", answer, F.explode(F.sequence(F.lit(1), "times")))
+    return each.select(
+        "request_id", "req_ts", "answer.resp_ts", "answer.probability", "answer.risk",
+        timeout_error(F.col("answer").isNotNull()).alias("error"),
     )

@@ -2,9 +2,11 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lagcast import fixed
 from lagcast.operators.correlate import correlate
+from lagcast.operators.ordering import next_values
 
 START = datetime.datetime(2024, 1, 1)
 REQ = "request_id string, req_ts timestamp"
@@ -63,6 +65,45 @@ def test_equals_trying_every_pair(rows, seed):
     assert run(rows, asked, given) == want
 
 
+def test_burst_of_one_id_spreads_over_partitions(spark):
+    """A third of all rows has one id and lies within ten seconds; most of it at few instants."""
+    rng = random.Random(3)
+    asked, given = [], []
+    for k in range(900):
+        hot, t = k % 3 == 0, rng.randrange(100) / 10
+        asked.append(("hot" if hot else f"r{k % 37}", at(t if hot else k)))
+        if k % 5 == 0:
+            given.append(("hot" if hot else f"r{k % 37}", at((t if hot else k) + rng.choice([0, 4, 10, 11])), k / 900, "Low"))
+    asked += [(None, at(1))] * 3 + [("silent", at(1))] * 2
+    given += [(None, at(2), 0.5, "Low"), ("early", at(0), 0.5, "Low")]
+    expected = []
+    for name, t in asked:
+        fits = [g[1:] for g in given if name is not None and g[0] == name and 0 <= (g[1] - t).total_seconds() <= 10]
+        first = min(fits, default=(None,) * 3)
+        expected.append((name, t, *first, None if fits else fixed.TIMEOUT_TEXT))
+    requests, responses = spark.createDataFrame(asked, REQ).repartition(7), spark.createDataFrame(given, RESP)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        got = correlate(requests, responses).collect()
+        moments = responses.select("request_id", "resp_ts").distinct().withColumn("v", F.lit(1))
+        placed = next_values(moments, "request_id", "resp_ts", "v", "next").select("request_id").withColumn(
+            "part", F.spark_partition_id())
+        assert placed.where("request_id = 'hot'").select("part").distinct().count() > 1
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+
+
+def test_next_value_is_carried_over_partitions_without_one(rows):
+    data = [("a", k, "late" if k == 99 else None) for k in range(100)] + [("b", k, None) for k in range(100)]
+    got = next_values(rows(data, "g string, o int, v string").repartition(5), "g", "o", "v", "next").collect()
+    assert {(r.g, r.next) for r in got} == {("a", "late"), ("b", None)} and len(got) == 200
+
+
 def test_plan_has_no_join(rows):
     requests, responses = rows([("a", at(0))], REQ), rows([("a", at(1), 0.5, "Low")], RESP)
     plan = correlate(requests, responses)._jdf.queryExecution().executedPlan().toString()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagcast import fixed
+from lagcast.operators.correlate import correlate
 from lagcast.operators.requests import (
     coerce_request, split_bad, valid_request, with_request_defaults, with_request_id,
 )
@@ -107,14 +108,35 @@ def test_matching_with_timeouts_over_restarts(spark, send, tmp_path, state):
 
     send("asked", (0, asked("soon")), (0, asked("late")), (0, asked("never")))
     send("given", (3, answer("soon", 0.3)), (3, answer("soon", 0.3)))
-    assert run() == ({}, 0)  # an earlier answer, or none, is still possible
+    # The answer shows at once, long before the watermark passes its limit of ten seconds.
+    assert run() == ({"soon": (0.3, None)}, 1)
+    send("given", (2, answer("soon", 0.2)))  # came second
     send("given", (20, answer("late", 0.2)))
+    assert run() == ({"soon": (0.3, None)}, 1)
     send("asked", (1000, "{}"))
     send("given", (1000, "{}"))
     timeout = (None, fixed.TIMEOUT_TEXT)
     assert run() == ({"soon": (0.3, None), "late": timeout, "never": timeout}, 3)
 
 
+def test_earliest_of_the_answers_that_come_together(spark, send, tmp_path):
+    def answer(request_id, p):
+        return json.dumps({"request_id": request_id, "probability": p, "risk": "Low"})
+
+    send("asked", *[(k, asked(f"r{k % 7}")) for k in range(60)])
+    send("given", *[(k + wait, answer(f"r{k % 7}", wait / 10)) for k in range(60) for wait in (6, 3, 9, 3)])
+    requests = request_stream(spark, file_topic(str(tmp_path / "asked")))
+    responses = response_stream(spark, file_topic(str(tmp_path / "given")))
+    correlate_stream(requests, responses).writeStream.format("parquet").option(
+        "checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start(str(tmp_path / "m")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "m"))
+    batch = correlate(
+        request_stream(spark, file_topic(str(tmp_path / "asked")), False).select("request_id", "req_ts"),
+        response_stream(spark, file_topic(str(tmp_path / "given")), False),
+    )
+    assert got.count() == 60 and got.exceptAll(batch).count() == 0
+
+
 def test_strict_model_sets_unknown_categories_aside(spark, folder, send, tmp_path):
     strict = train_for_service(flights(spark, folder), recipe=RECIPES["carrier"].sized(1), depth=3)
     topic = send(

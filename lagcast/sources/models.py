@@ -1,13 +1,16 @@
 """Fitted pipelines on shared storage."""
 
 from pyspark.ml import PipelineModel
+from pyspark.sql import SparkSession
+
+from lagcast.sources.storage import publish, published
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    """Write a fitted pipeline, replacing what is there."""
-    model.write().overwrite().save(path)
+    """Write a fitted pipeline in place of what is there; readers find the old one or the new one."""
+    publish(SparkSession.active(), path, model.save)
 
 
 def load_model(path: str) -> PipelineModel:
     """Read a fitted pipeline; a missing one is an error at once, not a wait."""
-    return PipelineModel.load(path)
+    return PipelineModel.load(published(SparkSession.active(), path) or path)

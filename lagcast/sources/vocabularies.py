@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lagcast.fixed import VOCABULARY_FIELDS
 from lagcast.schemas import VOCABULARY
+from lagcast.sources.storage import publish, published
 
 _ROWS = "kind string, label string"
 
@@ -12,7 +13,7 @@ _ROWS = "kind string, label string"
 def write_vocab(labels: DataFrame, path: str, form: str = "object") -> None:
     """Write ``(kind, label)`` rows.
 
-    ``object`` is one object of sorted lists, written by one task; ``rows`` are sorted
+    They replace what is there without a gap. ``object`` is one object of sorted lists, written by one task; ``rows`` are sorted
     rows, written by all tasks, for vocabularies of any size. Readers take both.
     """
     if form == "rows":
@@ -21,7 +22,7 @@ def write_vocab(labels: DataFrame, path: str, form: str = "object") -> None:
         written = vocabulary_object(labels)
     else:
         raise ValueError(f"unknown form {form!r}")
-    written.write.mode("overwrite").json(path)
+    publish(labels.sparkSession, path, written.write.json)
 
 
 def vocabulary_object(labels: DataFrame) -> DataFrame:
@@ -34,18 +35,12 @@ def vocabulary_object(labels: DataFrame) -> DataFrame:
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
-
-
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """The stored vocabulary as one object; three empty lists where nothing is stored.
 
     Only a missing path counts as nothing; any other failure to read is an error.
     """
-    if not _exists(spark, path):
+    if published(spark, path) is None:
         return spark.createDataFrame([([], [], [])], VOCABULARY)
     return vocabulary_object(read_labels(spark, path))
 
@@ -71,6 +66,6 @@ def vocabulary_labels(vocabulary: DataFrame) -> DataFrame:
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Stored vocabularies as ``(kind, label)`` rows, whichever form they have."""
     either = ", ".join([f"{f} array<string>" for f in VOCABULARY_FIELDS] + [_ROWS])
-    stored = spark.read.schema(either).json(path)
+    stored = spark.read.schema(either).json(published(spark, path) or path)
     single = F.array(F.struct("kind", "label"))
     return stored.select(F.inline(F.when(F.col("kind").isNull(), _labelled_lists()).otherwise(single)))

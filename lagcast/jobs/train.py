@@ -10,9 +10,9 @@ from lagcast.sources.flights import read_flights
 
 
 def run(spark: SparkSession, flights: str, model: str, copy: str | None = None, rounds: int | None = None) -> None:
-    """Read all flights below a folder, fit, and save the pipeline."""
+    """Read all flights below a folder, whatever order their files' columns have, fit, and save the pipeline."""
     recipe = RECIPES["service"] if rounds is None else RECIPES["service"].sized(rounds)
-    train_for_service(read_flights(spark, flights), model, copy, recipe)
+    train_for_service(read_flights(spark, flights, by_name=True), model, copy, recipe)
 
 
 if __name__ == "__main__":

@@ -322,6 +322,8 @@ _KNOWN = " AND ".join(
 ORACLE = {
     # scans, sources, sinks
     "flights_csv_scan": on_flights(f"SELECT {_columns('V3')}, Visibility FROM flights"),
+    "flights_csv_by_name": on_flights(f"SELECT {_columns('V3')}, Visibility FROM flights"),
+    "inferred_by_name": on_flights(f"SELECT {_columns('V3')}, Visibility FROM flights"),
     "inferred_schema": f"""
 SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'string'
   ELSE lower(column_type) END AS type, TRUE AS nullable

@@ -50,12 +50,13 @@ def query(function: Query) -> Query:
 # --- scans, sources, sinks ----------------------------------------------------
 
 
-def _as_csv(spark: SparkSession, folder: str) -> str:
-    """The flights as CSV files in nested folders."""
+def _as_csv(spark: SparkSession, folder: str, swapped: bool = False) -> str:
+    """The flights as CSV files in nested folders, a part of them with the columns in another order."""
     path = scratch_path(spark, "flights-csv")
     rows = flights(spark, folder).drop(KEY)
     for part, branch in zip(split(rows), ("one", "two/deep")):
-        part.write.option("header", "true").option(
+        names = reversed(rows.columns) if swapped and branch == "one" else rows.columns
+        part.select(*names).write.option("header", "true").option(
             "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS"
         ).csv(f"{path}/{branch}")
     return path
@@ -71,6 +72,17 @@ def inferred_schema(spark, folder):
     return schema_report(read_flights(spark, _as_csv(spark, folder), infer=True))
 
 
+@query
+def flights_csv_by_name(spark, folder):
+    return read_flights(spark, _as_csv(spark, folder, swapped=True), by_name=True)
+
+
+@query
+def inferred_by_name(spark, folder):
+    read = read_flights(spark, _as_csv(spark, folder, swapped=True), infer=True)
+    return read.withColumn("Time", F.col("Time").cast("timestamp_ntz"))
+
+
 @query
 def request_frame(spark, folder):
     return requests_df(spark, wire_requests(spark, folder).drop("Dest"))

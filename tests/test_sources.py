@@ -43,6 +43,30 @@ def test_swapped_headers_fail_loudly(spark, tmp_path, explicit):
         read_flights(spark, path, FLIGHTS if explicit else None).collect()
 
 
+def test_files_come_together_by_name(spark, tmp_path):
+    swapped = FLIGHTS.names[:]
+    swapped[5], swapped[6] = swapped[6], swapped[5]
+    put(tmp_path, "a b+c[1].csv", HEADER, LINE)
+    put(tmp_path, "deep/b.csv", ",".join(swapped), LINE)
+    put(tmp_path, "c.csv", "Tail," + HEADER, "N1," + LINE, "N2," + LINE)
+    (tmp_path / "empty.csv").write_text("")
+    path = put(tmp_path, "d.csv", HEADER)
+    df = read_flights(spark, path, by_name=True)
+    got = sorted((r.Tail or "", r.Temperature, r.Wind_Speed) for r in df.collect())
+    assert got == [("", 5.0, 50.0), ("", 50.0, 5.0), ("N1", 50.0, 5.0), ("N2", 50.0, 5.0)]
+    same = read_flights(spark, path, infer=True)
+    assert same.schema["Temperature"].dataType == T.IntegerType()
+    assert sorted((r.Tail or "", r.Temperature, r.Wind_Speed) for r in same.collect()) == got
+
+
+def test_inferred_type_holds_the_values_of_all_files(spark, tmp_path):
+    put(tmp_path, "a.csv", "x,y,z", "1,2024-01-01,7")
+    path = put(tmp_path, "b.csv", "z,x,y", "p,2.5,2024-01-01 10:00:00")
+    df = read_flights(spark, path, infer=True)
+    assert {f.name: f.dataType.simpleString() for f in df.schema} == {"x": "double", "y": "timestamp", "z": "string"}
+    assert sorted((r.x, r.z) for r in df.collect()) == [(1.0, "7"), (2.5, "p")]
+
+
 def test_other_columns_are_carried_as_text(spark, tmp_path):
     path = put(tmp_path, "a.csv", "Tail," + HEADER, "N1," + LINE)
     df = read_flights(spark, path)
@@ -65,6 +89,7 @@ def test_columnar_copy(spark, folder, tmp_path):
     rows = flights(spark, folder)
     copy = columnar_copy(rows, str(tmp_path / "copy"))
     assert copy.schema == rows.schema and copy.exceptAll(rows).count() == 0
+    assert len(columnar_copy(rows, str(tmp_path / "five"), files=5).inputFiles()) == 5
 
 
 def test_request_records(spark):

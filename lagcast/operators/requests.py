@@ -10,12 +10,19 @@ from lagcast.schemas import CATEGORY_FIELDS, DECIMAL_FIELDS, INTEGER_FIELDS
 from lagcast.session import settled
 
 
-def with_request_id(df: DataFrame) -> DataFrame:
-    """A new random id per request; send the result before using the ids.
+def with_request_id(df: DataFrame, *place: str | Column) -> DataFrame:
+    """A new id per request.
 
-    A recomputed row draws another id, so ids hold only once they are written.
+    ``place`` says where a request lies in its source: topic, partition and offset, or
+    the path of a file and the row's index in it. The id is a hash of that, so a task
+    that is computed again, or a batch that is read again, gives the same ids. Without a
+    place ids are random, and a recomputed row draws another: send them before use.
     """
-    return df.withColumn("request_id", F.expr("uuid()"))
+    if not place:
+        return df.withColumn("request_id", F.expr("uuid()"))
+    spot = F.md5(F.to_json(F.struct(*place), {"ignoreNullFields": "false"}))
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return df.withColumn("request_id", F.concat_ws("-", *[F.substring(spot, *cut) for cut in cuts]))
 
 
 def with_request_defaults(df: DataFrame, labels: DataFrame) -> DataFrame:

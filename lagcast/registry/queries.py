@@ -22,15 +22,15 @@ from lagcast.operators.vocabulary import frequency_index, vocabulary
 from lagcast.plans.predicting import predict, respond
 from lagcast.registry.inputs import (
     KEY, answered, asked, experiment, flights, lacking_requests, prepared, request_messages,
-    service_model, tenth, toxic_documents, training, wire_requests,
+    service_model, table, tenth, toxic_documents, training, wire_requests,
 )
 from lagcast.schemas import MESSAGE, RAW_REQUEST
-from lagcast.session import scratch_path
+from lagcast.session import scratch_path, settled
 from lagcast.sources.flights import read_flights, schema_report
 from lagcast.sources.models import load_model, save_model
 from lagcast.sources.requests import requests_df
 from lagcast.sources.topics import (
-    file_topic, messages, parse_requests, request_stream, response_stream, to_payload,
+    PLACE, file_topic, log_topic, messages, parse_requests, request_stream, response_stream, to_payload,
     write_requests, write_responses,
 )
 from lagcast.sources.vocabularies import read_vocab, vocabulary_labels, write_vocab
@@ -113,12 +113,12 @@ def _put(df: DataFrame, path: str) -> str:
     return path
 
 
-def _drain(df: DataFrame, schema, spark: SparkSession) -> DataFrame:
+def _drain(df: DataFrame, schema, spark: SparkSession, out: str | None = None, progress: str | None = None) -> DataFrame:
     """Run a stream over what its source holds, and read what it wrote."""
-    out = scratch_path(spark, "out")
+    out = out or scratch_path(spark, "out")
     running = (
         df.writeStream.format("parquet")
-        .option("checkpointLocation", scratch_path(spark, "progress"))
+        .option("checkpointLocation", progress or scratch_path(spark, "progress"))
         .outputMode("append")
         .trigger(availableNow=True)
         .start(out)
@@ -135,6 +135,21 @@ def request_topic(spark, folder):
     return _drain(read, RAW_REQUEST, spark)
 
 
+@query
+def newest_requests(spark, folder):
+    """Requests of a log that came after the first start, over two restarts."""
+    topic = log_topic(scratch_path(spark, "log"))
+    out, progress = scratch_path(spark, "out"), scratch_path(spark, "progress")
+    for part in range(3):
+        write_requests(wire_requests(spark, folder).where(F.col(KEY) % 3 == part), topic)
+        read = request_stream(spark, topic)
+        read = with_request_id(read.withColumnRenamed("request_id", "sent_id"), *PLACE).select("sent_id", "request_id")
+        _drain(read, read.schema, spark, out, progress)
+    kept = spark.read.schema(read.schema).parquet(out)
+    ids = kept.agg(F.countDistinct("request_id")).scalar()
+    return kept.select("sent_id", (ids == kept.agg(F.count(F.lit(1))).scalar()).alias("ids_differ"))
+
+
 @query
 def response_topic(spark, folder):
     topic = file_topic(scratch_path(spark, "responses"))
@@ -263,12 +278,17 @@ def request_payloads(spark, folder):
 
 @query
 def request_ids(spark, folder):
-    ids = with_request_id(flights(spark, folder).select(KEY))
+    """Ids from the rows' places, drawn twice: once as the table lies, once shuffled and settled."""
+    place = (F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+    rows = table(spark, folder, "events").select(KEY, *place)
+    once = with_request_id(rows, "path", "row").select(KEY, "request_id")
+    again = with_request_id(settled(rows.repartition(5)), "path", "row").select(KEY, F.col("request_id").alias("again"))
     uuid = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
-    return ids.agg(
+    return once.join(again, KEY).agg(
         F.count(F.lit(1)).alias("rows"),
         F.countDistinct("request_id").alias("ids"),
         F.bool_and(F.col("request_id").rlike(uuid)).alias("well_formed"),
+        F.bool_and(F.col("request_id") == F.col("again")).alias("same_again"),
     )
 
 

@@ -1,4 +1,4 @@
-"""Message topics: a broker in service, folders of files in tests.
+"""Message topics: a broker in service, logs or folders of files in tests.
 
 A topic is a Spark source or sink and its options. Sources give ``value`` and
 ``timestamp`` columns; sinks take ``key`` and ``value``.
@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lagcast.functions.codec import decode, encode
 from lagcast.functions.once import with_fields
 from lagcast.schemas import MESSAGE, RAW_REQUEST, RESPONSE
+from lagcast.sources import log
 
 
 # JSON files keep milliseconds unless told otherwise.
@@ -50,18 +51,30 @@ def kafka_sink(servers: str, topic: str, **options) -> Topic:
     return Topic("kafka", {"kafka.bootstrap.servers": servers, "topic": topic, **options})
 
 
+def log_topic(path: str, starting: str = "latest", partitions: int = 4) -> Topic:
+    """A log on storage, with offsets; a stream reads what arrives from its first start on."""
+    return Topic(log.FORMAT, {"path": path, "startingOffsets": starting, "partitions": str(partitions)})
+
+
 def file_topic(path: str, **options) -> Topic:
     """A folder of JSON-lines files of messages, which stands for a topic."""
     return Topic("json", {"timestampFormat": _MICROSECONDS, **options}, path)
 
 
+# Where a message lies in its topic; sources without offsets do not say.
+PLACE = ("topic", "partition", "offset")
+
+
 def messages(spark: SparkSession, topic: Topic, streaming: bool = True) -> DataFrame:
-    """Raw messages of a topic: text and the time the topic took them in."""
+    """Raw messages of a topic: text, the time the topic took them in, and their place if it has one."""
+    if topic.format == log.FORMAT:
+        spark.dataSource.register(log.LogSource)
     reader = (spark.readStream if streaming else spark.read).format(topic.format)
     if topic.path is not None:
         reader = reader.schema(MESSAGE)
     source = reader.options(**topic.options).load(topic.path)
-    return source.select(F.col("value").cast("string").alias("value"), "timestamp")
+    place = [c for c in PLACE if c in source.columns]
+    return source.select(F.col("value").cast("string").alias("value"), "timestamp", *place)
 
 
 def request_stream(spark: SparkSession, topic: Topic, streaming: bool = True) -> DataFrame:
@@ -78,11 +91,12 @@ def response_stream(spark: SparkSession, topic: Topic, streaming: bool = True) -
 def parse_requests(source: DataFrame) -> DataFrame:
     """Messages decoded to request fields as text.
 
-    ``payload`` keeps the message, ``req_ts`` the time it came in if there is one.
+    ``payload`` keeps the message, ``req_ts`` the time it came in if there is one, and
+    its place in the topic stays.
     """
     received = source.withColumnsRenamed({"value": "payload", "timestamp": "req_ts"})
     received = received.withColumn("payload", F.col("payload").cast("string"))
-    kept = [c for c in ("payload", "req_ts") if c in received.columns]
+    kept = [c for c in ("payload", "req_ts", *PLACE) if c in received.columns]
     return with_fields(received, decode(F.col("payload"), RAW_REQUEST), *kept)
 
 
@@ -95,6 +109,9 @@ def to_payload(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
 
 
 def _send(df: DataFrame, topic: Topic) -> None:
+    if topic.format == log.FORMAT:
+        timed = df.withColumn("timestamp", F.current_timestamp())
+        return log.append(timed, topic.options["path"], int(topic.options["partitions"]))
     if topic.path is not None:
         df = df.withColumn("timestamp", F.current_timestamp())
     df.write.format(topic.format).options(**topic.options).mode("append").save(topic.path)

@@ -33,6 +33,7 @@ CALIBRATION_ROWS = 6000
 EPOCHS = 4
 BATCH = 64
 RATE = 0.2
+RIDGE = 1e-5  # of the calibration: the classes lie far apart
 
 
 class Words:
@@ -88,7 +89,7 @@ class ToxicityModel:
             some = columns[:, 2] > 0
             if some.any():
                 found[some] = self.calibration.predict(columns[some])
-        return found
+        return np.round(found, 12)  # equal texts have equal scores, whatever their block
 
 
 def pool(odds: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +237,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", tex
     truth = np.array([r[0] for r in rows], dtype=int)
     if len(set(truth.tolist())) == 2:
         stands_for = np.array([max(counts[k] / SAMPLE_DOCS, 1.0) for k in (0, 1)])
-        model.calibration = Logistic(np.array([r[2] for r in rows]), truth.astype(float), weights=stands_for[truth])
+        model.calibration = Logistic(np.array([r[2] for r in rows]), truth.astype(float), ridge=RIDGE, weights=stands_for[truth])
     return model
 
 

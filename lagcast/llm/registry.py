@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from lagcast.llm.byte_bpe import Vocabulary, decode_bpe, encode_bpe, read_ranks
-from lagcast.llm.compression_bands import compression_bands
+from lagcast.llm.compression_bands import compression_bands, fit_bands
 from lagcast.llm.components import stored
 from lagcast.llm.folds import is_fold
 from lagcast.llm.language_id import fit_languages, identify_language
@@ -70,7 +70,8 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op4_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     """Text statistics and the verdict of the compression bands on every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return compression_bands(docs, keep=["doc_id"])
+    bands, of_chunks = fit_bands(docs)
+    return compression_bands(docs, bands=bands, chunk_bands=of_chunks, keep=["doc_id"])
 
 
 def op5_sequence_files(spark: SparkSession, folder: str) -> DataFrame:

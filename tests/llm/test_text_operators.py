@@ -3,15 +3,19 @@
 import base64
 import random
 import re
+import string
 from collections import Counter
 
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lagcast.llm import quality_classifier
+from lagcast.llm import compression_bands as compression_bands_module
+from lagcast.llm import language_id, quality_classifier
 from lagcast.llm.arrays import Texts
-from lagcast.llm.compression_bands import compression_bands, text_counts
+from lagcast.llm.compression_bands import compression_bands, fit_bands, text_counts
 from lagcast.llm.folds import is_fold
 from lagcast.llm.language_id import LanguageModel, codewords, fit_languages, identify_language
 from lagcast.llm.quality_classifier import CompressionModel, fit_quality, score_quality
@@ -72,6 +76,44 @@ def test_bands_judge_every_part_of_a_text(spark, stock):
     assert all(r.odd_chunks == 0 for r in found if r.kept)
 
 
+def slow_verdict(text, bands, chunk_bands):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+    repeated = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+    if len(words) < 50 or 100 * len(repeated) > 50 * len(words):
+        return False
+    content, compress = text.encode(), zstandard.ZstdCompressor(level=3).compress
+    limits = lambda size, table: [b for b in table if b[0] <= size][-1][1:]
+    low, high = limits(len(content), bands)
+    odd = set()
+    for width in (4096, 1024, 256):
+        if len(content) >= 2 * width:
+            for at in [*range(0, len(content) - width, width // 2), len(content) - width]:
+                least, most = limits(width, chunk_bands)
+                if not least <= len(compress(content[at : at + width])) / width <= most:
+                    odd.update(range(at, at + width))
+            break
+    return low <= len(compress(content)) / len(content) <= high and len(odd) <= 0.25 * len(content)
+
+
+def test_fitted_bands_equal_judging_by_hand(spark):
+    rng = random.Random(12)
+    syllables = ["ta", "ri", "mon", "del", "ver", "si", "ka", "no", "pra", "lu"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    rows = [(k, " ".join(word() for _ in range(rng.choice([60, 65, 450, 1500])))[:rng.choice([2600, 9999])]) for k in range(400)]
+    rows += [(1000 + k, " ".join(f"{word()}{rng.choice(['###', '$$$', '%%%'])}" for _ in range(400))[:2600]) for k in range(15)]
+    rows += [(2000 + k, " ".join("".join(rng.choices(string.ascii_letters + string.digits, k=8)) for _ in range(400))[:2600]) for k in range(15)]
+    rows += [(3000, rows[0][1])] * 300 + [(3001, None), (3002, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("rank", "width", "ratio")})
+    bands, of_chunks = fit_bands(docs.repartition(4))
+    assert (bands, of_chunks) == fit_bands(docs.repartition(1))
+    found = compression_bands(docs, bands=bands, chunk_bands=of_chunks).collect()
+    assert Counter((r.doc_id, r.kept) for r in found) == Counter((k, slow_verdict(t or "", bands, of_chunks)) for k, t in rows)
+    kept = {r.doc_id: r.kept for r in found}
+    assert not any(kept[k] for k in kept if 2000 <= k < 3000) and sum(kept[k] for k in range(400)) >= 396
+    assert [b[1:] for b in fit_bands(docs.limit(0))[0]][0] == compression_bands_module.BANDS[0][1:]
+
+
 def test_bands_on_edges(edge_docs, no_docs):
     found = compression_bands(edge_docs)
     rows = found.collect()
@@ -140,6 +182,17 @@ def test_languages_of_held_out_texts(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in found) >= 0.99 * len(found) > 100
 
 
+def test_rare_language_of_short_texts_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHUNKS", 60)
+    rng = random.Random(7)
+    syllables = {"xx": ["ka", "to", "ri", "mu"], "yy": ["sch", "pfe", "gla", "nde"], "zz": ["жа", "по", "ли", "ру"]}
+    text = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(n))
+    rows = [(k, text(lang, n), lang) for k, (lang, n) in enumerate([("xx", 3000), ("yy", 3000)] * 40 + [("zz", 6)] * 40)]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(k, text("zz", 8)) for k in range(50)], "doc_id long, text string")
+    assert sum(r.lang_pred == "zz" for r in identify_language(asked, model).collect()) >= 49
+
+
 def test_languages_on_edges(edge_docs, no_docs):
     model = fit_languages(edge_docs)
     found = identify_language(edge_docs, model).collect()

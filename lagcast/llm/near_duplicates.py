@@ -252,7 +252,9 @@ def near_duplicates(
     schema = f"key {kind}, digest long, n_shingles long, node binary, bands array<bigint>"
     signed = stored(read.mapInArrow(_signed(width, bands, rows), schema), "signatures", BATCH_ROWS)
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node")
-    nodes = stored(nodes.agg(F.min("key").alias("least"), F.first("bands").alias("bands")), "nodes")
+    row = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "digest"))  # one that holds the node's text
+    nodes = nodes.agg(F.min("key").alias("least"), row.alias("row"), F.first("bands").alias("bands"))
+    nodes = stored(nodes, "nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
     crowds = banded.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > 1)
@@ -263,8 +265,10 @@ def near_duplicates(
     pairs = crowded.join(pivots, "band").where(F.col("node") != F.col("pivot"))
     pairs = stored(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
 
-    chosen = nodes.join(popular.select("node"), "node", "left_semi").select(F.col("least").alias("key"), "node")
-    wanted = docs.join(chosen.hint("shuffle_hash"), "key").select("text", "node")
+    chosen = nodes.join(popular.select("node"), "node", "left_semi")
+    chosen = chosen.select(F.col("row.key").alias("of"), F.col("row.digest").alias("holds"), "node")
+    same = F.col("key").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("holds"))
+    wanted = read.join(chosen.hint("shuffle_hash"), same).select("text", "node")
     sets = wanted.mapInArrow(_sets(width), "node binary, hashes binary")
     sets = stored(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets", BATCH_ROWS)
 

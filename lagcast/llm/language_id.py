@@ -8,7 +8,7 @@ kept back, is chosen. A text is ambiguous if the second codeword is nearly as ne
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -21,8 +21,7 @@ ORDERS = (2, 3, 4)
 ROWS = 256  # texts turned into one dense matrix
 BITS = 15
 
-# Bounds of what is learned from: languages, documents and chunks of each language.
-LANGUAGES = 256
+# Bounds of what is learned from, of each language: documents, and chunks of them.
 SAMPLE_DOCS = 2000
 SAMPLE_CHUNKS = 4000
 CHUNK_SIZES = (1024, 64, 256)
@@ -133,12 +132,12 @@ def _texts(samples: list[bytes]) -> Texts:
 def fit_languages(docs: DataFrame, *, text: str = "text", lang: str = "lang", rank: str = "doc_id") -> LanguageModel:
     """Learns from the texts of ``docs`` with a language.
 
-    The ``LANGUAGES`` most frequent languages are learned, each from about
-    ``SAMPLE_DOCS`` documents, chosen by a hash of ``rank``, and of these from
-    ``SAMPLE_CHUNKS`` chunks; null texts and languages are left out.
+    Every language is learned, from about ``SAMPLE_DOCS`` documents, chosen by a hash of
+    ``rank``, and at most ``SAMPLE_CHUNKS`` chunks of these; null texts and languages are
+    left out. What the driver gathers is bounded for each language.
     """
     known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
-    counted = known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counted = known.groupBy(F.col(lang).alias("lang")).count().collect()
     model = LanguageModel(sorted(r["lang"] for r in counted))
     if not model.languages:
         return model
@@ -146,8 +145,9 @@ def fit_languages(docs: DataFrame, *, text: str = "text", lang: str = "lang", ra
     spot = F.xxhash64(F.col(rank).cast("string"))
     ranked = known.select(F.col(lang).alias("lang"), spot.alias("rank"), F.col(text).alias("text"))
     drawn = ranked.where(F.pmod(F.col("rank"), F.lit(1 << 20)) < shares[F.col("lang")] * F.lit(1 << 20))
-    limit = SAMPLE_CHUNKS * len(model.languages)
-    rows = smallest(chunks(drawn, "lang", "rank", "text", CHUNK_SIZES), limit, F.col("rank"), F.col("chunk")).collect()
+    cut = chunks(drawn, "lang", "rank", "text", CHUNK_SIZES)
+    spots = Window.partitionBy("label").orderBy("rank", "chunk")
+    rows = cut.withColumn("spot", F.row_number().over(spots)).where(F.col("spot") <= SAMPLE_CHUNKS).collect()
     place = {name: k for k, name in enumerate(model.languages)}
     if rows and len(place) > 1:
         model.train([bytes(r.chunk) for r in rows], np.array([place[r.label] for r in rows]))

@@ -164,6 +164,10 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, order: list[str]) -> Da
     """
     taken = {"sequence_id", "offset"}
     pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in taken])
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in pieces.columns):
+        mark += "_"
+    group, count, base, row_, rank_ = (mark + n for n in ("group", "n", "base", "row", "rank"))
     held = stored(pieces, "pieces", BATCH_ROWS)
     histogram = {r[0]: r[1] for r in held.groupBy("length").count().collect()}
     if None in histogram:
@@ -173,15 +177,15 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, order: list[str]) -> Da
     for length, n in histogram.items():
         groups[length] = max(1, n // max(GROUP_ROWS, math.isqrt(n)))
     of_length = F.element_at(F.lit(np.array(groups, dtype=np.int32)), F.col("length").cast("int") + 1)
-    salted = held.withColumn("__group", F.pmod(F.xxhash64(*order), of_length).cast("int"))
-    within = Window.partitionBy("length", "__group")
-    sizes = salted.groupBy("length", "__group").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("length").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    salted = held.withColumn(group, F.pmod(F.xxhash64(*order), of_length).cast("int"))
+    within = Window.partitionBy("length", group)
+    sizes = salted.groupBy("length", group).agg(F.count(F.lit(1)).alias(count))
+    before = Window.partitionBy("length").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("length", group, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(base))
     ranked = (
-        salted.withColumn("__row", F.row_number().over(within.orderBy(*order)))
-        .join(starts, ["length", "__group"])
-        .select(*held.columns, (F.col("__base") + F.col("__row") - 1).alias("__rank"))
+        salted.withColumn(row_, F.row_number().over(within.orderBy(*order)))
+        .join(starts, ["length", group])
+        .select(*held.columns, (F.col(base) + F.col(row_) - 1).alias(rank_))
     )
     table = np.array(places, dtype=np.int64).reshape(-1, len(Place._fields))
     shared = held.sparkSession.sparkContext.broadcast(table)
@@ -189,7 +193,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, order: list[str]) -> Da
 
     def place(batches):
         for batch in batches:
-            start, length, rank = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("start", "length", "__rank"))
+            start, length, rank = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("start", "length", rank_))
             row, new = _placed(shared.value, start, length, rank)
             columns = {n: batch.column(batch.schema.get_field_index(n)).take(pa.array(row)) for n in names}
             columns |= {n: pa.array(x) for n, x in new.items()}

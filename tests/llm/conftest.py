@@ -11,7 +11,7 @@ CLASHES = {
     name: "clash"
     for name in (
         "score predicted kept n_words ratio ids start length sequence_id offset lang_pred node bands rank rule verdict host path "
-        "n_shingles component_id base chunk __key __label tokens row decoded base_failed ambiguous"
+        "n_shingles component_id base chunk __key __label tokens row decoded base_failed ambiguous __id __digest __group __n digest holds of"
     ).split()
 }
 

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagcast.llm.compression_bands import compression_bands
+from lagcast.llm.compression_bands import compression_bands, fit_bands
 from lagcast.llm.near_duplicates import near_duplicates
 from lagcast.llm.packing import pack_documents
 from lagcast.llm.quality_classifier import fit_quality, score_quality
@@ -20,13 +20,14 @@ from lagcast.session import scratch_path
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _decided(docs: DataFrame, judge, verdict: str) -> DataFrame:
-    """The rows of ``docs`` whose verdict holds, with the columns they had.
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` under a struct, so none of their names meets another, and the text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
 
-    Columns travel under a struct, so none of their names meets one of the operator's.
-    """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return judge(packed).where(verdict).select("row.*")
+
+def _decided(docs: DataFrame, judge, verdict: str) -> DataFrame:
+    """The rows of ``docs`` whose verdict holds, with the columns they had."""
+    return judge(_packed(docs)).where(verdict).select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the text rules or the compression bands reject."""
-    return _decided(docs, compression_bands, "kept")
+    """Drops documents that the text rules or the compression bands, fitted to these documents, reject."""
+    bands, of_chunks = fit_bands(docs)
+    return _decided(docs, lambda df: compression_bands(df, bands=bands, chunk_bands=of_chunks), "kept")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +48,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with equal ids are judged each by its own text. Of rows with the same id and text, one stays.
     """
-    judged = near_duplicates(docs, width=5, percent=80, digest="__digest")
-    dropped = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), "__digest").distinct()
-    same = (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__digest"))
-    left = docs.join(dropped, same, "left_anti").dropDuplicates(["doc_id", "text"])
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = near_duplicates(docs, width=5, percent=80, digest="digest")
+    dropped = judged.where(~F.col("kept")).select("doc_id", "digest").distinct()
+    packed = _packed(docs).withColumns({"doc_id": F.col("row.doc_id"), "digest": F.xxhash64("text")})
+    left = packed.join(dropped, ["doc_id", "digest"], "left_anti")
+    return left.dropDuplicates(["doc_id", "digest", "text"]).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

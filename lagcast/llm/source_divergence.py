@@ -177,7 +177,9 @@ def source_divergence(
     shard = F.pmod(F.xxhash64("term"), F.col("shards")).cast("int")
     cells = kept.join(of_lang.select("of", "kinds", "shards"), F.col("lang") == F.col("of"))
     cells = cells.select("lang", shard.alias("shard"), "source", "term", "n", "lang_n", "kinds")
-    compared = heads.unionByName(cells).groupBy("lang", "shard").applyInArrow(_compare(best), RESULT)
+    # Dealt anew, or all shards of a language would stay where the join by language has them.
+    dealt = heads.unionByName(cells).repartition("lang", "shard")
+    compared = dealt.groupBy("lang", "shard").applyInArrow(_compare(best), RESULT)
 
     whole = compared.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     ranks = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")

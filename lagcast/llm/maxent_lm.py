@@ -3,12 +3,14 @@
 The most frequent words are cut into classes in the order of their counts; all other
 words are one more class. A word's probability is that of its class times that within
 its class. Both are softmaxes over weights of hashed features: preceding words (n-grams)
-and words further back (skips). The class of all other words is a binary tree over the
-bits of their hashes, whose depth follows the number of counted words: every node decides
-by the same features, so context chooses among rare words too. The few words of one leaf
-share it by their counts. Weights start so that the model equals the smoothed unigram
-model and then follow the gradient: every round each task takes small steps on its
-documents of the round from the shared weights, and the tasks' changes are averaged.
+and words further back (skips). The class of all other words is a tree over the digits
+of their hashes, sixteen ways at every node, whose depth follows the number of counted
+words: every node is a softmax over the same features, so context chooses among rare
+words too. The few words of one leaf share it by their counts. Weights start so that the
+model equals the smoothed unigram model and then follow the gradient. Every round deals
+its documents into shards of a given number of tokens, by hash, whatever the cluster;
+each shard takes small steps from the shared weights, and the changes of every row of
+weights are averaged over the shards that touched it.
 
 Counts of words are shuffled by word and stay distributed. Those of the most frequent
 words, a bounded number, travel as a broadcast; rarer words are joined with the rest.
@@ -23,23 +25,27 @@ from lagcast.llm.arrays import U64, Spans, Texts, mix
 from lagcast.llm.components import arrow_rows, stored
 from lagcast.llm.pretokens import Memory
 
-VOCABULARY = 2048
+VOCABULARY = 1024
 CLASS_SIZE = 32
 HEAD = 200_000  # words whose counts are broadcast: 16 bytes each
+WAYS, DIGIT = 16, 4  # children of a node, bits of a digit
 # Bits of hashed features at the least; they grow with the bits of the number of words.
-CLASS_BUCKETS, CLASS_LESS = 11, 9  # of classes
-WORD_BUCKETS, WORD_LESS = 8, 13  # within classes
-TREE_BUCKETS, TREE_LESS = 12, 1  # of all nodes of the tree together
-LEAF_LESS = 2  # about four words a leaf
-MOST_BITS = 22  # bound of what a task holds; beyond it leaves and buckets are shared by more words
+CLASS_BUCKETS, CLASS_LESS = 11, 11  # of classes
+WORD_BUCKETS, WORD_LESS = 8, 15  # within classes
+TREE_BUCKETS, TREE_LESS = 9, 9  # of all nodes of the tree together
+LEAF_LESS = 2  # about four words a leaf, to the next digit
+# Bounds of what a task holds, in bytes of each table and in digits of the tree. Beyond
+# them buckets and leaves are shared by more words; these still differ by their counts.
+TABLE_BYTES = 1 << 25
+MOST_DIGITS = 5
 ROUNDS = 3
-STEP = 8192  # tokens of one gradient step
+STEP = 16_384  # tokens of one gradient step
 RATE = 0.6
-TASKS_PER_CORE = 2
+SHARD_TOKENS = 1_000_000  # of a round: what one task trains on
 BATCH_ROWS = 1000  # texts that a task holds at once
 BLOCKS = 16  # parts in which changes of weights travel
 
-CHANGES = "task int, block int, tokens long, change binary"
+CHANGES = "shard int, block int, rows binary, met binary, change binary"
 
 END = U64(0x9216D5D98979FB1B)
 BEGIN = U64(0xD1310BA698DFB5AC)
@@ -97,52 +103,59 @@ class Counts:
         return np.where(slots >= 0, table.pool[table.starts[slots]].astype(np.int64), -1)
 
 
-def _bits(kinds: int, least: int, less: int) -> int:
-    return min(MOST_BITS, max(least, int(kinds).bit_length() - less))
+def _bits(kinds: int, least: int, less: int, row: int) -> int:
+    """Bits of buckets whose rows have ``row`` bytes: as the words ask, within the bound of a table."""
+    most = (TABLE_BYTES // row).bit_length() - 1
+    return max(1, min(most, max(least, int(kinds).bit_length() - less)))
+
+
+def _digits(kinds: int) -> int:
+    """Digits of the tree over so many words."""
+    return min(MOST_DIGITS, max(1, round((int(kinds).bit_length() - LEAF_LESS) / DIGIT)))
 
 
 class Tree:
-    """Decisions among the words without a class of their own, by the leading bits of their hashes.
+    """Decisions among the words without a class of their own, by the leading digits of their hashes.
 
-    Node 1 is the root, ``2 * k`` and ``2 * k + 1`` follow ``k``. A node's offset is the
-    log-odds of the masses below it; nodes with a single side decide nothing.
+    A node's offsets are the logarithms of its children's shares of the mass below it; one
+    of mass 0 is never chosen. Features are the word before and the one before that. Nodes with a single child decide nothing.
     """
 
     def __init__(self, leaves: np.ndarray, bits: int):
-        self.depth, self.bits = len(leaves).bit_length() - 1, bits
-        mass = np.zeros(2 * len(leaves))
-        mass[len(leaves) :] = leaves
-        for d in range(self.depth - 1, -1, -1):
-            mass[1 << d : 2 << d] = mass[2 << d : 4 << d].reshape(-1, 2).sum(axis=1)
-        left, right = mass[0::2], mass[1::2]
-        self.open = (left > 0) & (right > 0)
-        self.open[0] = False
-        self.offsets = np.zeros(len(leaves), dtype=np.float32)
-        self.offsets[self.open] = np.log(right[self.open] / left[self.open])
+        self.bits = bits
+        self.depth = max(1, round((len(leaves).bit_length() - 1) / DIGIT))
+        self.offsets, self.open, mass = [], [], leaves.astype(float)
+        while len(mass) > 1:
+            children = mass.reshape(-1, WAYS)
+            self.open.insert(0, (children > 0).sum(axis=1) > 1)
+            mass = children.sum(axis=1)
+            share = children / np.maximum(mass, 1e-9)[:, None]
+            self.offsets.insert(0, np.where(share > 0, np.log(np.maximum(share, 1e-30)), -1e4).astype(np.float32))
         self.log_leaves = np.log(np.maximum(leaves, 1e-9)).astype(np.float32)
-        self.weights = np.zeros(1 << bits, dtype=np.float32)
+        self.weights = np.zeros((1 << bits, WAYS), dtype=np.float32)
 
     def leaf(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> U64(64 - self.depth)).astype(np.int64) if self.depth else np.zeros(len(hashes), np.int64)
-
-    def decisions(self, hashes: np.ndarray, contexts: list[np.ndarray]):
-        """Word, offset, side and feature buckets of every decision on the way to each word."""
-        leaf = self.leaf(hashes) + (1 << self.depth)
-        down = np.arange(self.depth, 0, -1)
-        nodes = leaf[:, None] >> down
-        word, level = np.nonzero(self.open[nodes])
-        node = nodes[word, level]
-        side = (leaf[word] >> (down[level] - 1) & 1).astype(np.float32)
-        salt = node.astype(U64) * U64(0x9E3779B97F4A7C15)
-        buckets = [((c[word] ^ salt) * U64(0xD6E8FEB86659FD93) >> U64(64 - self.bits)).astype(np.int64) for c in contexts]
-        return word, self.offsets[node], side, buckets
+        return (hashes >> U64(64 - DIGIT * self.depth)).astype(np.int64)
+
+    def decisions(self, leaf: np.ndarray, contexts: list[np.ndarray]):
+        """Of each level: the words it decides on, their offsets, the children taken, and the rows of the features."""
+        for level in range(self.depth):
+            node = leaf >> DIGIT * (self.depth - level)
+            word = np.flatnonzero(self.open[level][node])
+            if not len(word):
+                continue
+            node = node[word]
+            child = leaf[word] >> DIGIT * (self.depth - level - 1) & (WAYS - 1)
+            salt = (node + WAYS**level).astype(U64) * U64(0x9E3779B97F4A7C15)
+            rows = [((c[word] ^ salt) * U64(0xD6E8FEB86659FD93) >> U64(64 - self.bits)).astype(np.int64) for c in contexts[:2]]
+            yield word, self.offsets[level][node], child, rows
 
     def logs(self, hashes: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """Log probability of the leaf of each word."""
-        word, z, side, buckets = self.decisions(hashes, contexts)
-        for b in buckets:
-            z += self.weights[b]
-        return np.bincount(word, -np.logaddexp(0, np.where(side > 0, -z, z)), minlength=len(hashes))
+        out = np.zeros(len(hashes))
+        for word, offsets, child, rows in self.decisions(self.leaf(hashes), contexts):
+            out[word] += _logs(self.weights, rows, offsets, child)
+        return out
 
 
 class MaxentModel:
@@ -154,16 +167,16 @@ class MaxentModel:
         self.size = size
         known = counts.counts[:size].astype(float)
         self.rare_mass = float(counts.tokens - known.sum() + counts.kinds - size + 1)
-        inside = np.full(self.classes * CLASS_SIZE, -30.0, dtype=np.float32)
-        inside[:size] = np.log(known + 1)
+        inside = np.full(self.classes * CLASS_SIZE, -1e4, dtype=np.float32)
+        inside[:size] = np.log((known + 1) / (known.max(initial=0) + 1))
         mass = np.zeros(self.classes * CLASS_SIZE)
         mass[:size] = known + 1
-        self.class_bits = _bits(counts.kinds, CLASS_BUCKETS, CLASS_LESS)
-        self.word_bits = _bits(counts.kinds, WORD_BUCKETS, WORD_LESS)
-        self.tree = Tree(counts.leaves, _bits(counts.kinds, TREE_BUCKETS, TREE_LESS))
+        self.class_bits = _bits(counts.kinds, CLASS_BUCKETS, CLASS_LESS, 12 * (self.classes + 1))
+        self.word_bits = _bits(counts.kinds, WORD_BUCKETS, WORD_LESS, 12 * CLASS_SIZE * max(self.classes, 1))
+        self.tree = Tree(counts.leaves, _bits(counts.kinds, TREE_BUCKETS, TREE_LESS, 4 * WAYS))
         of_class = np.append(mass.reshape(-1, CLASS_SIZE).sum(axis=1), self.rare_mass)
         self.class_weights = np.zeros((1 + (3 << self.class_bits), self.classes + 1), dtype=np.float32)
-        self.class_weights[0] = np.log(of_class)
+        self.class_weights[0] = np.log(of_class / of_class.sum())
         self.word_weights = np.zeros(((1 + (3 << self.word_bits)) * self.classes, CLASS_SIZE), dtype=np.float32)
         self.word_weights[: self.classes] = inside.reshape(-1, CLASS_SIZE)
 
@@ -174,28 +187,58 @@ class MaxentModel:
         rows = [_bucket(h[some], k + 11, self.word_bits) + (k << self.word_bits) + 1 for k, h in enumerate(contexts)]
         return [group, *(r * self.classes + group for r in rows)]
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.class_weights.ravel(), self.word_weights.ravel(), self.tree.weights])
-
-    def replace(self, flat: np.ndarray) -> None:
-        first, second = np.cumsum([self.class_weights.size, self.word_weights.size])
-        self.class_weights = flat[:first].reshape(self.class_weights.shape).astype(np.float32)
-        self.word_weights = flat[first:second].reshape(self.word_weights.shape).astype(np.float32)
-        self.tree.weights = flat[second:].astype(np.float32)
+    @property
+    def tables(self) -> list[np.ndarray]:
+        return [self.class_weights, self.word_weights, self.tree.weights]
 
     def groups_of(self, ranks: np.ndarray) -> np.ndarray:
         return np.where((ranks >= 0) & (ranks < self.size), ranks // CLASS_SIZE, self.classes)
 
 
-def _log_softmax(table: np.ndarray, rows: list[np.ndarray], shared: np.ndarray | None) -> np.ndarray:
+HIGHEST = 60.0  # of a logit: offsets are 0 at most, so none comes near what a float can hold
+
+
+def _raised(table: np.ndarray, rows: list[np.ndarray], shared: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of the logits, and their sums."""
     z = table[rows[0]]
     for r in rows[1:]:
         z += table[r]
     if shared is not None:
         z += shared
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    np.minimum(z, HIGHEST, out=z)
+    np.exp(z, out=z)
+    return z, np.maximum(z @ np.ones(z.shape[1], dtype=z.dtype), 1e-30)
+
+
+def _errors(table: np.ndarray, rows: list[np.ndarray], shared: np.ndarray | None, target: np.ndarray) -> np.ndarray:
+    """Probabilities less one at the target."""
+    error, total = _raised(table, rows, shared)
+    error *= (1 / total)[:, None]
+    error[np.arange(len(target)), target] -= 1
+    return error
+
+
+def _logs(table: np.ndarray, rows: list[np.ndarray], shared: np.ndarray | None, target: np.ndarray) -> np.ndarray:
+    """The log probability of the target."""
+    raised, total = _raised(table, rows, shared)
+    return np.log(np.maximum(raised[np.arange(len(target)), target], 1e-30) / total)
+
+
+def _sums(ordered: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows; most runs are short, and those are added up all at once."""
+    sizes = np.diff(np.append(first, len(ordered)))
+    sums = ordered[first]
+    more, k = np.flatnonzero(sizes > 1), 1
+    while len(more) and k < 4:
+        sums[more] += ordered[first[more] + k]
+        k += 1
+        more = more[sizes[more] > k]
+    if len(more):
+        left = sizes[more] - k
+        starts = np.cumsum(left) - left
+        rest = np.arange(left.sum()) + np.repeat(first[more] + k - starts, left)
+        sums[more] += np.add.reduceat(ordered[rest], starts, axis=0)
+    return sums
 
 
 class _Table:
@@ -206,14 +249,14 @@ class _Table:
         self.slopes = np.full(len(weights), 1.0, dtype=np.float32)
 
     def step(self, rows: np.ndarray, error: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
+        packed = np.sort(rows << 16 | np.arange(len(rows)))  # at most 65536 rows at once
+        ordered, order = packed >> 16, packed & 0xFFFF
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        slope = np.add.reduceat(error[order], first, axis=0)
-        at = ordered[first]
-        self.slopes[at] += np.einsum("ij,ij->i", slope, slope)
-        self.weights[at] -= RATE * slope / np.sqrt(self.slopes[at])[:, None]
-
+        slope, at = _sums(error[order], first), ordered[first]
+        slopes = self.slopes[at] + np.einsum("ij,ij->i", slope, slope)
+        self.slopes[at] = slopes
+        slope *= (RATE / np.sqrt(slopes))[:, None]
+        self.weights[at] -= slope
 
     def step_all(self, error: np.ndarray) -> None:
         """A step of the weights that every token has, in row 0."""
@@ -222,24 +265,7 @@ class _Table:
         self.weights[0] -= RATE * slope / np.sqrt(self.slopes[0])
 
 
-class _TreeTable:
-    """The tree's weights in training, with a step size each."""
-
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
-        self.slopes = np.ones(len(weights), dtype=np.float32)
-        self.sums = np.zeros(len(weights), dtype=np.float32)
-
-    def step(self, buckets: np.ndarray, error: np.ndarray) -> None:
-        np.add.at(self.sums, buckets, error)
-        slope = self.sums[buckets]  # equal in equal buckets, so is all that is assigned
-        self.sums[buckets] = 0
-        squares = self.slopes[buckets] + slope * slope
-        self.slopes[buckets] = squares
-        self.weights[buckets] -= RATE * slope / np.sqrt(squares)
-
-
-def train_block(model: MaxentModel, tables: tuple[_Table, _Table, _TreeTable], tokens: Tokens, ranks: np.ndarray) -> None:
+def train_block(model: MaxentModel, tables: list[_Table], tokens: Tokens, ranks: np.ndarray) -> None:
     """Gradient steps on the tokens of one block, in place."""
     group = model.groups_of(ranks)
     contexts = tokens.contexts()
@@ -248,29 +274,24 @@ def train_block(model: MaxentModel, tables: tuple[_Table, _Table, _TreeTable], t
         part = slice(low, low + STEP)
         target = group[part]
         rows = [r[part] for r in class_rows]
-        error = np.exp(_log_softmax(tables[0].weights, rows, tables[0].weights[0]))
-        error[np.arange(len(target)), target] -= 1
+        error = _errors(tables[0].weights, rows, tables[0].weights[0], target)
         for r in rows:
             tables[0].step(r, error)
         tables[0].step_all(error)
     others = np.flatnonzero(group == model.classes)
     for low in range(0, len(others), STEP):
         part = others[low : low + STEP]
-        _, z, side, buckets = model.tree.decisions(tokens.hashes[part], [c[part] for c in contexts])
-        for b in buckets:
-            z += tables[2].weights[b]
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - side
-        for b in buckets:
-            tables[2].step(b, error)
+        for word, offsets, child, rows in model.tree.decisions(model.tree.leaf(tokens.hashes[part]), [c[part] for c in contexts]):
+            error = _errors(tables[2].weights, rows, offsets, child)
+            for r in rows:
+                tables[2].step(r, error)
     some = np.flatnonzero(group < model.classes)
     if not len(some):
         return
     rows, spot = model.word_rows(contexts, some, group[some]), ranks[some] % CLASS_SIZE
     for low in range(0, len(some), STEP):
         part = [r[low : low + STEP] for r in rows]
-        target = spot[low : low + STEP]
-        error = np.exp(_log_softmax(tables[1].weights, part, None))
-        error[np.arange(len(target)), target] -= 1
+        error = _errors(tables[1].weights, part, None, spot[low : low + STEP])
         for r in part:
             tables[1].step(r, error)
 
@@ -287,14 +308,13 @@ def score_block(model: MaxentModel, tokens: Tokens, ranks: np.ndarray) -> tuple[
     out = np.zeros(len(ranks))
     for low in range(0, len(ranks), STEP):
         part = slice(low, low + STEP)
-        logs = _log_softmax(model.class_weights, [r[part] for r in class_rows], model.class_weights[0])
-        out[part] = logs[np.arange(len(logs)), group[part]]
+        out[part] = _logs(model.class_weights, [r[part] for r in class_rows], model.class_weights[0], group[part])
     some = np.flatnonzero(group < model.classes)
     if len(some):
         rows, spot = model.word_rows(contexts, some, group[some]), ranks[some] % CLASS_SIZE
         for low in range(0, len(some), STEP):
-            logs = _log_softmax(model.word_weights, [r[low : low + STEP] for r in rows], None)
-            out[some[low : low + STEP]] += logs[np.arange(len(logs)), spot[low : low + STEP]]
+            part = [r[low : low + STEP] for r in rows]
+            out[some[low : low + STEP]] += _logs(model.word_weights, part, None, spot[low : low + STEP])
     more = np.zeros(len(ranks))
     others = np.flatnonzero(group == model.classes)
     known = np.log(max(model.rare_mass - 1, 1) / model.rare_mass)
@@ -330,7 +350,7 @@ def frequent(counts: DataFrame) -> Counts:
     total = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
     words, n, kinds = head["word"].to_numpy().view(U64), head["n"].to_numpy(), int(total[1])
-    depth = _bits(kinds, 1, LEAF_LESS)
+    depth = DIGIT * _digits(kinds)
     masses = counts.groupBy(F.shiftrightunsigned("word", 64 - depth).alias("leaf")).agg(F.sum(F.col("n") + 1).alias("mass")).toArrow()
     leaves = np.zeros(1 << depth)
     leaves[masses["leaf"].to_numpy()] = masses["mass"].to_numpy()
@@ -338,90 +358,107 @@ def frequent(counts: DataFrame) -> Counts:
     return Counts(words, n, int(total[0] or 0), kinds, leaves.astype(np.float32))
 
 
-def fit_maxent(docs: DataFrame, counts: Counts, *, text: str = "text", spread: Column | None = None, rounds: int = ROUNDS) -> MaxentModel:
+def fit_maxent(
+    docs: DataFrame, counts: Counts, *, text: str = "text", spread: Column | None = None, rounds: int = ROUNDS,
+    shard_tokens: int = SHARD_TOKENS,
+) -> MaxentModel:
     """Trains on all of ``docs``: each round on its share of them, dealt by ``spread``.
 
-    A round has ``TASKS_PER_CORE`` tasks per core, however many partitions there are;
-    each sends its changes as 16-bit numbers, which are summed in two steps of tasks
-    that hold one block of them at a time. Without a word nothing is trained.
+    A round has a shard for every ``shard_tokens`` of its tokens, which one task trains
+    on in the order of ``spread`` and text, so neither cores nor partitions change the
+    result. A shard sends the rows of weights it touched, as 16-bit numbers; they are
+    summed in two steps of tasks that hold one block of rows at a time. Without a word
+    nothing is trained.
     """
     spark = docs.sparkSession
     model = MaxentModel(counts)
     if not model.classes:
         return model
     known = spark.sparkContext.broadcast(counts)
-    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    shards = max(1, -(-counts.tokens // (rounds * shard_tokens)))
+    groups = int(np.ceil(np.sqrt(shards)))
     spot = F.xxhash64(text) if spread is None else spread
+    dealt = docs.select(F.col(text).alias("text"), spot.alias("spot"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("spot", F.lit(1)), F.lit(shards)).cast("int"))
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        part = docs.where(F.pmod(spot, F.lit(rounds)) == turn).select(text).coalesce(tasks)
-        changes = part.mapInArrow(_changes(shared, known), CHANGES)
-        size = -(-len(model.flat()) // BLOCKS)
-        for raw, keys in ((True, ["block", F.pmod("task", F.lit(8))]), (False, ["block"])):
-            changes = changes.repartition(*keys).mapInArrow(_summed(raw), CHANGES)
-        flat = model.flat()
+        part = dealt.where(F.pmod("spot", F.lit(rounds)) == turn)
+        part = part.repartition(shards, "shard").sortWithinPartitions("shard", "spot", "text")
         with arrow_rows(spark, BATCH_ROWS):
-            blocks = changes.collect()  # the weights once, in blocks
+            changes = stored(part.select("text", "shard").mapInArrow(_changes(shared, known), CHANGES), "changes", BATCH_ROWS)
+            for keys in (["block", F.pmod("shard", F.lit(groups))], ["block"]):
+                changes = changes.repartition(*keys).mapInArrow(_summed, CHANGES)
+            blocks = changes.collect()  # every row of weights once at most
         for row in blocks:
-            low = row.block * size
-            if row.tokens:
-                change = np.frombuffer(row.change, np.float32)
-                flat[low : low + size] += (change / row.tokens)[: len(flat) - low]
-        model.replace(flat)
+            table, width = _place(model, row.block)
+            rows, met = np.frombuffer(row.rows, np.int32), np.frombuffer(row.met, np.float32)
+            table[rows] += np.frombuffer(row.change, np.float32).reshape(-1, width) / met[:, None]
         shared.unpersist()
     return model
 
 
+def _place(model: MaxentModel, block: int) -> tuple[np.ndarray, int]:
+    table = model.tables[block // BLOCKS]
+    return table, table.shape[1]
+
+
 def _changes(shared, known):
-    """What a task's steps change in the weights, times its tokens."""
+    """What a shard's steps change: the rows they touched, each by the block it belongs to."""
+
+    def sent(shard: int, model: MaxentModel, tables: list[_Table]):
+        for k, (table, before) in enumerate(zip(tables, model.tables)):
+            touched = np.flatnonzero(table.slopes > 1)
+            blocks = touched * BLOCKS // len(before)
+            for b in range(BLOCKS):
+                rows = touched[blocks == b]
+                if len(rows):
+                    change = (table.weights[rows] - before[rows]).astype(np.float16).astype(np.float32)
+                    yield _change_row(shard, k * BLOCKS + b, rows.astype(np.int32), np.ones(len(rows), np.float32), change)
 
     def run(batches):
-        from pyspark import TaskContext
-
         model, counts = shared.value, known.value
-        tables = (_Table(model.class_weights.copy()), _Table(model.word_weights.copy()), _TreeTable(model.tree.weights.copy()))
-        tokens_seen = 0
+        shard, tables = None, []
         for batch in batches:
-            for _, _, block in Texts.of(batch.column(0)).blocks():
-                tokens = Tokens(block)
-                train_block(model, tables, tokens, counts.find(tokens.hashes))
-                tokens_seen += len(tokens.hashes)
-        if tokens_seen:
-            change = np.concatenate([t.weights.ravel() for t in tables]) - model.flat()
-            size = -(-len(change) // BLOCKS)
-            task = TaskContext.get().partitionId()
-            for k in range(BLOCKS):
-                part = change[k * size : (k + 1) * size].astype(np.float16)
-                yield _change_row(task, k, tokens_seen, part)
+            texts, shards = Texts.of(batch.column(0)), batch.column(1).to_numpy()
+            bounds = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True])
+            for start, end in zip(bounds[:-1], bounds[1:]):
+                if shards[start] != shard:
+                    if tables:
+                        yield from sent(shard, model, tables)
+                    shard, tables = int(shards[start]), [_Table(t.copy()) for t in model.tables]
+                for _, _, block in texts.part(start, end).blocks():
+                    tokens = Tokens(block)
+                    train_block(model, tables, tokens, counts.find(tokens.hashes))
+        if tables:
+            yield from sent(shard, model, tables)
 
     return run
 
 
-def _change_row(task: int, block: int, tokens: int, change: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([task], pa.int32()), pa.array([block], pa.int32()), pa.array([tokens]), pa.array([change.tobytes()], pa.binary())],
-        names=["task", "block", "tokens", "change"],
-    )
-
-
-def _summed(raw: bool):
-    """Sums of changes weighted by their tokens, one running sum per block.
-
-    ``raw`` changes are 16-bit and not weighted yet; others are such sums.
-    """
-
-    def run(batches):
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for block, tokens, change in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                part = np.frombuffer(change, np.float16).astype(np.float32) * tokens if raw else np.frombuffer(change, np.float32)
-                held = sums.setdefault(block, [0, np.zeros(len(part), dtype=np.float32)])
-                held[0] += tokens
-                held[1] += part
-        for block, (tokens, change) in sums.items():
-            yield _change_row(block, block, tokens, change)
-
-    return run
+def _change_row(shard: int, block: int, rows: np.ndarray, met: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32())]
+    columns += [pa.array([x.tobytes()], pa.binary()) for x in (rows, met, change)]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "rows", "met", "change"])
+
+
+def _summed(batches):
+    """Sums of the changes of each row in a block, and how many shards made them."""
+    sums: dict[int, tuple] = {}
+    for batch in batches:
+        for shard, block, *sent in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, met, change = (np.frombuffer(x, kind) for x, kind in zip(sent, (np.int32, np.float32, np.float32)))
+            change = change.reshape(len(rows), -1)
+            if block in sums:
+                _, known, times, total = sums[block]
+                every, place = np.unique(np.concatenate([known, rows]), return_inverse=True)
+                both, whole = np.zeros(len(every), np.float32), np.zeros((len(every), change.shape[1]), np.float32)
+                both[place[: len(known)]], whole[place[: len(known)]] = times, total
+                both[place[len(known) :]] += met
+                whole[place[len(known) :]] += change
+                rows, met, change = every.astype(np.int32), both, whole
+            sums[block] = (shard, rows, met, change)
+    for block, (shard, rows, met, change) in sums.items():
+        yield _change_row(shard, block, rows, met, change)
 
 
 WORDS = "key {key}, row long, n_tokens long, n_known long, base double, score double, rare array<bigint>, more array<double>"

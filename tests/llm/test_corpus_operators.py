@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,15 @@ def test_groups_equal_comparing_all(spark, edge_docs):
         assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+def test_links_run_through_a_row_without_an_id(spark):
+    base = [f"w{k}" for k in range(200)]
+    text = lambda *changed: " ".join(f"x{k}" if k in changed else w for k, w in enumerate(base))
+    rows = [(5, text()), (None, text(50, 100)), (9, text(50, 100, 140, 180)), (12, text(50, 100, 20, 160, 5))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == slow_groups(rows, 3, 85)
+    assert {r.doc_id: r.component_id for r in got}[9] == 5
+
+
 def test_no_documents_no_groups(no_docs):
     assert near_duplicates(no_docs).count() == 0
 
@@ -236,6 +246,42 @@ def test_context_decides_among_words_without_a_class(spark, monkeypatch):
         assert found[3].n_known == 1 and math.isfinite(found[3].score)
 
 
+def test_probabilities_sum_to_one(spark):
+    """Of all counted words and the unseen mass, in contexts of frequent, rare and unseen words."""
+    rng = random.Random(2)
+    stock = [f"v{k}" for k in range(2500)]
+    made = [(k, " ".join(stock[min(int(rng.paretovariate(0.2)) - 1, rng.randrange(2500))] for _ in range(60))) for k in range(300)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    words = count_words(docs).cache()
+    counts = frequent(words)
+    assert counts.kinds > maxent_lm.VOCABULARY
+    known = sorted({w for _, t in made for w in t.split()})
+    model = fit_maxent(docs, counts)
+    for context in ("v0 v1", f"v3 {known[-1]}", "unseen words"):
+        tokens = maxent_lm.Tokens(maxent_lm.Texts.of(pa.array([context, *(f"{context} {w}" for w in known)])))
+        ranks = counts.find(tokens.hashes)
+        logs, more = maxent_lm.score_block(model, tokens, ranks)
+        at = tokens.bounds[:-1] + 2  # the word behind the context, or the end
+        n = counts.counts[ranks[at]]
+        logs = logs[at] + np.where(ranks[at] >= model.size, more[at] + np.log10(n + 1.0), 0)
+        lone = maxent_lm.Tokens(maxent_lm.Texts.of(pa.array([f"{context} never"])))
+        rare, _ = maxent_lm.score_block(model, lone, counts.find(lone.hashes))
+        assert abs((10**logs).sum() + 10 ** rare[2] / model.rare_mass - 1) < 1e-3
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    made = [(k, " ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(80))) for k in range(300)]
+    found = []
+    for parts in (1, 16):
+        docs = spark.createDataFrame(made, "doc_id long, text string").repartition(parts)
+        words = count_words(docs).cache()
+        counts = frequent(words)
+        model = fit_maxent(docs, counts, spread=F.xxhash64("doc_id"), shard_tokens=2000)
+        found.append({r.doc_id: r.score for r in score_documents(docs, model, counts, words).collect()})
+    assert max(abs(found[0][k] - found[1][k]) for k in found[0]) < 1e-3
+
+
 def test_untrained_tree_equals_the_unigram_model(spark):
     rows = [(k, " ".join(f"w{(k * 37 + j * j) % 5000}" for j in range(300))) for k in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

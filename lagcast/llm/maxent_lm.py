@@ -385,7 +385,7 @@ def fit_maxent(
         part = dealt.where(F.pmod("spot", F.lit(rounds)) == turn)
         part = part.repartition(shards, "shard").sortWithinPartitions("shard", "spot", "text")
         with arrow_rows(spark, BATCH_ROWS):
-            changes = stored(part.select("text", "shard").mapInArrow(_changes(shared, known), CHANGES), "changes", BATCH_ROWS)
+            changes = part.select("text", "shard").mapInArrow(_changes(shared, known), CHANGES)
             for keys in (["block", F.pmod("shard", F.lit(groups))], ["block"]):
                 changes = changes.repartition(*keys).mapInArrow(_summed, CHANGES)
             blocks = changes.collect()  # every row of weights once at most
@@ -412,8 +412,8 @@ def _changes(shared, known):
             for b in range(BLOCKS):
                 rows = touched[blocks == b]
                 if len(rows):
-                    change = (table.weights[rows] - before[rows]).astype(np.float16).astype(np.float32)
-                    yield _change_row(shard, k * BLOCKS + b, rows.astype(np.int32), np.ones(len(rows), np.float32), change)
+                    change = (table.weights[rows] - before[rows]).astype(np.float16)
+                    yield _change_row(shard, k * BLOCKS + b, rows.astype(np.int32), np.zeros(0, np.float32), change)
 
     def run(batches):
         model, counts = shared.value, known.value
@@ -442,12 +442,16 @@ def _change_row(shard: int, block: int, rows: np.ndarray, met: np.ndarray, chang
 
 
 def _summed(batches):
-    """Sums of the changes of each row in a block, and how many shards made them."""
+    """Sums of the changes of each row in a block, and how many shards made them.
+
+    Changes of one shard come as 16-bit numbers and without that count.
+    """
     sums: dict[int, tuple] = {}
     for batch in batches:
         for shard, block, *sent in zip(*(c.to_pylist() for c in batch.columns)):
-            rows, met, change = (np.frombuffer(x, kind) for x, kind in zip(sent, (np.int32, np.float32, np.float32)))
-            change = change.reshape(len(rows), -1)
+            rows, met = np.frombuffer(sent[0], np.int32), np.frombuffer(sent[1], np.float32)
+            change = np.frombuffer(sent[2], np.float32 if len(met) else np.float16).astype(np.float32).reshape(len(rows), -1)
+            met = met if len(met) else np.ones(len(rows), np.float32)
             if block in sums:
                 _, known, times, total = sums[block]
                 every, place = np.unique(np.concatenate([known, rows]), return_inverse=True)

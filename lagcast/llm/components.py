@@ -6,7 +6,9 @@ much smaller graph, treated the same way. A node of any degree gives each task's
 one row only, so no group and no task grows with it.
 """
 
+from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,25 @@ from lagcast.session import scratch_path
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes inside go when the block ends, but for lasting ones.
+
+    Nothing may read them later: what the block gives must be a lasting table.
+    """
+    paths: list[str] = []
+    token = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
 
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int | None):
@@ -31,12 +52,15 @@ def arrow_rows(spark: SparkSession, rows: int | None):
         spark.conf.set(ARROW_ROWS, before)
 
 
-def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, batch_rows: int | None = None, lasting: bool = False) -> DataFrame:
     """The rows of ``df`` as Parquet in the shared folder, with the lineage cut.
 
-    ``batch_rows`` bounds the Arrow batches on the way, for rows of many bytes.
+    ``batch_rows`` bounds the Arrow batches on the way, for rows of many bytes. A
+    ``lasting`` table stays after a block of ``passing_tables``.
     """
     path = scratch_path(df.sparkSession, name)
+    if not lasting and (paths := _passing.get()) is not None:
+        paths.append(path)
     with arrow_rows(df.sparkSession, batch_rows):
         df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagcast.llm.arrays import U64, Spans, Texts, groups, mix, per_group, shingles
-from lagcast.llm.components import Forest, components, stored
+from lagcast.llm.components import Forest, components, passing_tables, stored
 
 WIDTH = 5
 PERCENT = 80
@@ -30,6 +30,7 @@ MAX_BANDS = 28
 BLOCK_ROWS = 256  # nodes of a block in comparisons across components
 BLOCK_HASHES = 1 << 19  # about as many hashes in a block
 BATCH_ROWS, PAIR_ROWS = 1000, 200  # rows with a text, or with two sets, that a task holds at once
+SALTS = 16  # parts in which the members of a cluster meet their cluster's blocks
 COLUMNS = 1 << 12  # shared hashes of two blocks that are counted at once
 
 
@@ -250,7 +251,19 @@ def near_duplicates(
     read = docs.withColumn("digest", F.xxhash64("text"))
     kind = docs.schema["key"].dataType.simpleString()
     schema = f"key {kind}, digest long, n_shingles long, node binary, bands array<bigint>"
-    signed = stored(read.mapInArrow(_signed(width, bands, rows), schema), "signatures", BATCH_ROWS)
+    signed = stored(read.mapInArrow(_signed(width, bands, rows), schema), "signatures", BATCH_ROWS, lasting=True)
+    with passing_tables(df.sparkSession):
+        found = _groups(read, signed, width, percent)
+    out = signed.select("key", "digest", "n_shingles", "node").join(found, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
+    more = [F.col("digest").alias(digest)] if digest else []
+    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), *more).withColumn(
+        "kept", F.coalesce(F.col(key) == F.col("component_id"), F.col(key).isNull())
+    )
+
+
+def _groups(read: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
+    """A row ``node, component_id`` for every node of the signed documents, whose texts ``read`` has."""
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node")
     row = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "digest"))  # one that holds the node's text
     nodes = nodes.agg(F.min("key").alias("least"), row.alias("row"), F.first("bands").alias("bands"))
@@ -284,13 +297,7 @@ def near_duplicates(
     least = nodes.select("node", "least").join(labels, "node", "left")
     least = least.select("node", "least", F.coalesce("label", "node").alias("label"))
     smallest = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = least.join(smallest, "label").select("node", "component_id")
-    out = signed.select("key", "digest", "n_shingles", "node").join(found, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    more = [F.col("digest").alias(digest)] if digest else []
-    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), *more).withColumn(
-        "kept", F.coalesce(F.col(key) == F.col("component_id"), F.col(key).isNull())
-    )
+    return stored(least.join(smallest, "label").select("node", "component_id"), "found", lasting=True)
 
 
 def _links_across(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -321,8 +328,10 @@ def _links_across(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent:
         blocks(F.col("n") - F.col("most"), F.col("size") - F.col("most_size")).alias("few"),
         blocks(F.col("n"), F.col("size")).alias("many"),
     )
-    members = placed.select("node", "cluster", "label").join(open_, "cluster")
     spot = F.xxhash64("node")
+    salted = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = placed.select("node", "cluster", "label", F.pmod(F.xxhash64("label", "node"), F.lit(SALTS)).cast("int").alias("salt"))
+    members = members.join(salted, ["cluster", "salt"]).drop("salt")
     one = members.where(F.col("label") != F.col("largest")).select(
         "node", "cluster", "label", F.lit(0).alias("side"),
         F.pmod(spot, "few").alias("x"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("y"),

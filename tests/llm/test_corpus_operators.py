@@ -1,6 +1,7 @@
 """URL rules, near-duplicates, nearest neighbours, language model, pipeline: brute force and edges."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -19,6 +20,7 @@ from lagcast.llm.maxent_lm import count_words, fit_maxent, frequent, score_docum
 from lagcast.llm.multi_index import Codes, Index, nearest, unit
 from lagcast.llm.near_duplicates import banding, near_duplicates, super_minhash
 from lagcast.llm.url_filter import judge_urls
+from lagcast.session import shared_dir
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -115,6 +117,16 @@ def test_links_run_through_a_row_without_an_id(spark):
     assert {r.doc_id: r.component_id for r in got}[9] == 5
 
 
+def test_only_lasting_tables_stay(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[:k] + [f"x{k}"] + words[k + 1 :])) for k in range(40)]
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85)
+    left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before
+    assert sorted(x.split("-")[0] for x in left) == ["found", "signatures"]
+    assert found.where("kept").count() == 1
+
+
 def test_no_documents_no_groups(no_docs):
     assert near_duplicates(no_docs).count() == 0
 

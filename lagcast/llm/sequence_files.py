@@ -1,7 +1,7 @@
 """Token ids as Arrow files of equal-length sequences.
 
-Documents are sorted by key into ranges; each range becomes one file in the Arrow
-file format. Its batches hold fixed-size lists: ``ids`` of ``LENGTH`` ids and ``mask``,
+Documents are sorted by key, and by text where keys are equal, into ranges; each range
+becomes one file in the Arrow file format. Its batches hold fixed-size lists: ``ids`` of ``LENGTH`` ids and ``mask``,
 false where a file's last sequence is padded, so any sequence is read without a copy
 at a position that follows from its number. ``keys`` and ``starts`` say which documents
 begin in a sequence, and where. Ids take 16 bits if the vocabulary allows it.
@@ -122,7 +122,8 @@ def write_sequences(
     ordered by a hash of their text. The table has a row per file: its part number,
     path, documents, sequences and tokens; it is stored in the folder too. ``small_ids``
     says that all ids are below 65,536; a larger one is an error then.
-    One shuffle sorts the texts; their ids are made behind it and never shuffled.
+    One shuffle sorts the texts; their ids are made behind it and never shuffled. The
+    texts of one key may lie in several ranges, so a key of many rows is several tasks.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer)
@@ -153,9 +154,8 @@ def write_sequences(
             )
 
     chosen = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    ordered = chosen.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(
-        F.col("key").asc_nulls_first(), F.xxhash64("text")
-    )
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = chosen.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(write, LISTED).write.parquet(f"{folder}/listed")
     return spark.read.parquet(f"{folder}/listed").select("part", F.concat(F.lit(f"{folder}/"), "file").alias("file"), "documents", "sequences", "tokens")
 

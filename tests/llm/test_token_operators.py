@@ -221,6 +221,22 @@ def test_files_give_back_every_document(spark, edge_docs, no_docs, file_encoder)
     assert read_documents(spark, empty).count() == 0
 
 
+def test_texts_of_one_key_lie_in_several_files(spark):
+    rows = [(1, f"first {k}") for k in range(20)] + [(2, f"text {k}") for k in range(400)] + [(3, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    coalescing = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalescing)
+    spark.conf.set(coalescing, "false")
+    try:
+        files = write_sequences(docs, TOKENIZER, scratch_path(spark, "files"), length=64)
+    finally:
+        spark.conf.set(coalescing, before)
+    assert files.count() >= 4 and files.agg({"documents": "max"}).first()[0] < 200
+    read = read_documents(spark, files).orderBy("start").collect()
+    assert [r.key for r in read] == [1] * 20 + [2] * 400 + [3]
+    assert [r.start for r in read] == np.cumsum([0, *(r.n_tokens for r in read[:-1])]).tolist()
+
+
 def test_tokenize_adds_an_end(edge_docs, file_encoder):
     for r in tokenize(edge_docs, TOKENIZER, end_id=2).select("text", "ids").collect():
         assert list(r.ids) == file_encoder.tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2]

@@ -4,6 +4,9 @@ Every language has a codeword of bits. One binary classifier per bit predicts it
 from hashed byte n-grams; the language whose codeword has the least logistic loss
 under all predictions, each bit weighted by how well its classifier does on chunks
 kept back, is chosen. A text is ambiguous if the second codeword is nearly as near.
+
+Chunks of the sampled texts are dealt to shards by hash. A task trains on one shard,
+which has chunks of all languages, and the classifiers of the shards are averaged.
 """
 
 import numpy as np
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from lagcast.llm.arrays import LOWER, Texts, add_columns
+from lagcast.llm.components import passing_tables, stored
 from lagcast.llm.folds import chunks, smallest
 from lagcast.llm.logistic import sigmoid
 
@@ -25,6 +29,7 @@ BITS = 15
 SAMPLE_DOCS = 2000
 SAMPLE_CHUNKS = 4000
 CHUNK_SIZES = (1024, 64, 256)
+SHARD_CHUNKS = 1 << 14  # about as many chunks in a shard
 
 EPOCHS = 6
 RATE = 4.0
@@ -88,9 +93,19 @@ class LanguageModel:
         self.bias = np.zeros(bits, dtype=np.float32)
         self.trust = np.ones(bits, dtype=np.float32)
 
+    def average(self, shards: list) -> None:
+        """Takes the mean of the classifiers of the shards, weighted by their chunks."""
+        total = sum(s.chunks for s in shards)
+        for name in ("weights", "bias", "trust"):
+            mean = np.zeros(getattr(self, name).size)
+            for s in sorted(shards, key=lambda s: s.shard):
+                mean += np.frombuffer(s[name], "<f4") * (s.chunks / total)
+            setattr(self, name, mean.astype(np.float32).reshape(getattr(self, name).shape))
+
     def train(self, samples: list[bytes], labels: np.ndarray) -> None:
         """Steps of mini-batches; every language weighs the same, a tenth is kept back."""
         rng = np.random.default_rng(7)
+        self.weights[:], self.bias[:] = 0, 0
         share = 1.0 / np.bincount(labels, minlength=len(self.languages))[labels]
         share = (share / share.mean()).astype(np.float32)
         order = rng.permutation(len(samples))
@@ -134,7 +149,8 @@ def fit_languages(docs: DataFrame, *, text: str = "text", lang: str = "lang", ra
 
     Every language is learned, from about ``SAMPLE_DOCS`` documents, chosen by a hash of
     ``rank``, and at most ``SAMPLE_CHUNKS`` chunks of these; null texts and languages are
-    left out. What the driver gathers is bounded for each language.
+    left out. Shards of chunks are as many as the chunks ask for, whatever the cluster;
+    only their classifiers reach the driver.
     """
     known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
     counted = known.groupBy(F.col(lang).alias("lang")).count().collect()
@@ -147,13 +163,35 @@ def fit_languages(docs: DataFrame, *, text: str = "text", lang: str = "lang", ra
     drawn = ranked.where(F.pmod(F.col("rank"), F.lit(1 << 20)) < shares[F.col("lang")] * F.lit(1 << 20))
     cut = chunks(drawn, "lang", "rank", "text", CHUNK_SIZES)
     spots = Window.partitionBy("label").orderBy("rank", "chunk")
-    rows = cut.withColumn("spot", F.row_number().over(spots)).where(F.col("spot") <= SAMPLE_CHUNKS).collect()
-    place = {name: k for k, name in enumerate(model.languages)}
-    if rows and len(place) > 1:
-        model.train([bytes(r.chunk) for r in rows], np.array([place[r.label] for r in rows]))
+    kept = cut.withColumn("spot", F.row_number().over(spots)).where(F.col("spot") <= SAMPLE_CHUNKS)
+    with passing_tables(docs.sparkSession):
+        kept = stored(kept.select("label", "rank", "chunk"), "chunks")
+        size = kept.count()
+        if size and len(model.languages) > 1:
+            shard = F.pmod(F.xxhash64("rank", "chunk"), F.lit(-(-size // SHARD_CHUNKS)))
+            trained = kept.withColumn("shard", shard).groupBy("shard").applyInPandas(_trained(model), TRAINED)
+            model.average(trained.collect())
     return model
 
 
+TRAINED = "shard long, chunks long, weights binary, bias binary, trust binary"
+
+
+def _trained(model: LanguageModel):
+    """The classifiers of one shard of chunks."""
+
+    def run(frame):
+        import pandas as pd
+
+        frame = frame.sort_values(["rank", "label", "chunk"])
+        place = {name: k for k, name in enumerate(model.languages)}
+        model.train([bytes(x) for x in frame["chunk"]], frame["label"].map(place).to_numpy())
+        parts = [x.astype("<f4").tobytes() for x in (model.weights, model.bias, model.trust)]
+        return pd.DataFrame([(frame["shard"].iloc[0], len(frame), *parts)], columns=["shard", "chunks", "weights", "bias", "trust"])
+
+    return run
+
+
 ADDED = StructType(
     [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())]
 )

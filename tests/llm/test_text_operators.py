@@ -204,3 +204,14 @@ def test_languages_on_edges(edge_docs, no_docs):
     assert isinstance(nothing, LanguageModel) and not nothing.languages
     assert {r.lang_pred for r in identify_language(edge_docs, nothing).collect()} == {"und"}
     assert identify_language(no_docs, model).count() == 0
+
+
+def test_shards_of_chunks_are_trained_apart(spark, monkeypatch):
+    """Classifiers averaged over many shards tell the languages of texts they have not seen."""
+    monkeypatch.setattr(language_id, "SHARD_CHUNKS", 50)
+    words = {"xx": "alpha beta gamma delta", "yy": "uno dos tres cuatro", "zz": "ich du wir sie"}
+    rows = [(k, " ".join(w.split()[(k * j) % 4] for j in range(1, 60)), lang) for lang, w in words.items() for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_languages(docs.where("doc_id < 60"))
+    found = identify_language(docs.where("doc_id >= 60"), model).collect()
+    assert len(found) == 90 and all(r.lang_pred == r.lang for r in found)

@@ -3,9 +3,10 @@
 Vectors of length one are centred, projected on their principal directions and turned
 by a rotation learned so that the signs lose little (alternating between codes and
 rotation). The signs are a 64-bit code. A block of vectors is indexed once per
-substring of the codes. By the pigeonhole principle a code within a Hamming radius
+substring of the codes: for each value a bitmap of the rows that have it, and of those
+that have one near it. By the pigeonhole principle a code within a Hamming radius
 differs little from the query's in at least one substring, so probing every substring
-with the near values finds every code within the radius. What it finds is ranked by the
+for the near values finds every code within the radius. What it finds is ranked by the
 cosine of the original vectors.
 
 The radius is learned too: it covers nearly all true neighbours in a sample. Where a
@@ -13,7 +14,6 @@ block has fewer codes within it than neighbours are wanted, it grows.
 """
 
 from collections.abc import Callable
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -23,17 +23,14 @@ from pyspark.sql import functions as F
 BITS = 64
 TABLES = 8
 WIDTH = BITS // TABLES
-BLOCK_ROWS = 16_384  # vectors of an index
-QUERY_ROWS = 4096  # queries that meet it at once
+BLOCK_VALUES = 1 << 20  # numbers in the vectors of an index
+QUERY_VALUES = 1 << 20  # numbers in the queries that meet it at once
 SAMPLE_VALUES = 1 << 20  # numbers that the rotation is learned from
 SAMPLE_QUERIES = 400
 COVERED = 0.995  # share of true neighbours in the sample that the radius covers
 ITERATIONS = 30
 
-MASKS = [
-    np.array([sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(WIDTH), n)])
-    for radius in range(WIDTH + 1)
-]
+VALUES = np.arange(1 << WIDTH)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -87,20 +84,32 @@ class Codes:
 
 
 class Index:
-    """One table per substring: rows in the order of their values, and where values begin."""
+    """One table per substring: for each value, bitmaps of the rows that have one near it."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order, self.begins = [], []
-        for t in range(TABLES):
-            values = self._part(codes, t)
-            self.order.append(np.argsort(values, kind="stable"))
-            self.begins.append(np.concatenate([[0], np.cumsum(np.bincount(values, minlength=1 << WIDTH))]))
+        self.near = [[self._rows_by_value(self._part(codes, t))] for t in range(TABLES)]
 
     @staticmethod
     def _part(codes: np.ndarray, t: int) -> np.ndarray:
         return (codes >> np.uint64(t * WIDTH) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
 
+    @staticmethod
+    def _rows_by_value(values: np.ndarray) -> np.ndarray:
+        has = np.zeros((1 << WIDTH, len(values)), dtype=bool)
+        has[values, np.arange(len(values))] = True
+        return np.packbits(has, axis=1)
+
+    def _reached(self, t: int, reach: int) -> np.ndarray:
+        """The bitmaps of table ``t`` for values that differ in at most ``reach`` bits."""
+        near = self.near[t]
+        while len(near) <= reach:
+            wider = near[-1].copy()
+            for bit in range(WIDTH):
+                wider |= near[-1][VALUES ^ 1 << bit]
+            near.append(wider)
+        return near[reach]
+
     def within(self, code: np.uint64, radius: int) -> np.ndarray:
         """All rows whose codes differ from ``code`` in at most ``radius`` bits.
 
@@ -110,17 +119,13 @@ class Index:
         if radius >= BITS:
             return np.arange(len(self.codes))
         a, b = divmod(radius, TABLES)
-        seen = np.zeros(len(self.codes), dtype=bool)
+        seen = np.zeros(-(-len(self.codes) // 8), dtype=np.uint8)
         for t in range(TABLES):
             reach = a if t <= b else a - 1
             if reach < 0:
                 break
-            probes = int(code) >> t * WIDTH & (1 << WIDTH) - 1 ^ MASKS[min(reach, WIDTH)]
-            low, high = self.begins[t][probes], self.begins[t][probes + 1]
-            sizes = high - low
-            ends = np.cumsum(sizes)
-            seen[self.order[t][np.repeat(low - ends + sizes, sizes) + np.arange(ends[-1])]] = True
-        rows = np.flatnonzero(seen)
+            seen |= self._reached(t, min(reach, WIDTH))[int(code) >> t * WIDTH & (1 << WIDTH) - 1]
+        rows = np.flatnonzero(np.unpackbits(seen, count=len(self.codes)))
         return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
 
 
@@ -128,14 +133,20 @@ def _nearest(shared, k: int):
     """The nearest vectors of one block for each query of another."""
 
     def run(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
+        found: list[np.ndarray] = []
+        scores: list[np.ndarray] = []
+        ids = block["id"].to_numpy()
+        names = asked["id"].to_numpy()
         if len(block) and len(asked):
             codes = shared.value
-            ids = block["id"].to_numpy()
             vectors, queries = (scale(np.stack(f["vector"].to_list())) for f in (block, asked))
             lengths, of_query = (np.sqrt((x * x).sum(axis=1)) for x in (vectors, queries))
-            index = Index(codes.of(vectors / lengths[:, None]))
-            for name, query, length, code in zip(asked["id"], queries, of_query, codes.of(queries / of_query[:, None])):
+            units, ways = vectors / lengths[:, None], queries / of_query[:, None]
+            index, asked_codes = Index(codes.of(units)), codes.of(ways)
+            units, ways = units.astype(np.float32), ways.astype(np.float32)
+            # Twice what rounding can move a cosine in single precision.
+            slack = (units.shape[1] + 4) * 2.0**-22
+            for name, query, length, way, code in zip(names, queries, of_query, ways, asked_codes):
                 radius = codes.radius
                 while True:
                     rows = index.within(code, radius)
@@ -143,12 +154,17 @@ def _nearest(shared, k: int):
                     if len(rows) >= k or radius >= BITS:
                         break
                     radius = min(BITS, radius + TABLES // 2)
+                if len(rows) > k:  # those that cannot be among the nearest need no exact score
+                    rough = units[rows] @ way
+                    rows = rows[rough >= np.partition(rough, len(rows) - k)[len(rows) - k] - slack]
                 # Sums along rows are the same for equal vectors, wherever they stand.
                 score = (vectors[rows] * query).sum(axis=1) / (lengths[rows] * length)
                 best = np.lexsort((ids[rows], -score))[:k]
-                out.append(pd.DataFrame({"query_id": name, "vec_id": ids[rows][best], "score": score[best]}))
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pd.concat(out) if out else empty
+                found.append(rows[best])
+                scores.append(score[best])
+        rows = np.concatenate([np.zeros(0, dtype=np.int64), *found])
+        turns = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        return pd.DataFrame({"query_id": names[turns], "vec_id": ids[rows], "score": np.concatenate([np.zeros(0), *scores])})
 
     return run
 
@@ -171,10 +187,12 @@ def nearest(
     with a null key or whose vectors have another dimension than most (of equally frequent
     ones, the larger). Repeated rows count once; a row is no neighbour of its own key.
 
-    Vectors are dealt into blocks by a hash, of ``BLOCK_ROWS`` on average; a block's index
-    meets ``QUERY_ROWS`` queries at a time and returns ``k`` rows for each.
+    Vectors are dealt into blocks by a hash, of ``BLOCK_VALUES`` numbers on average; a
+    block's index meets queries of ``QUERY_VALUES`` numbers at a time and returns ``k`` rows
+    for each. Single-precision vectors travel as such; scores are in double precision.
     """
-    numbers = F.col(vector).cast("array<double>")
+    narrow = df.schema[vector].dataType.simpleString() == "array<float>"
+    numbers = F.col(vector).cast("array<float>" if narrow else "array<double>")
     rows = df.select(F.col(key).alias("id"), numbers.alias("vector")).where(F.col("id").isNotNull() & usable("vector"))
     spark = df.sparkSession
     kind = rows.schema["id"].dataType.simpleString()
@@ -185,10 +203,11 @@ def nearest(
     dimension, total = sizes[0]["d"], sizes[0]["count"]
     rows = rows.where(F.size("vector") == dimension).dropDuplicates(["id", "vector"])
     spot = F.xxhash64("id", "vector")
-    sample = rows.orderBy(spot, "id").limit(max(64, SAMPLE_VALUES // dimension)).select("vector").collect()
-    codes = spark.sparkContext.broadcast(Codes(np.array([r.vector for r in sample]), k))
+    sample = rows.orderBy(spot, "id").limit(max(64, SAMPLE_VALUES // dimension)).select("vector").toArrow()
+    values = sample["vector"].combine_chunks().flatten().to_numpy()
+    codes = spark.sparkContext.broadcast(Codes(values.reshape(-1, dimension), k))
     asked = rows.where(is_query(F.col("id")))
-    blocks, turns = -(-total // BLOCK_ROWS), max(1, -(-asked.count() // QUERY_ROWS))
+    blocks, turns = -(-total * dimension // BLOCK_VALUES), max(1, -(-asked.count() * dimension // QUERY_VALUES))
     number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = rows.select("id", "vector", F.pmod(spot, F.lit(blocks)).cast("int").alias("block"), number(turns).alias("turn"))
     met = asked.select("id", "vector", number(blocks).alias("block"), F.pmod(spot, F.lit(turns)).cast("int").alias("turn"))

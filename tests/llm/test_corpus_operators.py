@@ -155,6 +155,18 @@ def test_components_of_a_long_path(spark):
     assert sorted(map(len, groups.values())) == [1, *[500] * 6]
 
 
+def test_components_of_forests_that_are_given_out(spark):
+    """Tasks hold far fewer nodes than they meet; a star's centre comes in all of them."""
+    edges = [(0, k) for k in range(1, 4000)] + [(k, k + 1) for k in range(5000, 9000)] + [(1, 1)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        found = components(spark.createDataFrame(edges, "a long, b long").repartition(3, "a"), held_nodes=300)
+        groups = Counter(r.label for r in found.collect())
+        assert sorted(groups.values()) == [4000, 4001] and found.count() == 8001
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # --- nearest neighbours -------------------------------------------------------
 
 

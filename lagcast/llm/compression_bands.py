@@ -7,7 +7,7 @@ limits depend on the length, and shorter texts have smaller chunks. A text is re
 its whole ratio is outside the band, or if chunks outside theirs cover more than
 ``CHUNK_SHARE`` of its bytes.
 
-Limits can be fitted to a corpus: a bounded sample of texts gives, for each quarter of an
+Limits can be fitted to a corpus: all its different texts give, for each quarter of an
 octave of lengths and for each size of chunks, the median ratio and the spread between
 its quartiles, and what lies far outside is rejected. The limits are a list, to be kept
 or changed like any parameter.
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from lagcast.llm.arrays import SPACE, Spans, Texts, add_columns, groups, mix, per_group, shingles
-from lagcast.llm.folds import smallest
+from lagcast.operators.ordering import preceding_totals
+from lagcast.session import settled
 
 LEVEL = 3
 CHUNK = 4096
@@ -40,10 +41,8 @@ BANDS = [
     (65536, 0.20, 0.58),
 ]
 
-# Bounds of what limits are fitted to: different texts, and chunks of them.
-SAMPLE_TEXTS = 20_000
-SAMPLE_CHUNKS = 50_000
 PER_OCTAVE = 4
+QUARTILES = (0.25, 0.5, 0.75)
 LEAST_ROWS = 40  # a length with fewer texts keeps the limits of BANDS
 SPREADS = 4.5  # how far from the median, in standard deviations as the quartiles tell them
 LEAST_SPREAD = 0.005
@@ -142,65 +141,90 @@ def failed_base(counts: dict[str, np.ndarray]) -> np.ndarray:
     return (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
 
 
-def _limits(ratio: np.ndarray) -> tuple[float, float]:
+def _limits(low: float, middle: float, high: float) -> tuple[float, float]:
     """How small and how great a ratio may be, by median and quartiles."""
-    low, middle, high = np.quantile(ratio, [0.25, 0.5, 0.75])
     reach = SPREADS * max((high - low) / 1.349, LEAST_SPREAD)
-    return float(middle - reach), float(middle + reach)
+    return middle - reach, middle + reach
 
 
-def fit_bands(docs: DataFrame, *, text: str = "text", chunk: int = CHUNK, level: int = LEVEL) -> tuple[list[tuple], list[tuple]]:
-    """Bands of whole texts and of chunks, fitted to the texts of ``docs`` that pass the base rules.
+def _ratio_counts(docs: DataFrame, text: str, chunk: int, level: int) -> DataFrame:
+    """How often each ratio occurs among the different texts that pass the base rules.
 
-    At most ``SAMPLE_TEXTS`` different texts are taken, those with the smallest hashes, so
-    copies count once, and at most ``SAMPLE_CHUNKS`` of their chunks. Lengths and chunks
-    with fewer than ``LEAST_ROWS`` have the limits of ``BANDS``; of an empty table all do.
+    Columns ``width`` (of chunks; 0 for whole texts), ``step`` (of whole texts' lengths, else 0),
+    ``ratio`` and ``n``. A row of lengths for each text is shuffled, no text.
     """
-    named = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("rank")).where(F.octet_length("text") >= BANDS[1][0])
-    chosen = smallest(named.select("rank").distinct(), SAMPLE_TEXTS, F.col("rank"))  # a bounded number of rows
-    sampled = named.join(F.broadcast(chosen), "rank").select("rank", "text")
+    least = BANDS[1][0]
+    named = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("rank")).where(F.octet_length("text") >= least)
 
     def measure(batches):
         compress, seen = zstandard.ZstdCompressor(level=level).compress, set()
         for batch in batches:
-            ranks = batch.column(0).to_numpy()
-            fresh = [k for k, r in enumerate(ranks.tolist()) if not (r in seen or seen.add(r))]
-            texts = Texts.of(batch.column(1).take(pa.array(fresh, pa.int64())))
+            ranks = batch.column(1).to_pylist()
+            fresh = [k for k, r in enumerate(ranks) if not (r in seen or seen.add(r))]
+            texts = Texts.of(batch.column(0).take(pa.array(fresh, pa.int64())))
             for low, _, block in texts.blocks():
                 rows = []
                 for k in np.flatnonzero(~failed_base(text_counts(block))).tolist():
-                    content, rank = block.bytes_of(k), int(ranks[fresh[low + k]])
-                    rows.append((rank, 0, len(content), len(compress(content)) / len(content)))
-                    width, starts, found = chunk_ratios(content, compress, chunk)
-                    rows += [(rank, width, at, ratio) for at, ratio in zip(starts, found)]
-                columns = list(zip(*rows)) or [[]] * 4
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["rank", "width", "size", "ratio"])
-
-    measured = sampled.mapInArrow(measure, "rank long, width int, size long, ratio double").distinct()
-    whole = measured.where("width = 0").select("size", "ratio").toArrow()
-    spot = F.xxhash64("rank", "size")
-    pieces = smallest(measured.where("width > 0"), SAMPLE_CHUNKS, spot, F.col("rank"), F.col("size")).select("width", "ratio").toArrow()
-
-    sizes, ratio = whole["size"].to_numpy(), whole["ratio"].to_numpy()
+                    content = block.bytes_of(k)
+                    step = int(np.floor(np.log2(len(content) / least) * PER_OCTAVE))
+                    width, _, found = chunk_ratios(content, compress, chunk)
+                    rows.append((ranks[fresh[low + k]], step, len(compress(content)) / len(content), width, found))
+                columns = list(zip(*rows)) or [[]] * 5
+                kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.list_(pa.float64()))
+                names = ["rank", "step", "ratio", "width", "found"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    measured = named.mapInArrow(measure, "rank long, step int, ratio double, width int, found array<double>")
+    different = measured.dropDuplicates(["rank"])  # copies that other tasks have met
+    whole = F.array(F.struct(F.lit(0).alias("width"), "step", "ratio"))
+    pieces = F.transform("found", lambda x: F.struct(F.col("width").alias("width"), F.lit(0).alias("step"), x.alias("ratio")))
+    return different.select(F.inline(F.concat(whole, pieces))).groupBy("width", "step", "ratio").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _quartiles(counts: DataFrame) -> dict[tuple[int, int], tuple[int, list[float]]]:
+    """For each width and step the number of ratios and their quartiles, interpolated between neighbours.
+
+    Exact: running totals tell which ratios stand at the places asked for, six of a group at most,
+    and only those reach the driver.
+    """
+    placed = preceding_totals(counts, [F.asc("ratio")], {"below": "n"}, within=("width", "step"))
+    sizes = counts.groupBy("width", "step").agg(F.sum("n").alias("total"))
+    place = (F.col("total") - 1) * F.col("share")
+    shares = F.array(*[F.lit(x) for x in QUARTILES])
+    asked = sizes.withColumn("share", F.explode(shares)).select(
+        "width", "step", "total", "share", F.explode(F.array(F.floor(place), F.ceil(place))).alias("at")
+    ).distinct()
+    here = (F.col("below") <= F.col("at")) & (F.col("at") < F.col("below") + F.col("n"))
+    found: dict[tuple[int, int], tuple[int, dict]] = {}
+    for r in placed.join(F.broadcast(asked), ["width", "step"]).where(here).select("width", "step", "total", "at", "ratio").collect():
+        found.setdefault((r.width, r.step), (r.total, {}))[1][r.at] = r.ratio
+    out = {}
+    for key, (total, at) in found.items():
+        places = [(total - 1) * x for x in QUARTILES]
+        pairs = [(at[int(np.floor(x))], at[int(np.ceil(x))], x - np.floor(x)) for x in places]
+        out[key] = total, [float(a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)) for a, b, t in pairs]
+    return out
+
+
+def fit_bands(docs: DataFrame, *, text: str = "text", chunk: int = CHUNK, level: int = LEVEL) -> tuple[list[tuple], list[tuple]]:
+    """Bands of whole texts and of chunks, fitted to the texts of ``docs`` that pass the base rules.
+
+    All different texts (copies, as 64-bit hashes tell them, count once) and all their chunks are
+    measured; quartiles are exact. Lengths and chunks with fewer than ``LEAST_ROWS`` have the limits
+    of ``BANDS``; of an empty table all do.
+    """
+    found = _quartiles(settled(_ratio_counts(docs, text, chunk, level)))
+
+    def limits(width: int, step: int, size: int) -> tuple[float, float]:
+        total, quartiles = found.get((width, step), (0, []))
+        return _limits(*quartiles) if total >= LEAST_ROWS else tuple(float(x[0]) for x in band(np.array([size]), BANDS))
+
     least = BANDS[1][0]
-    step = np.floor(np.log2(np.maximum(sizes, least) / least) * PER_OCTAVE).astype(int)
-    fitted = [BANDS[0]]
-    for k in range(int(step.max(initial=-1)) + 1):
-        edge, mine = int(np.ceil(least * 2 ** (k / PER_OCTAVE))), ratio[step == k]
-        limits = _limits(mine) if len(mine) >= LEAST_ROWS else tuple(float(x[0]) for x in band(np.array([edge]), BANDS))
-        fitted.append((edge, *limits))
-    end = int(np.ceil(least * 2 ** ((step.max(initial=-1) + 1) / PER_OCTAVE)))
-    fitted.append((end, *(float(x[0]) for x in band(np.array([end]), BANDS))))
-    fitted += [b for b in BANDS if b[0] > end]
-
-    widths, ratio = pieces["width"].to_numpy(), pieces["ratio"].to_numpy()
-    of_chunks = []
-    for width in sorted(chunk // part for part in SMALLER):
-        mine = ratio[widths == width]
-        limits = _limits(mine) if len(mine) >= LEAST_ROWS else tuple(float(x[0]) for x in band(np.array([width]), BANDS))
-        of_chunks.append((width, *limits))
-    return fitted, of_chunks
+    steps = max((step for width, step in found if not width), default=-1) + 1
+    edges = [int(np.ceil(least * 2 ** (k / PER_OCTAVE))) for k in range(steps + 1)]
+    fitted = [BANDS[0], *((edge, *limits(0, k, edge)) for k, edge in enumerate(edges))]
+    fitted += [b for b in BANDS if b[0] > edges[-1]]
+    return fitted, [(width, *limits(width, 0, width)) for width in sorted(chunk // part for part in SMALLER)]
 
 
 def compression_bands(

@@ -6,6 +6,7 @@ import re
 import string
 from collections import Counter
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -114,6 +115,29 @@ def test_fitted_bands_equal_judging_by_hand(spark):
     assert [b[1:] for b in fit_bands(docs.limit(0))[0]][0] == compression_bands_module.BANDS[0][1:]
 
 
+def test_bands_are_fitted_to_every_text_and_chunk(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(rng.choice([60, 400])))[:1500] for _ in range(21_000)]
+    texts += texts[:50]  # copies count once
+    fitted, of_chunks = fit_bands(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7))
+    whole, pieces, compress = {}, {}, zstandard.ZstdCompressor(level=3).compress
+    for content in {t.encode() for t in texts}:
+        if len(content) >= 256:
+            step = int(np.floor(np.log2(len(content) / 256) * 4))
+            whole.setdefault(int(np.ceil(256 * 2 ** (step / 4))), []).append(len(compress(content)) / len(content))
+            width, _, found = compression_bands_module.chunk_ratios(memoryview(content), compress, 4096)
+            pieces.setdefault(width, []).extend(found)
+    assert sum(map(len, whole.values())) > 20_000
+    for limits, measured in ((fitted, whole), (of_chunks, pieces)):
+        decided = [b for b in limits if len(measured.get(b[0], [])) >= 40]
+        assert decided
+        for least, low, high in decided:
+            q = np.quantile(measured[least], [0.25, 0.5, 0.75])
+            reach = 4.5 * max((q[2] - q[0]) / 1.349, 0.005)
+            assert (low, high) == pytest.approx((q[1] - reach, q[1] + reach), abs=1e-12)
+
+
 def test_bands_on_edges(edge_docs, no_docs):
     found = compression_bands(edge_docs)
     rows = found.collect()

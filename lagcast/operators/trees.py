@@ -2,16 +2,21 @@
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagcast import fixed
+from lagcast.operators.boosting import boost, fits
 from lagcast.operators.features import assemble, index, indexer_of, one_hot
 from lagcast.session import shared_dir
 
 # Statistics memory per pass: more nodes are split per pass over the data.
 PASS_MEMORY_MB = 512
 
+# Values of a category beyond which MLlib's boosting, whose work grows with their square, is not used.
+WIDE_CATEGORY = 2_000
+
 
 def rf(weight_col: str | None = "classWeight", trees: int = 40, **params) -> RandomForestClassifier:
     """A random forest on the delay label."""
@@ -59,7 +64,8 @@ def fit(df: DataFrame, categories: tuple[str, ...], layout: str, estimator, inva
     goes where a split sends those it does not name. A null category raises.
 
     Several passes are made over ``df``, so callers hold or store it; the
-    trees themselves keep their binned form of it between rounds.
+    trees themselves keep their binned form of it between rounds. Boosting with a
+    category of more than ``WIDE_CATEGORY`` values grows the same trees by ``boosting``.
     """
     shared_dir(df.sparkSession)  # where boosting cuts its growing lineage
     stages = [index(categories, invalid).fit(df)]
@@ -76,10 +82,19 @@ def fit(df: DataFrame, categories: tuple[str, ...], layout: str, estimator, inva
         estimator = estimator.copy({estimator.maxBins: max(estimator.getMaxBins(), widest)})
 
     weight = [estimator.getWeightCol()] if estimator.isDefined("weightCol") else []
-    stages.append(estimator.fit(current.select("features", "Label", *weight)))
+    assembled = current.select("features", "Label", *weight)
+    wide = not indicators and widest > WIDE_CATEGORY and fits(estimator)
+    stages.append(boost(assembled, estimator, _category_sizes(stages[0], layout)) if wide else estimator.fit(assembled))
     return PipelineModel(stages)
 
 
+def _category_sizes(indexer: StringIndexerModel, layout: str) -> dict[int, int]:
+    """How many values the category at each place of a layout has."""
+    sizes = dict(zip(indexer.getInputCols(), map(len, indexer.labelsArray)))
+    indexed = {f"{c}Index": n for c, n in sizes.items()}
+    return {k: indexed[c] for k, c in enumerate(fixed.LAYOUTS[layout]) if c in indexed}
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """A table with raw score, class probabilities and predicted class added."""
     return model.transform(df)

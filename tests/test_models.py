@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lagcast.fixed import LAYOUTS
 from lagcast.functions.risk import delay_probability, risk_band
 from lagcast.operators.features import labels_of, model_vocabulary
+from lagcast.operators import trees
 from lagcast.operators.prepare import prepare
 from lagcast.operators.trees import gbt, importances, rf, score
 from lagcast.operators.vocabulary import vocabulary
@@ -92,6 +95,42 @@ def test_category_of_many_values_trains(spark):
     assert model.stages[-1].getOrDefault("maxBins") == 12_001
 
 
+@pytest.mark.parametrize("recipe, rounds, depth", [("route", 4, 5), ("balanced", 3, 4)])
+def test_wide_categories_grow_mllib_s_trees(spark, monkeypatch, recipe, rounds, depth):
+    rng, columns = random.Random(5), ("Origin", "Dest", "Carrier", *LAYOUTS["L3"][3:])
+    data = []  # no two features alike, so no two splits are equally good
+    for k in range(8_000):
+        dest, numbers = rng.randint(0, 40), [float(rng.randint(0, 15)) for _ in LAYOUTS["L3"][3:]]
+        odds = (dest * 7 % 13) / 26 + numbers[1] / 60 + numbers[3] * numbers[0] / 900
+        data.append((k, f"O{rng.randint(0, 3)}", f"D{dest}", f"C{rng.randint(0, 8)}", *numbers, float(rng.random() < odds)))
+    rows = spark.createDataFrame(data, ("k", *columns, "Label")).repartition(5).cache()
+    models = [fit_recipe(rows, RECIPES[recipe].sized(rounds), depth=depth)]
+    monkeypatch.setattr(trees, "WIDE_CATEGORY", 2)
+    models.append(fit_recipe(rows, RECIPES[recipe].sized(rounds), depth=depth))
+    one, two = (m.stages[-1] for m in models)
+    told = [[line for line in m.toDebugString.splitlines() if "feature" in line] for m in (one, two)]
+    assert len(told[0]) > 50 and told[0][1:] == told[1][1:]
+    assert two.featureImportances.toArray() == pytest.approx(one.featureImportances.toArray(), abs=1e-9)
+    assert {p.name: v for p, v in two.extractParamMap().items()} == {p.name: v for p, v in one.extractParamMap().items()}
+    p, q = (score(m, rows).select("k", delay_probability().alias(c)) for m, c in zip(models, "pq"))
+    apart = p.join(q, "k").agg(F.count(F.lit(1)), F.max(F.abs(F.col("p") - F.col("q")))).first()
+    assert apart[0] == 8_000 and apart[1] < 1e-9
+
+
+def test_many_values_are_cut_like_mllib_does(spark, monkeypatch):
+    rng = random.Random(6)
+    data = [
+        (f"O{k % 3}", f"D{k % 40}", "C", *[rng.gauss(0, 1) for _ in LAYOUTS["L3"][3:]], float(rng.random() < 0.2 + (k % 40) / 80))
+        for k in range(3_000)
+    ]
+    rows = spark.createDataFrame(data, ("Origin", "Dest", "Carrier", *LAYOUTS["L3"][3:], "Label")).cache()
+    one = fit_recipe(rows, RECIPES["route"].sized(2), depth=3, bins=64).stages[-1]
+    monkeypatch.setattr(trees, "WIDE_CATEGORY", 2)
+    two = fit_recipe(rows, RECIPES["route"].sized(2), depth=3, bins=64).stages[-1]
+    told = [[line for line in m.toDebugString.splitlines() if "feature" in line] for m in (one, two)]
+    assert told[0][1:] == told[1][1:]
+
+
 def test_saved_model_scores_the_same(table, tmp_path):
     path, copy = str(tmp_path / "m"), str(tmp_path / "copy")
     model = train_for_service(table, path, copy, RECIPES["service"].sized(1))

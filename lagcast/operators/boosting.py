@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from lagcast.session import scratch_path
 
-BLOCK_ROWS = 200_000  # of a task at a time
+BLOCK_ROWS = 100_000  # that lie and are worked on together
+BLOCK = "bins binary, label binary, weight binary, margin binary"
 SPARSE = 8  # cells for each row from which only those that occur are counted
 EPSILON = np.finfo(float).eps  # impurity below which a node is pure
 HISTOGRAM = "slot int, feature int, bin int, n long, w double, s double, q double"
@@ -114,22 +115,17 @@ def _thresholds(df: DataFrame, continuous: list[int], bins: int) -> dict[int, np
 
 
 def _blocks(batches):
-    """Rows of a task, many batches at a time."""
-    held, n = [], 0
+    """The blocks of rows of a task: bins (a row for each feature), labels, weights and margins."""
     for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= BLOCK_ROWS:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held)
+        for block in batch.to_pylist():
+            label, weight, margin = (np.frombuffer(block[c]) for c in ("label", "weight", "margin"))
+            yield np.frombuffer(block["bins"], dtype=np.int32).reshape(-1, len(label)), label, weight, margin
 
 
-def _columns(block: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bins (a row for each feature), labels, weights and margins."""
-    bins = np.stack([block[f"b{k}"].to_numpy() for k in range(width)])
-    return bins, *(block[c].to_numpy() for c in ("label", "weight", "margin"))
+def _packed(blocks):
+    """Batches of one block of rows each, its arrays as bytes."""
+    for block in blocks:
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in block], names=["bins", "label", "weight", "margin"])
 
 
 def _targets(label: np.ndarray, margin: np.ndarray, first: bool) -> np.ndarray:
@@ -153,14 +149,41 @@ def _binned(df: DataFrame, cuts: dict[int, np.ndarray], width: int) -> DataFrame
     return df.select("x", "label", "weight").mapInArrow(place, schema)
 
 
+def _clustered(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``rows`` in blocks, with the values of the widest features side by side, so tasks have few cells in common.
+
+    All bins order them, so a value of many rows spreads over tasks. A block is one row of
+    bytes: passes read arrays as they are.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [f"b{k}" for k in sorted(range(len(sizes)), key=lambda k: -sizes[k])]
+
+    def pack(batches):
+        def gathered():
+            held, n = [], 0
+            for batch in batches:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= BLOCK_ROWS:
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+            if n:
+                yield pa.Table.from_batches(held)
+
+        for table in gathered():
+            bins = np.stack([table[f"b{k}"].to_numpy() for k in range(len(sizes))])
+            yield from _packed([(bins, *(table[c].to_numpy() for c in ("label", "weight", "margin")))])
+
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(order[0]).mapInArrow(pack, BLOCK)
+
+
 def _histogram(rows: DataFrame, walk: Walk, active: list[int], sizes: list[int], first: bool) -> DataFrame:
     """Rows, weights and sums of targets per active node, feature and bin."""
     slots = np.full(len(walk.feature), -1)
     slots[active] = np.arange(len(active))
 
     def count(batches):
-        for block in _blocks(batches):
-            bins, label, weight, margin = _columns(block, len(sizes))
+        for bins, label, weight, margin in _blocks(batches):
             slot = slots[walk.places(bins)]
             keep = np.flatnonzero(slot >= 0)
             bins, slot, label, weight, margin = bins[:, keep], slot[keep], label[keep], weight[keep], margin[keep]
@@ -240,17 +263,11 @@ def _grow(rows: DataFrame, sizes: list[int], categories: set[int], depth: int, l
         if not active:
             break
     if not tree:
-        sums = rows.select("weight", F.col("label").alias("t")) if first else rows.select("weight", _falling().alias("t"))
-        w, t = F.col("weight"), F.col("t")
-        tree[0] = Node([float(x) for x in sums.agg(F.count(t), F.sum(w), F.sum(w * t), F.sum(w * t * t)).first()])
+        whole = _histogram(rows, Walk.of(tree, sizes, depth), [0], sizes, first).where("feature = 0")
+        tree[0] = Node([float(x) for x in whole.agg(*[F.sum(c) for c in ("n", "w", "s", "q")]).first()])
     return tree
 
 
-def _falling():
-    """``_targets`` of later rounds as an expression."""
-    return F.lit(4.0) * F.col("label") / (F.lit(1.0) + F.exp(F.lit(2.0) * F.col("label") * F.col("margin")))
-
-
 def _moved(rows: DataFrame, tree: dict[int, Node], weight: float, sizes: list[int], depth: int) -> DataFrame:
     """``rows`` with a tree's predictions added to the margins."""
     walk, values = Walk.of(tree, sizes, depth), np.zeros(2 ** (depth + 1) - 1)
@@ -258,12 +275,10 @@ def _moved(rows: DataFrame, tree: dict[int, Node], weight: float, sizes: list[in
         values[place] = node.prediction
 
     def add(batches):
-        for block in _blocks(batches):
-            bins, _, _, margin = _columns(block, len(sizes))
-            margin = pa.array(margin + weight * values[walk.places(bins)])
-            yield from block.set_column(block.schema.get_field_index("margin"), "margin", margin).to_batches()
+        blocks = _blocks(batches)
+        yield from _packed((bins, label, w, margin + weight * values[walk.places(bins)]) for bins, label, w, margin in blocks)
 
-    return rows.mapInArrow(add, rows.schema)
+    return rows.mapInArrow(add, BLOCK)
 
 
 def _written(rows: DataFrame, old: str | None = None) -> tuple[DataFrame, str]:
@@ -340,8 +355,8 @@ def _model(spark: SparkSession, estimator: GBTClassifier, trees: list[list[dict]
 def boost(df: DataFrame, estimator: GBTClassifier, categories: dict[int, int]) -> GBTClassificationModel:
     """The model of ``estimator`` for the assembled ``df``; ``categories`` has the values of each indexed feature.
 
-    Rows with their bins and margins lie on shared storage and are rewritten each round, so a lost
-    executor undoes nothing. The driver gets the best split of each node and feature.
+    Rows with their bins and margins lie in blocks on shared storage and are rewritten each round, so a
+    lost executor undoes nothing. The driver gets the best split of each node and feature.
     """
     spark = df.sparkSession
     weighted = estimator.isDefined("weightCol")
@@ -353,7 +368,7 @@ def boost(df: DataFrame, estimator: GBTClassifier, categories: dict[int, int]) -
     sizes = [categories.get(k) or len(cuts[k]) + 1 for k in range(width)]
     depth = estimator.getMaxDepth()
     least = (estimator.getMinInstancesPerNode(), estimator.getMinWeightFractionPerNode() * total, estimator.getMinInfoGain())
-    rows, path = _written(_binned(source, cuts, width))
+    rows, path = _written(_clustered(_binned(source, cuts, width), sizes))
     trees, weights = [], []
     for k in range(estimator.getMaxIter()):
         tree = _grow(rows, sizes, set(categories), depth, least, first=not k)

@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from lagcast.llm.arrays import SPACE, Spans, Texts, add_columns, groups, mix, per_group, shingles
+from lagcast.llm.components import arrow_rows
 from lagcast.operators.ordering import preceding_totals
 from lagcast.session import settled
 
+BATCH_ROWS = 1000  # texts that a task holds at once
 LEVEL = 3
 CHUNK = 4096
 SMALLER = (1, 4, 16)  # what a chunk is divided by until a text has two
@@ -213,7 +215,9 @@ def fit_bands(docs: DataFrame, *, text: str = "text", chunk: int = CHUNK, level:
     measured; quartiles are exact. Lengths and chunks with fewer than ``LEAST_ROWS`` have the limits
     of ``BANDS``; of an empty table all do.
     """
-    found = _quartiles(settled(_ratio_counts(docs, text, chunk, level)))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        counts = settled(_ratio_counts(docs, text, chunk, level))
+    found = _quartiles(counts)
 
     def limits(width: int, step: int, size: int) -> tuple[float, float]:
         total, quartiles = found.get((width, step), (0, []))

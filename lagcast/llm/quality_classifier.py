@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lagcast.llm.arrays import Texts, add_columns
+from lagcast.llm.components import arrow_rows
 from lagcast.llm.folds import chunks, smallest
 from lagcast.llm.logistic import Logistic
 
@@ -25,6 +26,7 @@ SAMPLE_CHUNKS = 6000
 SAMPLE_CHUNK = 2048
 CALIBRATION_ROWS = 6000
 
+BATCH_ROWS = 1000  # labelled texts that a task holds at once
 DICTIONARY = 112_640
 CHUNK = 512
 LEVEL = 3
@@ -138,7 +140,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text
             )
 
     measured = labelled.where(calibrates).mapInArrow(measure, "__label int, rank long, columns array<double>")
-    rows = smallest(measured, CALIBRATION_ROWS, F.xxhash64("rank", F.lit(1)), F.col("columns")).collect()
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        rows = smallest(measured, CALIBRATION_ROWS, F.xxhash64("rank", F.lit(1)), F.col("columns")).collect()
     truth = np.array([r[0] for r in rows], dtype=float)
     if len(set(truth.tolist())) == 2:
         model.calibration = Logistic(np.array([r[2] for r in rows]), truth, weights=stands_for[truth.astype(int)])

@@ -115,6 +115,14 @@ def test_fitted_bands_equal_judging_by_hand(spark):
     assert [b[1:] for b in fit_bands(docs.limit(0))[0]][0] == compression_bands_module.BANDS[0][1:]
 
 
+def test_bands_are_fitted_in_bounded_batches(spark, monkeypatch):
+    setting, used, settle = "spark.sql.execution.arrow.maxRecordsPerBatch", [], compression_bands_module.settled
+    before = spark.conf.get(setting)
+    monkeypatch.setattr(compression_bands_module, "settled", lambda df: used.append(int(spark.conf.get(setting))) or settle(df))
+    fit_bands(spark.createDataFrame([("some text",)], "text string"))
+    assert used and max(used) <= 1000 and spark.conf.get(setting) == before
+
+
 def test_bands_are_fitted_to_every_text_and_chunk(spark):
     rng = random.Random(13)
     word = lambda: "".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9)))

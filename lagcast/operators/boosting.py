@@ -9,6 +9,7 @@ comes out is MLlib's model.
 """
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,7 @@ from lagcast.session import scratch_path
 
 BLOCK_ROWS = 100_000  # that lie and are worked on together
 BLOCK = "bins binary, label binary, weight binary, margin binary"
+STORED_VALUES = 1 << 20  # values of categories that nodes name in one write of a model's trees
 SPARSE = 8  # cells for each row from which only those that occur are counted
 EPSILON = np.finfo(float).eps  # impurity below which a node is pure
 HISTOGRAM = "slot int, feature int, bin int, n long, w double, s double, q double"
@@ -332,6 +334,19 @@ _NODE = pa.struct([
 ])
 
 
+def _runs(trees: list[list[dict]]) -> Iterator[list[tuple[int, dict]]]:
+    """The nodes with the numbers of their trees, so many whole trees at a time as name ``STORED_VALUES`` or one."""
+    run, values = [], 0
+    for k, nodes in enumerate(trees):
+        more = sum(len(n["split"]["leftCategoriesOrThreshold"]) for n in nodes)
+        if run and values + more > STORED_VALUES:
+            yield run
+            run, values = [], 0
+        run += [(k, n) for n in nodes]
+        values += more
+    yield run
+
+
 def _model(spark: SparkSession, estimator: GBTClassifier, trees: list[list[dict]], weights: list[float], width: int) -> GBTClassificationModel:
     """MLlib's model of these trees, by way of the form in which it stores models."""
     path = scratch_path(spark, "boosted-model")
@@ -346,8 +361,9 @@ def _model(spark: SparkSession, estimator: GBTClassifier, trees: list[list[dict]
     kind = "regression.DecisionTreeRegressionModel"
     rows = [(k, described(kind, f"{estimator.uid}_{k}", {}, {}), w) for k, w in enumerate(weights)]
     spark.createDataFrame(rows, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
-    for k, nodes in enumerate(trees):  # a tree at a time: wide categories make long lists
-        table = pa.table({"treeID": pa.array([k] * len(nodes), pa.int32()), "nodeData": pa.array(nodes, _NODE)})
+    for run in _runs(trees):  # wide categories make long lists
+        numbers, nodes = zip(*run)
+        table = pa.table({"treeID": pa.array(numbers, pa.int32()), "nodeData": pa.array(nodes, _NODE)})
         spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(f"{path}/data")
     return GBTClassificationModel.load(path)
 

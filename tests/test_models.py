@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lagcast.fixed import LAYOUTS
 from lagcast.functions.risk import delay_probability, risk_band
 from lagcast.operators.features import labels_of, model_vocabulary
-from lagcast.operators import trees
+from lagcast.operators import boosting, trees
 from lagcast.operators.prepare import prepare
 from lagcast.operators.trees import gbt, importances, rf, score
 from lagcast.operators.vocabulary import vocabulary
@@ -117,6 +117,14 @@ def test_wide_categories_grow_mllib_s_trees(spark, monkeypatch, recipe, rounds,
     assert apart[0] == 8_000 and apart[1] < 1e-9
 
 
+def test_trees_are_written_many_at_a_time(monkeypatch):
+    monkeypatch.setattr(boosting, "STORED_VALUES", 10)
+    made = [[{"id": i, "split": {"leftCategoriesOrThreshold": [0.0] * n}} for i in range(3)] for n in (1, 2, 1, 5, 0, 3)]
+    runs = list(boosting._runs(made))
+    assert [sorted({k for k, _ in run}) for run in runs] == [[0, 1], [2], [3], [4, 5]]
+    assert [pair for run in runs for pair in run] == [(k, node) for k, nodes in enumerate(made) for node in nodes]
+
+
 def test_many_values_are_cut_like_mllib_does(spark, monkeypatch):
     rng = random.Random(6)
     data = [

@@ -19,7 +19,11 @@ WIDE_CATEGORY = 2_000
 
 
 def rf(weight_col: str | None = "classWeight", trees: int = 40, **params) -> RandomForestClassifier:
-    """A random forest on the delay label."""
+    """A random forest on the delay label.
+
+    MLlib keeps the node of each row in each tree beside the rows (``cacheNodeIds``):
+    the trees are the same, but a level need not walk every row through every tree from its root.
+    """
     forest = RandomForestClassifier(
         labelCol="Label",
         numTrees=trees,
@@ -27,6 +31,7 @@ def rf(weight_col: str | None = "classWeight", trees: int = 40, **params) -> Ran
         maxBins=params.pop("bins", fixed.FOREST_BINS),
         seed=params.pop("seed", fixed.SPLIT_SEED),
         maxMemoryInMB=params.pop("maxMemoryInMB", PASS_MEMORY_MB),
+        cacheNodeIds=params.pop("cacheNodeIds", True),
         **params,
     )
     return forest if weight_col is None else forest.setWeightCol(weight_col)

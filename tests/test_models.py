@@ -45,6 +45,14 @@ def test_estimators_carry_the_fixed_parameters():
     assert gbt("class_weight").getWeightCol() == "class_weight" and not gbt().isSet("weightCol")
 
 
+def test_forests_keep_the_nodes_of_rows_and_grow_the_same_trees(table):
+    rows = prepare(table, "V2")
+    kept, walked = (fit_recipe(rows, RECIPES["carrier"].sized(3), depth=5, **more).stages[-1] for more in ({}, {"cacheNodeIds": False}))
+    assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
+    one, two = (m.toDebugString.splitlines()[1:] for m in (kept, walked))
+    assert len(one) > 50 and one == two
+
+
 def test_recipes():
     assert RECIPES["baseline"].estimator().getNumTrees() == 40
     assert RECIPES["service"].estimator().getMaxIter() == 20

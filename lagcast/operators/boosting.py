@@ -19,14 +19,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagcast.session import scratch_path
+from lagcast.session import scratch_path, settled
 
 BLOCK_ROWS = 100_000  # that lie and are worked on together
+SORTED_BLOCKS = 20  # that are put in order at a time
+SOURCE = "x binary, label binary, weight binary"
 BLOCK = "bins binary, label binary, weight binary, margin binary"
+COUNTS = "feature int, value double, n long, weight double"
 STORED_VALUES = 1 << 20  # values of categories that nodes name in one write of a model's trees
 SPARSE = 8  # cells for each row from which only those that occur are counted
+NARROW = 4_096  # bins of a feature up to which a task adds its blocks up
+CHUNK = 1 << 16  # bins of a feature that are added up together where tasks have many cells in common
 EPSILON = np.finfo(float).eps  # impurity below which a node is pure
-HISTOGRAM = "slot int, feature int, bin int, n long, w double, s double, q double"
+HISTOGRAM = "slot int, feature int, chunk int, bins binary, cells binary"
 FOUND = "slot int, feature int, gain double, bins binary, left array<double>, right array<double>"
 
 
@@ -53,31 +58,24 @@ class Node:
 class Walk:
     """The splits of a tree by heap place, as tasks look them up: feature, and which of its bins go left."""
 
-    feature: np.ndarray
-    start: np.ndarray
-    left: np.ndarray
+    splits: dict[int, tuple[int, np.ndarray]]
 
     @classmethod
-    def of(cls, tree: dict[int, Node], sizes: list[int], depth: int) -> "Walk":
-        places = 2 ** (depth + 1) - 1
-        feature, start, tables, at = np.full(places, -1), np.zeros(places, dtype=np.int64), [np.zeros(0, dtype=bool)], 0
-        for place, node in tree.items():
-            if node.feature >= 0:
-                feature[place], start[place] = node.feature, at
-                tables.append(np.isin(np.arange(sizes[node.feature]), node.left_bins))
-                at += sizes[node.feature]
-        return cls(feature, start, np.concatenate(tables))
-
-    def places(self, bins: np.ndarray) -> np.ndarray:
-        """The heap place that each row (a column of ``bins``) reaches."""
-        place = np.zeros(bins.shape[1], dtype=np.int64)
-        inner = np.arange(bins.shape[1])
-        while len(inner):
-            inner = inner[self.feature[place[inner]] >= 0]
-            here = place[inner]
-            left = self.left[self.start[here] + bins[self.feature[here], inner]]
-            place[inner] = 2 * here + 2 - left
-        return place
+    def of(cls, tree: dict[int, Node], sizes: list[int]) -> "Walk":
+        inner = {place: node for place, node in tree.items() if node.feature >= 0}
+        return cls({p: (n.feature, np.isin(np.arange(sizes[n.feature]), n.left_bins)) for p, n in inner.items()})
+
+    def reached(self, bins: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """The heap places that rows end at, each with its rows; ``bins`` has an array for each feature."""
+        ahead = [(0, np.arange(len(bins[0])))]
+        while ahead:
+            place, rows = ahead.pop()
+            if place not in self.splits:
+                yield place, rows
+                continue
+            feature, table = self.splits[place]
+            left = table[bins[feature][rows]]
+            ahead += [(2 * place + 1, rows[left]), (2 * place + 2, rows[~left])]
 
 
 def fits(estimator) -> bool:
@@ -92,7 +90,67 @@ def fits(estimator) -> bool:
     )
 
 
-def _thresholds(df: DataFrame, continuous: list[int], bins: int) -> dict[int, np.ndarray]:
+def _gathered(batches, rows: int, size) -> Iterator[list]:
+    """Batches together that have ``rows`` rows or a few more; ``size`` tells how many one has."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += size(batch)
+        if n >= rows:
+            yield held
+            held, n = [], 0
+    if n:
+        yield held
+
+
+def _packed(blocks, names: tuple[str, ...] = ("bins", "label", "weight", "margin")):
+    """Batches of one block of rows each, its arrays as bytes."""
+    for block in blocks:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in block], names=list(names))
+
+
+def _arrays(batches, *kinds: tuple[str, type]) -> Iterator[list[np.ndarray]]:
+    """The arrays of each row of batches, without a copy."""
+    for batch in batches:
+        for row in zip(*(batch.column(batch.schema.get_field_index(c)) for c, _ in kinds)):
+            yield [np.frombuffer(x.as_buffer(), dtype=kind) for x, (_, kind) in zip(row, kinds)]
+
+
+def _source(df: DataFrame, weighted: bool) -> DataFrame:
+    """Rows in blocks of bytes: features one after the other, labels, and weights if there are any."""
+
+    def pack(batches):
+        for held in _gathered(batches, BLOCK_ROWS, lambda batch: batch.num_rows):
+            table = pa.Table.from_batches(held).combine_chunks()
+            x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table["x"].chunks]).reshape(table.num_rows, -1)
+            weight = table["weight"].to_numpy().astype(float) if weighted else np.zeros(0)
+            label = (table["label"].to_numpy() * 2 - 1).astype(np.int8)
+            yield from _packed([(np.ascontiguousarray(x.T).tobytes(), label.tobytes(), weight.tobytes())], ("x", "label", "weight"))
+
+    return df.mapInArrow(pack, SOURCE)
+
+
+def _source_blocks(batches):
+    for x, label, weight in _arrays(batches, ("x", float), ("label", np.int8), ("weight", float)):
+        yield x.reshape(-1, len(label)), label, weight
+
+
+def _counts(source: DataFrame, features: list[int]) -> DataFrame:
+    """Rows and weight of each value of some features."""
+
+    def count(batches):
+        for x, label, weight in _source_blocks(batches):
+            for feature in features:
+                values, at, n = np.unique(x[feature], return_inverse=True, return_counts=True)
+                w = np.bincount(at, weight) if len(weight) else n.astype(float)
+                columns = [np.full(len(values), feature, np.int32), values, n, w]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["feature", "value", "n", "weight"])
+
+    counted = source.mapInArrow(count, COUNTS)
+    return counted.groupBy("feature", "value").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+
+
+def _thresholds(counts: DataFrame, continuous: list[int], bins: int) -> dict[int, np.ndarray]:
     """Where each continuous feature is cut: between its values, or by equal weights if these are too many."""
 
     def cut(key, table):
@@ -110,99 +168,161 @@ def _thresholds(df: DataFrame, continuous: list[int], bins: int) -> dict[int, np
             between = between[chosen[: bins - 1]]
         return pa.table({"feature": [key[0].as_py()], "cuts": [between]}, schema=pa.schema([("feature", pa.int32()), ("cuts", pa.list_(pa.float64()))]))
 
-    values = df.select("weight", F.posexplode("x").alias("feature", "value")).where(F.col("feature").isin(continuous))
-    counts = values.groupBy("feature", "value").agg(F.sum("weight").alias("weight"))
-    rows = counts.groupBy("feature").applyInArrow(cut, "feature int, cuts array<double>").collect()
+    wanted = counts.where(F.col("feature").isin(continuous))
+    rows = wanted.groupBy("feature").applyInArrow(cut, "feature int, cuts array<double>").collect()
     return {r.feature: np.array(r.cuts) for r in rows}
 
 
-def _blocks(batches):
-    """The blocks of rows of a task: bins (a row for each feature), labels, weights and margins."""
-    for batch in batches:
-        for block in batch.to_pylist():
-            label, weight, margin = (np.frombuffer(block[c]) for c in ("label", "weight", "margin"))
-            yield np.frombuffer(block["bins"], dtype=np.int32).reshape(-1, len(label)), label, weight, margin
-
-
-def _packed(blocks):
-    """Batches of one block of rows each, its arrays as bytes."""
-    for block in blocks:
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in block], names=["bins", "label", "weight", "margin"])
+def _kinds(sizes: list[int]) -> list[np.dtype]:
+    """The narrowest numbers that hold the bins of each feature."""
+    return [np.min_scalar_type(size - 1) for size in sizes]
 
 
-def _targets(label: np.ndarray, margin: np.ndarray, first: bool) -> np.ndarray:
-    """What a round fits: the label (-1 or 1), later the falling direction of the logistic loss."""
-    return label if first else 4.0 * label / (1.0 + np.exp(2.0 * label * margin))
+def _blocks(batches, sizes: list[int]):
+    """The blocks of rows of a task: bins (an array for each feature), labels, weights (or none) and margins."""
+    kinds = _kinds(sizes)
+    for bins, label, weight, margin in _arrays(batches, ("bins", np.uint8), ("label", np.int8), ("weight", float), ("margin", float)):
+        ends = np.cumsum([len(label) * kind.itemsize for kind in kinds])[:-1]
+        yield [b.view(kind) for b, kind in zip(np.split(bins, ends), kinds)], label, weight, margin
 
 
-def _binned(df: DataFrame, cuts: dict[int, np.ndarray], width: int) -> DataFrame:
-    """Each row's bins, its label as -1 or 1, its weight, and a margin of 0."""
+def _bytes(bins: list[np.ndarray], *others: np.ndarray) -> tuple[bytes, ...]:
+    return b"".join(b.tobytes() for b in bins), *(x.tobytes() for x in others)
 
-    def place(batches):
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            bins = [np.searchsorted(cuts[k], x[:, k]) if k in cuts else x[:, k] for k in range(width)]
-            label = batch.column(1).to_numpy() * 2 - 1
-            columns = [*(b.astype(np.int32) for b in bins), label, batch.column(2).to_numpy(), np.zeros(len(label))]
-            names = [*(f"b{k}" for k in range(width)), "label", "weight", "margin"]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    schema = ", ".join([*(f"b{k} int" for k in range(width)), "label double", "weight double", "margin double"])
-    return df.select("x", "label", "weight").mapInArrow(place, schema)
+def _targets(label: np.ndarray, margin: np.ndarray, first: bool) -> np.ndarray:
+    """What a round fits: the label (-1 or 1), later the falling direction of the logistic loss."""
+    return label.astype(float) if first else 4.0 * label / (1.0 + np.exp(2.0 * label * margin))
 
 
-def _clustered(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """``rows`` in blocks, with the values of the widest features side by side, so tasks have few cells in common.
+def _clustered(source: DataFrame, cuts: dict[int, np.ndarray], sizes: list[int], widest: int, before: np.ndarray, parts: int) -> DataFrame:
+    """Blocks of rows with their bins and a margin of 0, the values of the widest feature side by side.
 
-    All bins order them, so a value of many rows spreads over tasks. A block is one row of
-    bytes: passes read arrays as they are.
+    So tasks have few cells in common. ``before`` counts the rows before each value of the widest
+    feature, and all of them at its end; partitions are equal parts of that, so a value of many rows
+    spreads over several. Blocks are dealt out in pieces, as bytes, and put in order where they arrive.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [f"b{k}" for k in sorted(range(len(sizes)), key=lambda k: -sizes[k])]
-
-    def pack(batches):
-        def gathered():
-            held, n = [], 0
-            for batch in batches:
-                held.append(batch)
-                n += batch.num_rows
-                if n >= BLOCK_ROWS:
-                    yield pa.Table.from_batches(held)
-                    held, n = [], 0
-            if n:
-                yield pa.Table.from_batches(held)
-
-        for table in gathered():
-            bins = np.stack([table[f"b{k}"].to_numpy() for k in range(len(sizes))])
-            yield from _packed([(bins, *(table[c].to_numpy() for c in ("label", "weight", "margin")))])
-
-    return rows.repartitionByRange(parts, *order).sortWithinPartitions(order[0]).mapInArrow(pack, BLOCK)
-
+    kinds, per = _kinds(sizes), max(before[-1] / parts, 1.0)
+
+    def deal(batches):
+        for x, label, weight in _source_blocks(batches):
+            bins = [(np.searchsorted(cuts[k], v) if k in cuts else v).astype(kind) for k, (v, kind) in enumerate(zip(x, kinds))]
+            order = np.argsort(bins[widest], kind="stable")
+            value = bins[widest][order].astype(np.int64)
+            first = np.searchsorted(value, value)
+            share = (np.arange(len(value)) - first + 0.5) / (np.searchsorted(value, value, side="right") - first)
+            part = np.minimum((before[value] + share * (before[value + 1] - before[value])) / per, parts - 1).astype(np.int64)
+            edges = np.searchsorted(part, np.arange(parts + 1))
+            for k in np.flatnonzero(np.diff(edges)):
+                rows = order[edges[k] : edges[k + 1]]
+                of_rows = [x[rows] if len(x) else x for x in (label, weight)]
+                piece = _bytes([b[rows] for b in bins], *of_rows, np.zeros(len(rows)))
+                columns = [pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in piece)]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "bins", "label", "weight", "margin"])
+
+    def sort(batches):
+        for held in _gathered(_blocks(batches, sizes), SORTED_BLOCKS * BLOCK_ROWS, lambda block: len(block[1])):
+            bins = [np.concatenate(b) for b in zip(*(block[0] for block in held))]
+            others = [np.concatenate(x) for x in zip(*(block[1:] for block in held))]
+            order = np.argsort(bins[widest], kind="stable")
+            for start in range(0, len(order), BLOCK_ROWS):
+                rows = order[start : start + BLOCK_ROWS]
+                yield from _packed([_bytes([b[rows] for b in bins], *(x[rows] if len(x) else x for x in others))])
+
+    dealt = source.mapInArrow(deal, f"part int, {BLOCK}").repartitionById(parts, F.col("part"))
+    return dealt.drop("part").mapInArrow(sort, BLOCK)
+
+
+def _cells(bins: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bins that occur, and for each its rows and the totals of ``sums``."""
+    low = int(bins.min())
+    if int(bins.max()) - low <= SPARSE * len(bins):
+        at = bins - low if low else bins
+        n = np.bincount(at)
+        some = np.flatnonzero(n)
+        return some + low, np.stack([n[some].astype(float), *(np.bincount(at, x)[some] for x in sums)])
+    names, at, n = np.unique(bins, return_inverse=True, return_counts=True)
+    return names, np.stack([n.astype(float), *(np.bincount(at, x) for x in sums)])
+
+
+def _added(bins: list[np.ndarray], cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of several tasks as one, in the order of bins."""
+    names, at = np.unique(np.concatenate(bins), return_inverse=True)
+    return names, np.stack([np.bincount(at, x) for x in np.concatenate(cells, axis=1)])
+
+
+_HISTOGRAM = pa.schema([("slot", pa.int32()), ("feature", pa.int32()), ("chunk", pa.int32()), ("bins", pa.binary()), ("cells", pa.binary())])
+
+
+def _rows_of_cells(found) -> pa.Table:
+    """Slots, features, chunks, bins and their cells (rows, weights, sums of targets and of squares) as a table."""
+    rows = [(slot, feature, chunk, bins.astype(np.int32).tobytes(), cells.tobytes()) for slot, feature, chunk, bins, cells in found]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _HISTOGRAM.types)], schema=_HISTOGRAM) if rows else _HISTOGRAM.empty_table()
+
+
+def _unpacked(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The slot, feature, bins and cells of each row."""
+    for slot, feature, (bins, cells) in zip(table["slot"].to_pylist(), table["feature"].to_pylist(), _arrays(table.to_batches(), ("bins", np.int32), ("cells", float))):
+        yield slot, feature, bins, cells.reshape(4, -1)
+
+
+def _together(found) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Each slot's bins and cells of each feature, added up."""
+    groups: dict[tuple[int, int], list] = {}
+    for slot, feature, bins, cells in found:
+        groups.setdefault((slot, feature), []).append((bins, cells))
+    for (slot, feature), several in sorted(groups.items()):
+        yield slot, feature, *_added(*map(list, zip(*several)))
+
+
+def _histogram(rows: DataFrame, walk: Walk, active: list[int], sizes: list[int], first: bool, widest: int) -> DataFrame:
+    """Rows, weights and sums of targets per active node, feature and bin, bins and their cells as bytes.
+
+    A task adds up the cells of narrow features; of others a block sends those it has. Where tasks may
+    share many of these, as of a wide feature by which rows do not lie, they are added up in chunks of bins.
+    """
+    slots = {place: slot for slot, place in enumerate(active)}
+    shared = [f for f, size in enumerate(sizes) if size > CHUNK and f != widest]
 
-def _histogram(rows: DataFrame, walk: Walk, active: list[int], sizes: list[int], first: bool) -> DataFrame:
-    """Rows, weights and sums of targets per active node, feature and bin."""
-    slots = np.full(len(walk.feature), -1)
-    slots[active] = np.arange(len(active))
+    def chunked(slot, feature, bins, cells):
+        if feature not in shared:
+            return [(slot, feature, 0, bins, cells)]
+        chunks = np.unique(bins // CHUNK)
+        edges = np.searchsorted(bins, [*(chunks * CHUNK), bins[-1] + 1])
+        return [(slot, feature, int(c), bins[i:j], cells[:, i:j]) for c, i, j in zip(chunks, edges[:-1], edges[1:])]
 
     def count(batches):
-        for bins, label, weight, margin in _blocks(batches):
-            slot = slots[walk.places(bins)]
-            keep = np.flatnonzero(slot >= 0)
-            bins, slot, label, weight, margin = bins[:, keep], slot[keep], label[keep], weight[keep], margin[keep]
-            sums = [weight, weight * (target := _targets(label, margin, first)), weight * target * target]
-            for feature, size in enumerate(sizes):
-                cell, names = slot * size + bins[feature], None
-                if len(active) * size > SPARSE * len(cell):
-                    names, cell = np.unique(cell, return_inverse=True)
-                n = np.bincount(cell)
-                some = np.flatnonzero(n)
-                found = [n[some], *(np.bincount(cell, x)[some] for x in sums)]
-                some = some if names is None else names[some]
-                columns = [(some // size).astype(np.int32), np.full(len(some), feature, np.int32), (some % size).astype(np.int32), *found]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["slot", "feature", "bin", "n", "w", "s", "q"])
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for bins, label, weight, margin in _blocks(batches, sizes):
+            target, found = _targets(label, margin, first), []
+            for place, here in walk.reached(bins):
+                if place not in slots or not len(here):
+                    continue
+                slot, t = slots[place], target[here]
+                w = weight[here] if len(weight) else None
+                parts = [t, t * t] if w is None else [w, w * t, w * t * t]
+                for feature, size in enumerate(sizes):
+                    at = bins[feature][here].astype(np.int64)
+                    if size > NARROW:
+                        names, cells = _cells(at, *parts)
+                        found += chunked(slot, feature, names, cells if w is not None else cells[[0, 0, 1, 2]])
+                        continue
+                    total = sums.setdefault((slot, feature), np.zeros((4, size)))
+                    n = np.bincount(at, minlength=size)
+                    total[0] += n
+                    total[1] += n if w is None else np.bincount(at, w, size)
+                    total[2] += np.bincount(at, parts[-2], size)
+                    total[3] += np.bincount(at, parts[-1], size)
+            if found:
+                yield from _rows_of_cells(found).to_batches()
+        some = {key: np.flatnonzero(total[0]) for key, total in sums.items()}
+        yield from _rows_of_cells((*key, 0, at, sums[key][:, at]) for key, at in some.items()).to_batches()
+
+    def merge(table):
+        return _rows_of_cells((slot, feature, 0, bins, cells) for slot, feature, bins, cells in _together(_unpacked(table)))
 
     counted = rows.mapInArrow(count, HISTOGRAM)
-    return counted.groupBy("slot", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "w", "s", "q")])
+    return counted.groupBy("feature", "chunk").applyInArrow(merge, HISTOGRAM) if shared else counted
 
 
 def _variance(w: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -210,16 +330,12 @@ def _variance(w: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _best_splits(histogram: DataFrame, categories: set[int], least: tuple[int, float, float]) -> DataFrame:
-    """The best split of each node by each feature that has one."""
+    """The best split of each node that has one, of equally good ones that by the first feature."""
     least_rows, least_weight, least_gain = least
-    fields = ("slot int32", "feature int32", "gain float64", "bins binary", "left", "right")
     kinds = [pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-    schema = pa.schema([(f.split()[0], t) for f, t in zip(fields, kinds)])
+    schema = pa.schema(list(zip(("slot", "feature", "gain", "bins", "left", "right"), kinds)))
 
-    def best(key, table):
-        slot, feature = (k.as_py() for k in key)
-        bins = table["bin"].to_numpy()
-        stats = np.stack([table[c].to_numpy().astype(float) for c in ("n", "w", "s", "q")])
+    def by(feature, bins, stats):
         order = np.lexsort((bins, stats[2] / stats[1])) if feature in categories else np.argsort(bins)
         bins, stats = bins[order], stats[:, order]
         total = stats.sum(axis=1)
@@ -230,29 +346,32 @@ def _best_splits(histogram: DataFrame, categories: set[int], least: tuple[int, f
             spread = (left[1] * _variance(*left[1:]) + right[1] * _variance(*right[1:])) / total[1]
         gain = np.where(allowed, _variance(*total[1:]) - spread, -np.inf)
         if not len(gain) or not gain.max() >= least_gain:
-            return schema.empty_table()
+            return None
         k = int(np.argmax(gain))
         chosen = bins[: k + 1] if feature in categories else bins[k : k + 1]
-        row = [slot, feature, float(gain[k]), chosen.astype(np.int32).tobytes(), left[:, k].tolist(), right[:, k].tolist()]
+        return feature, float(gain[k]), chosen.astype(np.int32).tobytes(), left[:, k].tolist(), right[:, k].tolist()
+
+    def best(table):
+        splits = [split for _, *cells in _together(_unpacked(table)) if (split := by(*cells))]
+        if not splits:
+            return schema.empty_table()
+        row = (table["slot"][0].as_py(), *min(splits, key=lambda split: (-split[1], split[0])))
         return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], schema=schema)
 
-    return histogram.groupBy("slot", "feature").applyInArrow(best, FOUND)
+    return histogram.groupBy("slot").applyInArrow(best, FOUND)
 
 
-def _grow(rows: DataFrame, sizes: list[int], categories: set[int], depth: int, least: tuple, first: bool) -> dict[int, Node]:
+def _grow(rows: DataFrame, sizes: list[int], categories: set[int], depth: int, least: tuple, first: bool, widest: int) -> dict[int, Node]:
     """One tree, a pass for each level; nodes by heap place."""
     tree: dict[int, Node] = {}
     active = [0]
-    for level in range(depth):
-        walk = Walk.of(tree, sizes, depth)
-        found: dict[int, list] = {}
-        for r in _best_splits(_histogram(rows, walk, active, sizes, first), categories, least).collect():
-            found.setdefault(active[r.slot], []).append(r)
+    for _ in range(depth):
+        histogram = _histogram(rows, Walk.of(tree, sizes), active, sizes, first, widest)
         following = []
-        for place, splits in found.items():
-            best = min(splits, key=lambda r: (-r.gain, r.feature))
+        for best in sorted(_best_splits(histogram, categories, least).collect(), key=lambda r: r.slot):
             if best.gain <= 0:
                 continue
+            place = active[best.slot]
             node = tree.setdefault(place, Node([a + b for a, b in zip(best.left, best.right)]))
             bins = np.frombuffer(best.bins, dtype=np.int32)
             node.gain, node.feature = best.gain, best.feature
@@ -265,20 +384,31 @@ def _grow(rows: DataFrame, sizes: list[int], categories: set[int], depth: int, l
         if not active:
             break
     if not tree:
-        whole = _histogram(rows, Walk.of(tree, sizes, depth), [0], sizes, first).where("feature = 0")
-        tree[0] = Node([float(x) for x in whole.agg(*[F.sum(c) for c in ("n", "w", "s", "q")]).first()])
+        tree[0] = Node(_sums(rows, sizes, first))
     return tree
 
 
-def _moved(rows: DataFrame, tree: dict[int, Node], weight: float, sizes: list[int], depth: int) -> DataFrame:
+def _sums(rows: DataFrame, sizes: list[int], first: bool) -> list[float]:
+    """Rows, weight and sums of targets of all rows."""
+
+    def add(batches):
+        for _, label, weight, margin in _blocks(batches, sizes):
+            t, w = _targets(label, margin, first), weight if len(weight) else np.ones(len(label))
+            yield pa.RecordBatch.from_pydict({"n": [float(len(t))], "w": [w.sum()], "s": [(w * t).sum()], "q": [(w * t * t).sum()]})
+
+    return list(rows.mapInArrow(add, "n double, w double, s double, q double").agg(*[F.sum(c) for c in "nwsq"]).first())
+
+
+def _moved(rows: DataFrame, tree: dict[int, Node], weight: float, sizes: list[int]) -> DataFrame:
     """``rows`` with a tree's predictions added to the margins."""
-    walk, values = Walk.of(tree, sizes, depth), np.zeros(2 ** (depth + 1) - 1)
-    for place, node in tree.items():
-        values[place] = node.prediction
+    walk, values = Walk.of(tree, sizes), {place: weight * node.prediction for place, node in tree.items()}
 
     def add(batches):
-        blocks = _blocks(batches)
-        yield from _packed((bins, label, w, margin + weight * values[walk.places(bins)]) for bins, label, w, margin in blocks)
+        for bins, label, w, margin in _blocks(batches, sizes):
+            moved = margin.copy()
+            for place, here in walk.reached(bins):
+                moved[here] += values[place]
+            yield from _packed([_bytes(bins, label, w, moved)])
 
     return rows.mapInArrow(add, BLOCK)
 
@@ -377,18 +507,26 @@ def boost(df: DataFrame, estimator: GBTClassifier, categories: dict[int, int]) -
     spark = df.sparkSession
     weighted = estimator.isDefined("weightCol")
     weight = F.col(estimator.getWeightCol()).cast("double") if weighted else F.lit(1.0)
-    source = df.select(vector_to_array("features").alias("x"), F.col(estimator.getLabelCol()).alias("label"), weight.alias("weight"))
-    width, count, total = source.agg(F.max(F.size("x")), F.count(F.lit(1)), F.sum("weight")).first()
-    bins = min(estimator.getMaxBins(), count)
-    cuts = _thresholds(source, [k for k in range(width) if k not in categories], bins)
+    chosen = df.select(vector_to_array("features").alias("x"), F.col(estimator.getLabelCol()).alias("label"), weight.alias("weight"))
+    source, read = _written(_source(chosen, weighted))
+    width = chosen.select(F.size("x")).first()[0]
+    widest = max(categories, key=categories.get)
+    continuous = [k for k in range(width) if k not in categories]
+    counts = settled(_counts(source, [*continuous, widest]))
+    of_widest = counts.where(F.col("feature") == widest).select("value", "n", "weight").toArrow()
+    before = np.zeros(categories[widest] + 1, dtype=np.int64)
+    before[of_widest["value"].to_numpy().astype(np.int64) + 1] = of_widest["n"].to_numpy()
+    before = np.cumsum(before)
+    cuts = _thresholds(counts, continuous, min(estimator.getMaxBins(), int(before[-1])))
     sizes = [categories.get(k) or len(cuts[k]) + 1 for k in range(width)]
-    depth = estimator.getMaxDepth()
+    depth, total = estimator.getMaxDepth(), float(np.sum(of_widest["weight"].to_numpy()))
     least = (estimator.getMinInstancesPerNode(), estimator.getMinWeightFractionPerNode() * total, estimator.getMinInfoGain())
-    rows, path = _written(_clustered(_binned(source, cuts, width), sizes))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, path = _written(_clustered(source, cuts, sizes, widest, before, parts), read)
     trees, weights = [], []
     for k in range(estimator.getMaxIter()):
-        tree = _grow(rows, sizes, set(categories), depth, least, first=not k)
+        tree = _grow(rows, sizes, set(categories), depth, least, first=not k, widest=widest)
         trees.append(_preorder(tree, cuts, sizes))
         weights.append(estimator.getStepSize() if k else 1.0)
-        rows, path = _written(_moved(rows, tree, weights[-1], sizes, depth), path)
+        rows, path = _written(_moved(rows, tree, weights[-1], sizes), path)
     return _model(spark, estimator, trees, weights, width)

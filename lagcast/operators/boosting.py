@@ -495,7 +495,9 @@ def _model(spark: SparkSession, estimator: GBTClassifier, trees: list[list[dict]
         numbers, nodes = zip(*run)
         table = pa.table({"treeID": pa.array(numbers, pa.int32()), "nodeData": pa.array(nodes, _NODE)})
         spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(f"{path}/data")
-    return GBTClassificationModel.load(path)
+    model = GBTClassificationModel.load(path)
+    model.stored_at = path  # scoring reads the trees from there
+    return model
 
 
 def boost(df: DataFrame, estimator: GBTClassifier, categories: dict[int, int]) -> GBTClassificationModel:

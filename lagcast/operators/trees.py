@@ -2,13 +2,14 @@
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import StringIndexerModel
+from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagcast import fixed
 from lagcast.operators.boosting import boost, fits
 from lagcast.operators.features import assemble, index, indexer_of, one_hot
+from lagcast.operators.scoring import scored, scores
 from lagcast.session import shared_dir
 
 # Statistics memory per pass: more nodes are split per pass over the data.
@@ -101,8 +102,14 @@ def _category_sizes(indexer: StringIndexerModel, layout: str) -> dict[int, int]:
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """A table with raw score, class probabilities and predicted class added."""
-    return model.transform(df)
+    """A table with raw score, class probabilities and predicted class added.
+
+    Boosted trees with a category of more than ``WIDE_CATEGORY`` values are walked by ``scoring``.
+    """
+    *before, trees = model.stages
+    if not scores(trees) or any(isinstance(s, OneHotEncoderModel) for s in before) or _widest(model) <= WIDE_CATEGORY:
+        return model.transform(df)
+    return scored(trees, PipelineModel(before).transform(df))
 
 
 def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:

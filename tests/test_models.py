@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,57 @@ def test_wide_categories_grow_mllib_s_trees(spark, monkeypatch, recipe, rounds,
     assert apart[0] == 8_000 and apart[1] < 1e-9
 
 
+def _wide_rows(spark, n):
+    rng = random.Random(7)
+    data = [
+        (k, f"O{k % 3}", f"D{rng.randint(0, 60)}", f"C{k % 5}", *[float(rng.randint(0, 9)) for _ in LAYOUTS["L3"][3:]], float(rng.random() < 0.2 + k % 3 / 5))
+        for k in range(n)
+    ]
+    return spark.createDataFrame(data, ("k", "Origin", "Dest", "Carrier", *LAYOUTS["L3"][3:], "Label")).repartition(3).cache()
+
+
+def test_wide_models_score_without_trees_in_the_code_of_tasks(spark, monkeypatch, tmp_path):
+    rows = _wide_rows(spark, 4_000)
+    model = fit_recipe(rows, RECIPES["route"].sized(4))
+    asked = rows.withColumn("Dest", F.when(F.col("k") % 5 == 0, "elsewhere").otherwise(F.col("Dest")))
+    names = ("rawPrediction", "probability", "prediction")
+    old = score(model, asked)
+    assert score(model, asked).schema == model.transform(asked).schema
+    monkeypatch.setattr(trees, "WIDE_CATEGORY", 2)
+    model.save(str(tmp_path / "m"))
+    for wide in (model, load_model(str(tmp_path / "m"))):
+        new = score(wide, asked)
+        assert "margin" in new._jdf.queryExecution().toString() and "margin" not in old._jdf.queryExecution().toString()
+        assert [(f.name, f.dataType, f.metadata) for f in new.schema] == [(f.name, f.dataType, f.metadata) for f in old.schema]
+        one, two = ({r.k: r for r in df.select("k", *names).collect()} for df in (old, new))
+        assert len(two) == 4_000 and all(two[k].prediction == one[k].prediction for k in one)
+        for k in one:
+            assert list(two[k].rawPrediction) == pytest.approx(list(one[k].rawPrediction), abs=1e-12)
+            assert list(two[k].probability) == pytest.approx(list(one[k].probability), abs=1e-12)
+
+
+def test_cells_of_features_that_tasks_share_are_added_up(spark, monkeypatch):
+    rows = _wide_rows(spark, 3_000)
+    monkeypatch.setattr(trees, "WIDE_CATEGORY", 2)
+    one = fit_recipe(rows, RECIPES["balanced"].sized(2), depth=3).stages[-1]
+    monkeypatch.setattr(boosting, "NARROW", 1)
+    monkeypatch.setattr(boosting, "CHUNK", 2)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    two = fit_recipe(rows, RECIPES["balanced"].sized(2), depth=3).stages[-1]
+    told = [[line for line in m.toDebugString.splitlines() if "feature" in line] for m in (one, two)]
+    assert len(told[0]) > 10 and told[0][1:] == told[1][1:]
+
+
+def test_a_task_sends_few_rows_of_cells(spark, tmp_path):
+    def block(batches):
+        bins = [np.arange(1_000, dtype=k) for k in (np.uint16, np.uint16)]
+        yield from boosting._packed([boosting._bytes(bins, np.ones(1_000, np.int8), np.zeros(0), np.zeros(1_000))])
+
+    rows = spark.range(1, numPartitions=1).mapInArrow(block, boosting.BLOCK)
+    got = boosting._histogram(rows, boosting.Walk({}), [0], [1_000, 1_000], True, 0).collect()
+    assert len(got) == 2 and all(len(r.bins) == 4_000 and len(r.cells) == 32_000 for r in got)
+
+
 def test_trees_are_written_many_at_a_time(monkeypatch):
     monkeypatch.setattr(boosting, "STORED_VALUES", 10)
     made = [[{"id": i, "split": {"leftCategoriesOrThreshold": [0.0] * n}} for i in range(3)] for n in (1, 2, 1, 5, 0, 3)]

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from lagcast.session import scratch_path
 
+NODE = "tree int, id int, prediction double, one int, other int, feature int, threshold double, bits binary"
+
 
 @dataclass
 class Tree:
@@ -62,32 +64,37 @@ def _bits(left: np.ndarray, values: int) -> np.ndarray:
     return np.packbits(goes)
 
 
+def _narrowed(batches):
+    """Stored nodes with a threshold or, of a category, bits: what is left to send to the driver."""
+    for batch in batches:
+        said = batch.column(batch.num_columns - 1)
+        tree, number, prediction, one, other, feature, values = (batch.column(k) for k in range(7))
+        splits = [said[k].values.to_numpy(zero_copy_only=False) if c.as_py() >= 0 else None for k, c in enumerate(one)]
+        wide = [n.as_py() >= 0 for n in values]
+        cut = [float(x[0]) if x is not None and not w else 0.0 for x, w in zip(splits, wide)]
+        bits = [_bits(x, n.as_py()).tobytes() if x is not None and w else None for x, w, n in zip(splits, wide, values)]
+        columns = [tree, number, prediction, one, other, feature, pa.array(cut, pa.float64()), pa.array(bits, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in NODE.split(", ")])
+
+
 def _trees(spark: SparkSession, model: GBTClassificationModel) -> list[Tree]:
     """The trees of a model, from the form in which MLlib stores it."""
     path = getattr(model, "stored_at", None)
     if path is None:
         path = scratch_path(spark, "scored-model")
         model.save(path)
-    names = ("id", "prediction", "leftChild", "rightChild", "split")
-    stored = spark.read.parquet(f"{path}/data").select("treeID", *[F.col(f"nodeData.{n}").alias(n) for n in names])
+    names = ("id", "prediction", "leftChild", "rightChild", "split.featureIndex", "split.numCategories", "split.leftCategoriesOrThreshold")
+    stored = spark.read.parquet(f"{path}/data").select("treeID", *[F.col(f"nodeData.{n}") for n in names])
     found: dict[int, list] = {}
-    for batch in stored.select("treeID", *names[:-1], "split.*").toArrow().to_batches():
-        lists = batch.column(batch.schema.get_field_index("leftCategoriesOrThreshold"))
-        others = batch.drop_columns(["leftCategoriesOrThreshold"]).to_pylist()
-        for k, node in enumerate(others):
-            found.setdefault(node["treeID"], []).append((node, lists[k].values.to_numpy(zero_copy_only=False)))
+    for node in stored.mapInArrow(_narrowed, NODE).toArrow().to_pylist():
+        found.setdefault(node["tree"], []).append(node)
     trees = []
     for number, weight in enumerate(model.treeWeights):
-        nodes = sorted(found[number], key=lambda n: n[0]["id"])
-        wide = {n["id"]: _bits(said, n["numCategories"]) for n, said in nodes if n["leftChild"] >= 0 and n["numCategories"] >= 0}
-        trees.append(Tree(
-            weight,
-            np.array([n["prediction"] for n, _ in nodes]),
-            np.array([(n["leftChild"], n["rightChild"]) for n, _ in nodes]),
-            np.array([n["featureIndex"] for n, _ in nodes]),
-            np.array([said[0] if n["leftChild"] >= 0 and n["numCategories"] < 0 else 0.0 for n, said in nodes]),
-            wide,
-        ))
+        nodes = sorted(found[number], key=lambda n: n["id"])
+        columns = {c: np.array([n[c] for n in nodes]) for c in ("prediction", "feature", "threshold")}
+        children = np.array([(n["one"], n["other"]) for n in nodes])
+        left = {n["id"]: np.frombuffer(n["bits"], dtype=np.uint8) for n in nodes if n["bits"] is not None}
+        trees.append(Tree(weight, children=children, left=left, **columns))
     return trees
 
 

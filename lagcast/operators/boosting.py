@@ -4,17 +4,17 @@ MLlib looks up the values of a category, sorted by their mean, by place in a lin
 its work for a node grows with the square of the values (0.5 s at 15,000, and each round
 has 31 nodes). Here each level of a tree is one pass that sums rows per node, feature and
 bin, and each feature of a node is searched by running sums. Bins, order of categories,
-gains, leaves and weights of rounds are MLlib's, so are the trees up to rounding, and what
-comes out is MLlib's model.
+gains, leaves and weights of rounds are MLlib's, so are the trees up to rounding. What a task
+holds does not grow with the rows, and the driver keeps a bit for each value a node may name.
 """
 
-import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,16 +22,19 @@ from pyspark.sql import functions as F
 from lagcast.session import scratch_path, settled
 
 BLOCK_ROWS = 100_000  # that lie and are worked on together
-SORTED_BLOCKS = 20  # that are put in order at a time
+SORTED_BLOCKS = 5  # that are put in order at a time: what a partition has at most
 SOURCE = "x binary, label binary, weight binary"
 BLOCK = "bins binary, label binary, weight binary, margin binary"
 COUNTS = "feature int, value double, n long, weight double"
-STORED_VALUES = 1 << 20  # values of categories that nodes name in one write of a model's trees
+STORED_VALUES = 1 << 20  # values of categories that nodes of a model name in one batch of its writing
 SPARSE = 8  # cells for each row from which only those that occur are counted
 NARROW = 4_096  # bins of a feature up to which a task adds its blocks up
 CHUNK = 1 << 16  # bins of a feature that are added up together where tasks have many cells in common
 EPSILON = np.finfo(float).eps  # impurity below which a node is pure
 HISTOGRAM = "slot int, feature int, chunk int, bins binary, cells binary"
+# A row is megabytes long: Parquet is to look at each, not at every hundredth, whether a page or a group of rows is full.
+LONG_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+BATCH_BYTES = "16m"  # of such rows that are sent to Python together
 FOUND = "slot int, feature int, gain double, bins binary, left array<double>, right array<double>"
 
 
@@ -54,16 +57,83 @@ class Node:
         return (q - s * s / w) / w
 
 
+def bits(left: np.ndarray, values: int) -> np.ndarray:
+    """A bit for each value, 1 for those in ``left``."""
+    goes = np.zeros(values, dtype=bool)
+    goes[left.astype(np.int64)] = True
+    return np.packbits(goes)
+
+
+def among(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the bits of values are set."""
+    return (table[values >> 3] >> (7 - (values & 7)) & 1).astype(bool)
+
+
+@dataclass
+class Tree:
+    """A grown tree: its weight, and its nodes by number."""
+
+    weight: float
+    prediction: np.ndarray
+    impurity: np.ndarray
+    stats: np.ndarray  # weight, sum and sum of squares of the targets
+    count: np.ndarray
+    gain: np.ndarray
+    children: np.ndarray  # left and right, -1 at a leaf
+    feature: np.ndarray
+    threshold: np.ndarray
+    values: np.ndarray  # of a category, -1 at other nodes
+    left: dict[int, np.ndarray]  # of nodes that split a category, bits: the values that go left; the last for unseen ones
+
+    @classmethod
+    def of(cls, weight: float, nodes: list[dict]) -> "Tree":
+        nodes = sorted(nodes, key=lambda n: n["id"])
+        columns = {c: np.array([n[c] for n in nodes]) for c in ("prediction", "impurity", "stats", "count", "gain", "feature", "threshold", "values")}
+        left = {n["id"]: np.frombuffer(n["bits"], dtype=np.uint8) for n in nodes if n["bits"] is not None}
+        return cls(weight, children=np.array([(n["one"], n["other"]) for n in nodes]), left=left, **columns)
+
+    def nodes(self) -> Iterator[dict]:
+        """The nodes in the form in which MLlib stores them."""
+        for k, (one, other) in enumerate(self.children.tolist()):
+            values = int(self.values[k])
+            named = np.flatnonzero(np.unpackbits(self.left[k], count=values)).astype(float) if k in self.left else [self.threshold[k]] if one >= 0 else []
+            yield {
+                "id": k, "prediction": self.prediction[k], "impurity": self.impurity[k], "impurityStats": self.stats[k], "rawCount": self.count[k],
+                "gain": self.gain[k], "leftChild": one, "rightChild": other,
+                "split": {"featureIndex": self.feature[k], "leftCategoriesOrThreshold": named, "numCategories": values},
+            }
+
+    def add(self, x: np.ndarray, margin: np.ndarray) -> None:
+        """Adds the weighted predictions for rows (columns of ``x``) to their margins."""
+        ahead = [(0, np.arange(len(margin)))]
+        while ahead:
+            node, rows = ahead.pop()
+            if self.children[node, 0] < 0:
+                margin[rows] += self.weight * self.prediction[node]
+            elif len(rows):
+                value = x[self.feature[node]][rows]
+                left = among(self.left[node], value.astype(np.int64)) if node in self.left else value <= self.threshold[node]
+                ahead += [(self.children[node, 0], rows[left]), (self.children[node, 1], rows[~left])]
+
+
+def left_bits(left: np.ndarray, values: int) -> bytes:
+    """The bits of a node's values; the last is for unseen ones, which go where values are not named.
+
+    MLlib names the side with fewer values.
+    """
+    return bits(np.append(left, values) if len(left) > values // 2 else left, values + 1).tobytes()
+
+
 @dataclass
 class Walk:
-    """The splits of a tree by heap place, as tasks look them up: feature, and which of its bins go left."""
+    """The splits of a tree by heap place, as tasks look them up: feature, and a bit for each bin, 1 to go left."""
 
     splits: dict[int, tuple[int, np.ndarray]]
 
     @classmethod
     def of(cls, tree: dict[int, Node], sizes: list[int]) -> "Walk":
         inner = {place: node for place, node in tree.items() if node.feature >= 0}
-        return cls({p: (n.feature, np.isin(np.arange(sizes[n.feature]), n.left_bins)) for p, n in inner.items()})
+        return cls({p: (n.feature, bits(n.left_bins, sizes[n.feature])) for p, n in inner.items()})
 
     def reached(self, bins: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         """The heap places that rows end at, each with its rows; ``bins`` has an array for each feature."""
@@ -74,7 +144,7 @@ class Walk:
                 yield place, rows
                 continue
             feature, table = self.splits[place]
-            left = table[bins[feature][rows]]
+            left = among(table, bins[feature][rows])
             ahead += [(2 * place + 1, rows[left]), (2 * place + 2, rows[~left])]
 
 
@@ -417,15 +487,15 @@ def _written(rows: DataFrame, old: str | None = None) -> tuple[DataFrame, str]:
     """Rows on shared storage, in place of the ones of the round before."""
     spark = rows.sparkSession
     path = scratch_path(spark, "boosted")
-    rows.write.parquet(path)
+    rows.write.options(**LONG_ROWS).parquet(path)
     if old is not None:
         gone = spark._jvm.org.apache.hadoop.fs.Path(old)
         gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return spark.read.schema(rows.schema).parquet(path), path
 
 
-def _preorder(tree: dict[int, Node], cuts: dict[int, np.ndarray], sizes: list[int]) -> list[dict]:
-    """Nodes in the form MLlib stores; two leaves that say the same become one."""
+def _preorder(tree: dict[int, Node], cuts: dict[int, np.ndarray], sizes: list[int], weight: float) -> Tree:
+    """Nodes in the order of MLlib's; two leaves that say the same become one."""
 
     def same(place: int) -> float | None:
         node = tree[place]
@@ -438,34 +508,32 @@ def _preorder(tree: dict[int, Node], cuts: dict[int, np.ndarray], sizes: list[in
 
     def visit(place: int) -> int:
         node, said = tree[place], same(place)
-        n, w, s, q = node.stats
         row = {
-            "id": len(out), "prediction": node.prediction if said is None else said, "impurity": max(node.impurity, 0.0),
-            "impurityStats": [w, s, q], "rawCount": int(n), "gain": -1.0, "leftChild": -1, "rightChild": -1,
-            "split": {"featureIndex": -1, "leftCategoriesOrThreshold": [], "numCategories": -1},
+            "id": len(out), "prediction": node.prediction if said is None else said, "impurity": max(node.impurity, 0.0), "stats": node.stats[1:],
+            "count": int(node.stats[0]), "gain": -1.0, "one": -1, "other": -1, "feature": -1, "threshold": 0.0, "values": -1, "bits": None,
         }
         out.append(row)
         if said is None:
             at = node.feature
-            where = [float(cuts[at][len(node.left_bins) - 1])] if at in cuts else node.left_bins.astype(float)
-            row["split"] = {"featureIndex": at, "leftCategoriesOrThreshold": where, "numCategories": -1 if at in cuts else sizes[at]}
-            row["gain"], row["leftChild"] = node.gain, visit(2 * place + 1)
-            row["rightChild"] = visit(2 * place + 2)
+            split = {"threshold": float(cuts[at][len(node.left_bins) - 1])} if at in cuts else {"values": sizes[at], "bits": left_bits(node.left_bins, sizes[at])}
+            row |= {"gain": node.gain, "feature": at, **split}
+            row["one"] = visit(2 * place + 1)
+            row["other"] = visit(2 * place + 2)
         return row["id"]
 
     visit(0)
-    return out
+    return Tree.of(weight, out)
 
 
-_SPLIT = pa.struct([("featureIndex", pa.int32()), ("leftCategoriesOrThreshold", pa.list_(pa.float64())), ("numCategories", pa.int32())])
-_NODE = pa.struct([
+SPLIT = pa.struct([("featureIndex", pa.int32()), ("leftCategoriesOrThreshold", pa.list_(pa.float64())), ("numCategories", pa.int32())])
+NODE = pa.struct([
     ("id", pa.int32()), ("prediction", pa.float64()), ("impurity", pa.float64()), ("impurityStats", pa.list_(pa.float64())),
-    ("rawCount", pa.int64()), ("gain", pa.float64()), ("leftChild", pa.int32()), ("rightChild", pa.int32()), ("split", _SPLIT),
+    ("rawCount", pa.int64()), ("gain", pa.float64()), ("leftChild", pa.int32()), ("rightChild", pa.int32()), ("split", SPLIT),
 ])
 
 
-def _runs(trees: list[list[dict]]) -> Iterator[list[tuple[int, dict]]]:
-    """The nodes with the numbers of their trees, so many whole trees at a time as name ``STORED_VALUES`` or one."""
+def _runs(trees: Iterable[list[dict]]) -> Iterator[list[tuple[int, dict]]]:
+    """The nodes of lists with the lists' numbers, so many whole lists at a time as name ``STORED_VALUES`` or one."""
     run, values = [], 0
     for k, nodes in enumerate(trees):
         more = sum(len(n["split"]["leftCategoriesOrThreshold"]) for n in nodes)
@@ -477,35 +545,37 @@ def _runs(trees: list[list[dict]]) -> Iterator[list[tuple[int, dict]]]:
     yield run
 
 
-def _model(spark: SparkSession, estimator: GBTClassifier, trees: list[list[dict]], weights: list[float], width: int) -> GBTClassificationModel:
-    """MLlib's model of these trees, by way of the form in which it stores models."""
-    path = scratch_path(spark, "boosted-model")
+def stored_nodes(tree: Tree) -> Iterator[pa.StructArray]:
+    """A tree as MLlib stores it, a few nodes at a time: wide categories make long lists."""
+    for run in _runs([node] for node in tree.nodes()):
+        yield pa.array([node for _, node in run], NODE)
+
 
-    def described(kind: str, uid: str, params: dict, defaults: dict, **more) -> str:
-        said = {"class": f"org.apache.spark.ml.{kind}", "timestamp": 0, "sparkVersion": spark.version, "uid": uid}
-        return json.dumps(said | {"paramMap": params, "defaultParamMap": defaults} | more)
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Batches of long rows stay small: Spark's bound is 64 MB for each task, and twice that while a batch grows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    params, defaults = ({p.name: v for p, v in m.items()} for m in (estimator._paramMap, estimator._defaultParamMap))
-    said = described("classification.GBTClassificationModel", estimator.uid, params, defaults, numFeatures=width, numTrees=len(trees))
-    spark.createDataFrame([(said,)], "value string").coalesce(1).write.text(f"{path}/metadata")
-    kind = "regression.DecisionTreeRegressionModel"
-    rows = [(k, described(kind, f"{estimator.uid}_{k}", {}, {}), w) for k, w in enumerate(weights)]
-    spark.createDataFrame(rows, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
-    for run in _runs(trees):  # wide categories make long lists
-        numbers, nodes = zip(*run)
-        table = pa.table({"treeID": pa.array(numbers, pa.int32()), "nodeData": pa.array(nodes, _NODE)})
-        spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(f"{path}/data")
-    model = GBTClassificationModel.load(path)
-    model.stored_at = path  # scoring reads the trees from there
-    return model
 
+def boost(df: DataFrame, estimator: GBTClassifier, categories: dict[int, int]) -> tuple[list[Tree], int]:
+    """The trees of ``estimator`` for the assembled ``df``, and how many features these have.
 
-def boost(df: DataFrame, estimator: GBTClassifier, categories: dict[int, int]) -> GBTClassificationModel:
-    """The model of ``estimator`` for the assembled ``df``; ``categories`` has the values of each indexed feature.
+    ``categories`` has the values of each indexed feature.
 
     Rows with their bins and margins lie in blocks on shared storage and are rewritten each round, so a
     lost executor undoes nothing. The driver gets the best split of each node and feature.
     """
+    with _small_batches(df.sparkSession):
+        return _boost(df, estimator, categories)
+
+
+def _boost(df: DataFrame, estimator: GBTClassifier, categories: dict[int, int]) -> tuple[list[Tree], int]:
     spark = df.sparkSession
     weighted = estimator.isDefined("weightCol")
     weight = F.col(estimator.getWeightCol()).cast("double") if weighted else F.lit(1.0)
@@ -523,12 +593,11 @@ def boost(df: DataFrame, estimator: GBTClassifier, categories: dict[int, int]) -
     sizes = [categories.get(k) or len(cuts[k]) + 1 for k in range(width)]
     depth, total = estimator.getMaxDepth(), float(np.sum(of_widest["weight"].to_numpy()))
     least = (estimator.getMinInstancesPerNode(), estimator.getMinWeightFractionPerNode() * total, estimator.getMinInfoGain())
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(before[-1]) // (SORTED_BLOCKS * BLOCK_ROWS)))
     rows, path = _written(_clustered(source, cuts, sizes, widest, before, parts), read)
-    trees, weights = [], []
+    trees = []
     for k in range(estimator.getMaxIter()):
-        tree = _grow(rows, sizes, set(categories), depth, least, first=not k, widest=widest)
-        trees.append(_preorder(tree, cuts, sizes))
-        weights.append(estimator.getStepSize() if k else 1.0)
-        rows, path = _written(_moved(rows, tree, weights[-1], sizes), path)
-    return _model(spark, estimator, trees, weights, width)
+        tree, weight = _grow(rows, sizes, set(categories), depth, least, first=not k, widest=widest), estimator.getStepSize() if k else 1.0
+        trees.append(_preorder(tree, cuts, sizes, weight))
+        rows, path = _written(_moved(rows, tree, weight, sizes), path)
+    return trees, width

@@ -6,46 +6,20 @@ of rows walk them together. Columns, their metadata and their values are MLlib's
 up to the order in which the trees' predictions are added.
 """
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagcast.operators.wide_model import WideModel, read_trees
 from lagcast.session import scratch_path
 
-NODE = "tree int, id int, prediction double, one int, other int, feature int, threshold double, bits binary"
-
-
-@dataclass
-class Tree:
-    """One tree: its weight, and its nodes by number."""
-
-    weight: float
-    prediction: np.ndarray
-    children: np.ndarray  # left and right, -1 at a leaf
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: dict[int, np.ndarray]  # the bits of values that go left, of nodes that split a category
-
-    def add(self, x: np.ndarray, margin: np.ndarray) -> None:
-        """Adds the weighted predictions for rows (columns of ``x``) to their margins."""
-        ahead = [(0, np.arange(len(margin)))]
-        while ahead:
-            node, rows = ahead.pop()
-            if self.children[node, 0] < 0:
-                margin[rows] += self.weight * self.prediction[node]
-            elif len(rows):
-                value = x[self.feature[node]][rows]
-                if node in self.left:
-                    at = value.astype(np.int64)
-                    left = (self.left[node][at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
-                else:
-                    left = value <= self.threshold[node]
-                ahead += [(self.children[node, 0], rows[left]), (self.children[node, 1], rows[~left])]
+# What MLlib says of the columns of two classes.
+_OF_CLASSES = {"ml_attr": {"num_attrs": 2}}
+_OF_CLASS = {"ml_attr": {"num_vals": 2, "type": "nominal"}}
 
 
 def scores(model) -> bool:
@@ -53,56 +27,20 @@ def scores(model) -> bool:
     return isinstance(model, GBTClassificationModel) and not model.isDefined("thresholds") and not model.getLeafCol()
 
 
-def _bits(left: np.ndarray, values: int) -> np.ndarray:
-    """A bit for each value, 1 to go left; the last is for unseen ones, which go where values are not named.
-
-    MLlib names the side with fewer values.
-    """
-    goes = np.zeros(values + 1, dtype=bool)
-    goes[left.astype(np.int64)] = True
-    goes[values] = len(left) > values // 2
-    return np.packbits(goes)
-
-
-def _narrowed(batches):
-    """Stored nodes with a threshold or, of a category, bits: what is left to send to the driver."""
-    for batch in batches:
-        said = batch.column(batch.num_columns - 1)
-        tree, number, prediction, one, other, feature, values = (batch.column(k) for k in range(7))
-        splits = [said[k].values.to_numpy(zero_copy_only=False) if c.as_py() >= 0 else None for k, c in enumerate(one)]
-        wide = [n.as_py() >= 0 for n in values]
-        cut = [float(x[0]) if x is not None and not w else 0.0 for x, w in zip(splits, wide)]
-        bits = [_bits(x, n.as_py()).tobytes() if x is not None and w else None for x, w, n in zip(splits, wide, values)]
-        columns = [tree, number, prediction, one, other, feature, pa.array(cut, pa.float64()), pa.array(bits, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in NODE.split(", ")])
-
-
-def _trees(spark: SparkSession, model: GBTClassificationModel) -> list[Tree]:
-    """The trees of a model, from the form in which MLlib stores it."""
-    path = getattr(model, "stored_at", None)
-    if path is None:
+def _sent(spark: SparkSession, model: GBTClassificationModel) -> Broadcast:
+    """The trees of a model, broadcast once; those of MLlib's own are read from the form in which it stores them."""
+    if isinstance(model, WideModel):
+        return model.sent()
+    if not hasattr(model, "walked"):
         path = scratch_path(spark, "scored-model")
         model.save(path)
-    names = ("id", "prediction", "leftChild", "rightChild", "split.featureIndex", "split.numCategories", "split.leftCategoriesOrThreshold")
-    stored = spark.read.parquet(f"{path}/data").select("treeID", *[F.col(f"nodeData.{n}") for n in names])
-    found: dict[int, list] = {}
-    for node in stored.mapInArrow(_narrowed, NODE).toArrow().to_pylist():
-        found.setdefault(node["tree"], []).append(node)
-    trees = []
-    for number, weight in enumerate(model.treeWeights):
-        nodes = sorted(found[number], key=lambda n: n["id"])
-        columns = {c: np.array([n[c] for n in nodes]) for c in ("prediction", "feature", "threshold")}
-        children = np.array([(n["one"], n["other"]) for n in nodes])
-        left = {n["id"]: np.frombuffer(n["bits"], dtype=np.uint8) for n in nodes if n["bits"] is not None}
-        trees.append(Tree(weight, children=children, left=left, **columns))
-    return trees
+        model.walked = spark.sparkContext.broadcast(read_trees(spark, path))
+    return model.walked
 
 
 def _margin(spark: SparkSession, model: GBTClassificationModel) -> Column:
-    """The margin of a row's features; the trees are read and broadcast once for a model."""
-    if not hasattr(model, "walked"):
-        model.walked = spark.sparkContext.broadcast(_trees(spark, model))
-    walked = model.walked
+    """The margin of a row's features."""
+    walked = _sent(spark, model)
 
     @F.arrow_udf("double")
     def margin(x: pa.Array) -> pa.Array:
@@ -117,13 +55,12 @@ def _margin(spark: SparkSession, model: GBTClassificationModel) -> Column:
 
 def scored(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
     """What ``model.transform`` adds to an assembled table: raw score, class probabilities and predicted class."""
-    like = model.transform(df).schema
     m = F.col("_margin")
     on_time = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(2.0) * m))
     added = {
-        model.getRawPredictionCol(): array_to_vector(F.array(-m, m)),
-        model.getProbabilityCol(): array_to_vector(F.array(on_time, F.lit(1.0) - on_time)),
-        model.getPredictionCol(): F.when(m > 0.0, 1.0).otherwise(0.0),
+        model.getRawPredictionCol(): (array_to_vector(F.array(-m, m)), _OF_CLASSES),
+        model.getProbabilityCol(): (array_to_vector(F.array(on_time, F.lit(1.0) - on_time)), _OF_CLASSES),
+        model.getPredictionCol(): (F.when(m > 0.0, 1.0).otherwise(0.0), _OF_CLASS),
     }
     with_margin = df.withColumn("_margin", _margin(df.sparkSession, model))
-    return with_margin.select(*df.columns, *[c.alias(n, metadata=like[n].metadata) for n, c in added.items()])
+    return with_margin.select(*df.columns, *[c.alias(n, metadata=said) for n, (c, said) in added.items()])

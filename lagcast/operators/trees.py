@@ -10,6 +10,7 @@ from lagcast import fixed
 from lagcast.operators.boosting import boost, fits
 from lagcast.operators.features import assemble, index, indexer_of, one_hot
 from lagcast.operators.scoring import scored, scores
+from lagcast.operators.wide_model import WideModel, load_pipeline
 from lagcast.session import shared_dir
 
 # Statistics memory per pass: more nodes are split per pass over the data.
@@ -90,7 +91,7 @@ def fit(df: DataFrame, categories: tuple[str, ...], layout: str, estimator, inva
     weight = [estimator.getWeightCol()] if estimator.isDefined("weightCol") else []
     assembled = current.select("features", "Label", *weight)
     wide = not indicators and widest > WIDE_CATEGORY and fits(estimator)
-    stages.append(boost(assembled, estimator, _category_sizes(stages[0], layout)) if wide else estimator.fit(assembled))
+    stages.append(WideModel.of(estimator, *boost(assembled, estimator, _category_sizes(stages[0], layout))) if wide else estimator.fit(assembled))
     return PipelineModel(stages)
 
 
@@ -101,20 +102,30 @@ def _category_sizes(indexer: StringIndexerModel, layout: str) -> dict[int, int]:
     return {k: indexed[c] for k, c in enumerate(fixed.LAYOUTS[layout]) if c in indexed}
 
 
+def _wide(before: list) -> bool:
+    """Whether boosted trees after these fitted stages have a category of more than ``WIDE_CATEGORY`` values."""
+    return not any(isinstance(s, OneHotEncoderModel) for s in before) and _widest(PipelineModel(before)) > WIDE_CATEGORY
+
+
+def load(spark: SparkSession, path: str) -> PipelineModel:
+    """A stored pipeline; boosted trees with wide categories are read as bits."""
+    return load_pipeline(spark, path, _wide)
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """A table with raw score, class probabilities and predicted class added.
 
     Boosted trees with a category of more than ``WIDE_CATEGORY`` values are walked by ``scoring``.
     """
     *before, trees = model.stages
-    if not scores(trees) or any(isinstance(s, OneHotEncoderModel) for s in before) or _widest(model) <= WIDE_CATEGORY:
+    if not scores(trees) or not _wide(before):
         return model.transform(df)
     return scored(trees, PipelineModel(before).transform(df))
 
 
 def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:
-    """Names of the vector's positions, from its attributes; reads no rows."""
-    attributes = model.transform(df.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
+    """Names of the vector's positions, from its attributes; reads no rows and needs no trees."""
+    attributes = PipelineModel(model.stages[:-1]).transform(df.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
     named = [(a["idx"], a["name"]) for group in attributes.values() for a in group]
     return [name for _, name in sorted(named)]
 

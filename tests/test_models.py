@@ -1,7 +1,12 @@
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import functions as F
 
 from lagcast.fixed import LAYOUTS
@@ -15,8 +20,9 @@ from lagcast.plans.predicting import predict
 from lagcast.plans.recipes import RECIPES
 from lagcast.plans.training import fit_recipe, run_experiment, train_for_service
 from lagcast.sources.fixture import flights
-from lagcast.sources.models import load_model
+from lagcast.sources.models import load_model, save_model
 from lagcast.sources.requests import requests_df
+from lagcast.sources.storage import published
 from test_requests import GOOD
 
 KEY = "event_id"
@@ -185,6 +191,52 @@ def test_trees_are_written_many_at_a_time(monkeypatch):
     assert [pair for run in runs for pair in run] == [(k, node) for k, nodes in enumerate(made) for node in nodes]
 
 
+def test_wide_models_need_no_boxed_numbers(spark, monkeypatch, tmp_path):
+    rows = _wide_rows(spark, 3_000)
+    monkeypatch.setattr(trees, "WIDE_CATEGORY", 2)
+    monkeypatch.setattr(boosting, "STORED_VALUES", 20)  # several batches a tree
+    model = fit_recipe(rows, RECIPES["balanced"].sized(3), depth=4)
+    importances(model, rows).collect()
+    score(model, rows).collect()
+    save_model(model, str(tmp_path / "m"))
+    again = load_model(str(tmp_path / "m"))
+    for one in (model, again):
+        assert score(one, rows).select("prediction").distinct().count() == 2
+        assert one.stages[-1]._whole is None  # MLlib's own model was not made
+    plain = PipelineModel.load(published(spark, str(tmp_path / "m")))  # MLlib reads what is stored
+    assert type(plain.stages[-1]) is GBTClassificationModel and plain.uid == again.uid == model.uid
+    mine = again.stages[-1]
+    assert mine.featureImportances.toArray() == pytest.approx(plain.stages[-1].featureImportances.toArray(), abs=1e-12)
+    assert (mine.treeWeights, mine.getNumTrees, mine.numFeatures) == (plain.stages[-1].treeWeights, 3, 10)
+    assert mine.toDebugString == plain.stages[-1].toDebugString == model.stages[-1].toDebugString
+    p, q = (df.select("k", delay_probability().alias("p")) for df in (score(again, rows), plain.transform(rows)))
+    assert p.join(q.withColumnRenamed("p", "q"), "k").where(F.abs(F.col("p") - F.col("q")) < 1e-12).count() == 3_000
+
+
+def test_blocks_of_rows_lie_in_small_groups_and_parts(spark, monkeypatch, tmp_path):
+    def blocks(batches):
+        rng = np.random.default_rng(1)
+        yield from boosting._packed([[rng.bytes(3 << 20), b"", b"", b""] for _ in range(20)])
+
+    rows, path = boosting._written(spark.range(1, numPartitions=1).mapInArrow(blocks, boosting.BLOCK))
+    (file,) = Path(path.removeprefix("file:")).glob("*.parquet")
+    stored = pq.ParquetFile(file).metadata
+    assert rows.count() == 20 and max(stored.row_group(k).num_rows for k in range(stored.num_row_groups)) < 10
+
+    def batches_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    with boosting._small_batches(spark):
+        assert rows.mapInArrow(batches_of, "n long").agg(F.max("n")).first()[0] < 32 << 20
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 50)
+    parts = []
+    monkeypatch.setattr(boosting, "_clustered", lambda *a, dealt=boosting._clustered: parts.append(a[-1]) or dealt(*a))
+    monkeypatch.setattr(trees, "WIDE_CATEGORY", 2)
+    fit_recipe(_wide_rows(spark, 3_000), RECIPES["route"].sized(1), depth=1)
+    assert parts == [12]  # 250 rows each, more than the session's shuffle partitions
+
+
 def test_many_values_are_cut_like_mllib_does(spark, monkeypatch):
     rng = random.Random(6)
     data = [
